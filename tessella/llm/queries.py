@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination, fingerprint, language_id, near_dedup, packing, sharding, token_store
+from tessella.llm import decontamination, fingerprint, language_id, near_dedup, packing, sharding, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_report(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -49,7 +53,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_sharding, op4_fingerprint, op6_token_store, op7_language_id, op8_decontamination, op9_packing, op10_near_dedup]
+    own = [op2_sharding, op4_fingerprint, op5_substring_dedup, op6_token_store, op7_language_id, op8_decontamination, op9_packing, op10_near_dedup]
     return {f.__name__: f for f in own}
 
 
