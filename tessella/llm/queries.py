@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination, fingerprint, language_id, near_dedup, packing, sharding, substring_dedup, suffix_dedup, token_store
+from tessella.llm import decontamination, fingerprint, html_text, language_id, near_dedup, packing, sharding, substring_dedup, suffix_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_dedup, op2_sharding, op4_fingerprint, op5_substring_dedup, op6_token_store, op7_language_id, op8_decontamination, op9_packing, op10_near_dedup]
+    own = [op1_suffix_dedup, op2_sharding, op3_html_text, op4_fingerprint, op5_substring_dedup, op6_token_store, op7_language_id, op8_decontamination, op9_packing, op10_near_dedup]
     return {f.__name__: f for f in own}
 
 
