@@ -16,8 +16,10 @@ import re
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers at most; beyond, it starts afresh.
+#: Distinct pieces that a worker remembers at most; beyond, it forgets those that came up once.
 MEMO_PIECES = 500_000
+#: A character that is a pre-token of its own; pieces that hold it are encoded one by one.
+_MARK = "\0"
 _TOUCHING = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -41,11 +43,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.unit = unit
-        self._reset()
 
-    def _reset(self) -> None:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # byte-level tokens have a character a byte
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.memo, self.flat = _Memo(), np.empty(0, np.uint32)
-        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.begin, self.size, self.used = (np.empty(0, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keep the pieces that came up again."""
+        keep = np.flatnonzero(self.used > 1)[: MEMO_PIECES // 2]
+        names, memo = list(self.memo), _Memo()
+        for i in keep.tolist():
+            memo[names[i]] = len(memo)
+        size = self.size[keep]
+        self.flat = _gathered(self.flat, self.begin[keep], size)
+        self.memo, self.begin, self.size, self.used = memo, np.cumsum(size) - size, size, self.used[keep]
 
     def _cut(self, text: str) -> list:
         if self.unit == "word":
@@ -56,23 +72,46 @@ class Encoder:
         parts[0] = (parts[0],)  # the only piece without a space before it
         return parts
 
-    def _learn(self) -> None:
-        new = self.memo.new
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces encoded as one text, and how many each has."""
         if self.unit == "word":
-            texts = new
-        else:
-            texts = [p[0] if isinstance(p, tuple) else " " + p for p in new]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, ids])
+            ids = np.array(self._each([f" {_MARK} ".join(pieces)])[0], np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+        texts = [" " + p for p in pieces]
+        ids = np.array(self._each(["".join(texts)])[0], np.uint32)
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self) -> None:
+        """Encode the new pieces: those that can stand in one text together, the rest one by one."""
+        new, whole = self.memo.new, []
+        if self.unit == "space":
+            whole = [i for i, p in enumerate(new) if p and not isinstance(p, tuple) and not p[0].isspace() and not p[-1].isspace()]
+        elif self.unit == "word" and self.mark is not None:
+            whole = [i for i, p in enumerate(new) if _MARK not in p]
+        size, begin = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        flat = [np.empty(0, np.uint32)]
+        if whole:
+            ids, n = self._together([new[i] for i in whole])
+            size[whole], begin[whole] = n, np.cumsum(n) - n
+            flat.append(ids)
+        rest = np.setdiff1d(np.arange(len(new)), whole).tolist()
+        at = len(flat[-1])
+        for i, ids in zip(rest, self._each([p[0] if isinstance(p, tuple) else p if self.unit == "word" else " " + p for p in (new[i] for i in rest)])):
+            size[i], begin[i], at = len(ids), at, at + len(ids)
+            flat.append(np.array(ids, np.uint32))
+        self.begin = np.concatenate([self.begin, begin + len(self.flat)])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, *flat])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.memo.new = []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.memo) > MEMO_PIECES:
-            self._reset()
+            self._forget()
         pieces, ends = [], []
         for t in texts:
             pieces += self._cut(t or "")
@@ -80,13 +119,18 @@ class Encoder:
         at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
         if self.memo.new:
             self._learn()
+        self.used += np.bincount(at, minlength=len(self.used))
         size = self.size[at]
-        total = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        ids = self.flat[np.repeat(self.begin[at] - total[:-1], size) + np.arange(total[-1])]
+        ids, total = _gathered(self.flat, self.begin[at], size), np.concatenate([[0], np.cumsum(size)])
         return np.split(ids, total[np.array(ends[:-1], np.int64)]) if texts else []
 
 
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges (begin, size) of ``flat``, one after the other."""
+    first = np.cumsum(size) - size
+    return flat[np.repeat(begin - first, size) + np.arange(int(size.sum()))]
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
