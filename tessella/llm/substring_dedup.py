@@ -6,8 +6,9 @@ candidate survives. At the first level a document's windows are thinned by winno
 stretch of ``length - start + 1`` windows stands for it, so every window of ``length`` words holds a chosen one,
 at the same place in all its copies, and nothing is lost.
 
-Windows are compared by 128-bit hashes. Exact copies of a text are recognised as wholes, so that a group of
-copies is searched once.
+At the last level, the windows around one survivor are a segment. Equal segments are settled as wholes: all but
+the first occurrence go. Only where different segments share a survivor are the windows of their first
+occurrences compared one by one. Windows are compared by the hash of the whole and that of the survivor inside.
 
 Defined results: a null text has no words; documents of fewer than ``length`` words lose none; documents are
 ordered by id (null first); rows with the same id and text are one document and get the same result; an empty
@@ -20,11 +21,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import RangeHash, byte_symbols, joined, mix, small_batches, winnow, word_spans
+from tessella.llm.common import RangeHash, byte_symbols, joined, materialise, mix, small_batches, winnow, word_spans
 
 LENGTH, START = 20, 10
 
@@ -54,14 +56,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.lit("document"), doc_id, F.col("text")).alias("key"), doc_id.alias("doc_id"), "text")
 
 
-def earlier_copies(rows: DataFrame) -> DataFrame:
-    """The keys of documents whose text an earlier document has."""
-    hashed = rows.where("text is not null").select("key", "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("copy"), "text").alias("t2"))
-    order = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    first = hashed.groupBy("t1", "t2").agg(F.min(order(F.col("doc_id"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return hashed.join(first, ["t1", "t2"]).where(order(F.col("doc_id")) > F.col("first")).select("key").distinct()
-
-
 def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
     """(h, key, at): the chosen windows of ``start`` words."""
     width = length - start + 1
@@ -84,7 +78,8 @@ def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
 
 def repeated(level: DataFrame) -> DataFrame:
     """(key, ats): where a document's windows of this level occur more than once."""
-    twice = level.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # a table of its own, so that the join can split a hot window
+    twice = materialise(level.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     return level.join(twice, "h").groupBy("key").agg(F.collect_set("at").alias("ats"))
 
 
@@ -111,120 +106,142 @@ def doubled(rows: DataFrame, survivors: DataFrame, size: int) -> DataFrame:
     return rows.join(survivors.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "ats").mapInArrow(run, "h long, key long, at int")
 
 
-def last_level(rows: DataFrame, survivors: DataFrame, length: int, start: int) -> DataFrame:
-    """(w1, w2, doc_id, key, at): the windows of ``length`` words around the survivors."""
+_SEGMENT = "kind string, h long, sid long, key long, d long, lo int, n int, wins binary"
+_NAMES = [x.split()[0] for x in _SEGMENT.split(", ")]
+#: Segments that a task remembers, to send the hashes of their windows once.
+TASK_MEMO = 500_000
+
+
+def segments(rows: DataFrame, survivors: DataFrame, length: int, start: int) -> DataFrame:
+    """Rows ``at``: the ``n`` windows from word ``lo`` on of document ``key`` are segment (h, sid). Rows ``body``: the
+    windows' hashes, once a task for each segment."""
     width = length - start + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for b in small_batches(batches):
-            a, c, first = _words(b.column("text").to_pylist())
-            grams, one, two = _grams(a, start), _grams(a, length), _grams(c, length, 1)
-            at, sizes = [], []
-            for found, s, e in zip(b.column("ats").to_pylist(), first[:-1], first[1:]):
+            one, two, first = _words(b.column("text").to_pylist())
+            grams, whole, again = _grams(one, start), _grams(one, length), RangeHash(two, 1)
+            ats, lows, highs, docs = [], [], [], []
+            for i, (found, s, e) in enumerate(zip(b.column("ats").to_pylist(), first[:-1], first[1:])):
                 choice, _ = winnow(grams[s : max(s, e - start + 1)], width)
-                alive = np.zeros(max(1, e - s), bool)
-                alive[found] = True
-                at.append(np.flatnonzero(alive[choice]) + s)
-                sizes.append(len(at[-1]))
-            all_at = np.concatenate(at)
-            local = all_at - np.repeat(first[:-1], sizes)
-            doc = np.repeat(np.arange(b.num_rows), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one[all_at].view(np.int64)), pa.array(two[all_at].view(np.int64)), b.column("doc_id").take(pa.array(doc)), b.column("key").take(pa.array(doc)), pa.array(local.astype(np.int32))],
-                ["w1", "w2", "doc_id", "key", "at"],
-            )
+                at = np.sort(np.array(found, np.int64))
+                ats.append(at + s)
+                lows.append(np.searchsorted(choice, at, "left") + s)
+                highs.append(np.searchsorted(choice, at, "right") + s)
+                docs.append(np.full(len(at), i))
+            at, low, high, doc = map(np.concatenate, (ats, lows, highs, docs))
+            h, sid = grams[at].view(np.int64), again.of(low, high - 1 + length).view(np.int64)
+            n, m = (high - low).astype(np.int32), len(at)
+            key, order = b.column("key").to_numpy()[doc], b.column("d").to_numpy()[doc]
+            nothing = lambda kind: pa.nulls(m, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(["at"] * m, pa.string()), *map(pa.array, (h, sid, key, order, (low - first[doc]).astype(np.int32), n)), nothing(pa.binary())], _NAMES)
+            new = []
+            for i, name in enumerate(zip(h.tolist(), sid.tolist())):
+                if name not in sent:
+                    sent.add(name)
+                    new.append(i)
+            if len(sent) > TASK_MEMO:
+                sent.clear()
+            m, wins = len(new), [whole[x:y].tobytes() for x, y in zip(low[new].tolist(), high[new].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(["body"] * m, pa.string()), pa.array(h[new]), pa.array(sid[new]), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int32()), pa.array(n[new]), pa.array(wins, pa.binary())], _NAMES)
+
+    order = F.coalesce("doc_id", F.lit(-(2**63))).alias("d")
+    return rows.join(survivors.hint("shuffle_hash"), "key").select("key", order, "text", "ats").mapInArrow(run, _SEGMENT)
+
+
+def _windows(firsts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(h, w, key, d, start) of the windows of segments whose survivor other segments share."""
+    shared = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    some = firsts.join(shared, "h").select("h", "sid", "first.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wins = b.column("wins").to_pylist()
+            n = np.array([len(w) // 8 for w in wins], np.int64)
+            each = np.repeat(np.arange(len(wins)), n)
+            inside = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            of = lambda c: b.column(c).to_numpy()[each]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (of("h"), np.frombuffer(b"".join(wins), np.int64), of("key"), of("d"), (of("lo") + inside).astype(np.int32)))], ["h", "w", "key", "d", "start"])
 
-    return rows.join(survivors.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "ats").mapInArrow(run, "w1 long, w2 long, doc_id long, key long, at int")
+    once = bodies.groupBy("h", "sid").agg(F.min("wins").alias("wins"))
+    return some.join(once, ["h", "sid"]).select("h", "key", "d", "lo", "wins").mapInArrow(run, "h long, w long, key long, d long, start int")
 
 
 def later_windows(rows: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    """(key, ats): the starts of windows whose words also start earlier, for documents that are no copies."""
+    """(key, spans): runs (a, b) of starts of windows whose words also start earlier."""
     sizes = [start]
     while sizes[-1] < length:
         sizes.append(2 * sizes[-1])
     if sizes[-1] != length:
         raise ValueError("length must be start doubled some times")
-    survivors = repeated(first_level(rows, length, start))
-    for size in sizes[:-2]:
-        survivors = repeated(doubled(rows, survivors, size))
-    windows = last_level(rows, survivors, length, start)
-    # the earliest place in two longs, so that the aggregate stays a hash aggregate
-    order = F.coalesce("doc_id", F.lit(-(2**63)))
-    placed = windows.select("w1", "w2", order.alias("d"), "key", "at")
-    low = placed.groupBy("w1", "w2").agg(F.min("d").alias("d1"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "d1")
-    inside = placed.join(low, ["w1", "w2"])
-    across = inside.where("d > d1").select("key", "at")
-    # within the first document that has a window, all but its first start
-    own = inside.where("d = d1").groupBy("w1", "w2", "key").agg(F.min("at").alias("a1"), F.array_sort(F.collect_set("at")).alias("own")).where("size(own) > 1")
-    later = own.select("key", F.explode("own").alias("at"), "a1").where("at > a1").select("key", "at")
-    return across.unionByName(later).groupBy("key").agg(F.collect_set("at").alias("ats"))
-
-
-def _searched(docs: DataFrame, length: int, start: int) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows, and (key, copy, ats): what to remove from them."""
-    rows = keyed(docs)
-    copies = earlier_copies(rows)
-    firsts = rows.join(copies.hint("shuffle_hash"), "key", "left_anti").select("key", "doc_id", "text")
-    later = later_windows(firsts, length, start)
-    none = F.array().cast("array<int>")
-    marks = later.select("key", F.lit(False).alias("copy"), "ats").unionByName(copies.select("key", F.lit(True).alias("copy"), none.alias("ats")))
-    return rows, marks
-
-
-def kept_words(text: str | None, copy: bool | None, ats: list[int] | None, length: int) -> tuple[list[bytes], int]:
+    survivors = materialise(repeated(first_level(rows, length, start)), "level")
+    for size in sizes[1:-1]:
+        survivors = materialise(repeated(doubled(rows, survivors, size // 2)), "level")
+    made = materialise(segments(rows, survivors, length, start), "segments")
+    at, bodies = made.where("kind = 'at'").select("h", "sid", "key", "d", "lo", "n"), made.where("kind = 'body'").select("h", "sid", "wins")
+    # a table of its own, so that the joins below can split a hot segment
+    firsts = materialise(at.groupBy("h", "sid").agg(F.min(F.struct("d", "lo", "key")).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
+    again = at.join(firsts.where("times > 1").select("h", "sid", "first"), ["h", "sid"])
+    whole = again.where((F.col("d") > F.col("first.d")) | ((F.col("d") == F.col("first.d")) & (F.col("lo") > F.col("first.lo"))))
+    whole = whole.select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
+    windows = materialise(_windows(firsts, bodies), "windows")
+    least = windows.groupBy("h", "w").agg(F.min(F.struct("d", "start")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "w", "least")
+    later = windows.join(least, ["h", "w"]).where((F.col("d") > F.col("least.d")) | ((F.col("d") == F.col("least.d")) & (F.col("start") > F.col("least.start"))))
+    single = later.select("key", F.col("start").alias("a"), F.col("start").alias("b"))
+    return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def kept_words(text: str | None, spans: list | None, length: int) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
-    words = (text or "").encode().split()  # bytes.split() cuts at \\x20 and \\x09-\\x0D alone
+    words = (text or "").encode().split()  # bytes.split() cuts at ASCII white space alone
     n = len(words)
-    if copy and n >= length:
-        return [], n
-    if ats:
+    if spans is not None and len(spans):
         edge = np.zeros(n + 1, np.int64)
-        at = np.array(ats, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+        np.add.at(edge, [s["a"] for s in spans], 1)
+        np.add.at(edge, [s["b"] + length for s in spans], -1)
         gone = np.cumsum(edge)[:n] > 0
         words = [w for w, g in zip(words, gone.tolist()) if not g]
     return words, n
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    rows, marks = _searched(docs, length, start)
+    rows = keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             n_words, n_removed, sha = [], [], []
-            for text, copy, ats in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), b.column("ats").to_pylist()):
-                words, n = kept_words(text, copy, ats, length)
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+                words, n = kept_words(text, spans, length)
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = rows.join(marks.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "copy", "ats")
+    marked = rows.join(later_windows(rows, length, start).hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "spans")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    """``docs`` with the repeats taken out of ``text``; a document that loses words is its kept words joined by
-    one space, one that loses all goes, and ``n_chars`` follows where there is such a column. Others stay as
-    they are."""
-    rows, marks = _searched(docs, length, start)
+    """``docs`` with the repeats taken out of ``text``: a document that loses words is its kept words joined by one
+    space, one that loses all goes, and ``n_chars`` follows where there is such a column. Others stay as they are.
+    Column names that begin with ``__`` are reserved."""
 
     @F.pandas_udf("string")
-    def cut(texts, copies, ats):
-        out = [t if a is None and not c else b" ".join(kept_words(t, bool(c), None if a is None else list(a), length)[0]).decode() for t, c, a in zip(texts, copies, ats)]
-        return texts.__class__(out, dtype=object)
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else b" ".join(kept_words(t, s, length)[0]).decode() for t, s in zip(texts, spans)], dtype=object)
 
     key = F.xxhash64(F.lit("document"), F.col("doc_id").cast("long"), F.col("text"))
-    marked = docs.withColumn("__key", key).join(marks.select(F.col("key").alias("__key"), F.col("copy").alias("__copy"), F.col("ats").alias("__ats")).hint("shuffle_hash"), "__key", "left")
-    changed = marked.withColumn("__cut", cut(F.col("text"), F.coalesce("__copy", F.lit(False)), F.col("__ats")))
-    alive = changed.where(F.col("__copy").isNull() | (F.col("__cut") != ""))
+    spans = later_windows(keyed(docs), length, start).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    marked = docs.withColumn("__key", key).join(spans.hint("shuffle_hash"), "__key", "left")
+    changed = marked.withColumn("__cut", cut(F.col("text"), F.col("__spans")))
+    alive = changed.where(F.col("__spans").isNull() | (F.col("__cut") != ""))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.coalesce("__cut", "text").alias("text"))
+            columns.append(F.col("__cut").alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__copy").isNotNull(), F.char_length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+            columns.append(F.when(F.col("__spans").isNotNull(), F.char_length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
     return alive.select(*columns)
