@@ -109,7 +109,8 @@ class Encoder:
         self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.memo.new = []
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text ends."""
         if len(self.memo) > MEMO_PIECES:
             self._forget()
         pieces, ends = [], []
@@ -121,8 +122,12 @@ class Encoder:
             self._learn()
         self.used += np.bincount(at, minlength=len(self.used))
         size = self.size[at]
-        ids, total = _gathered(self.flat, self.begin[at], size), np.concatenate([[0], np.cumsum(size)])
-        return np.split(ids, total[np.array(ends[:-1], np.int64)]) if texts else []
+        total = np.concatenate([[0], np.cumsum(size)])
+        return _gathered(self.flat, self.begin[at], size), total[np.array(ends, np.int64)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, ends = self.encode_flat(texts)
+        return np.split(ids, ends[:-1]) if len(texts) else []
 
 
 def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ chunks; an empty table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -27,17 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import RangeHash, mix, new_path, order_buckets, running_total, small_batches
+from tessella.llm.common import mix, new_path, order_buckets, running_total, small_batches
 from tessella.llm.encoding import encoder
 
-WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 1024
+WINDOW, LEAST, MEAN, MOST = 4, 64, 256, 1024
 #: Chunk digests that a task remembers, to send a repeated chunk's body once.
 TASK_MEMO = 200_000
 DIGEST = 16
 
 
-def digest(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=DIGEST).digest()
+def digest(wide: bytes | memoryview) -> bytes:
+    """Of ids as little-endian unsigned 32-bit integers."""
+    return hashlib.blake2b(wide, digest_size=DIGEST).digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -49,34 +51,38 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a stream end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    h = RangeHash(mix(ids.astype(np.uint64) + np.uint64(1)))
-    ends = np.arange(WINDOW, n + 1)
-    good = ends[(h.of(ends - WINDOW, ends) >> np.uint64(32)) % np.uint64(MEAN) == 0]
-    out, at = [], 0
-    while n - at > LEAST:
-        i = int(np.searchsorted(good, at + LEAST))
-        at = min(int(good[i]) if i < len(good) else n, at + MOST, n)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places that a chunk may end at: where a rolling hash of the last ``WINDOW`` ids is 0 modulo ``MEAN``."""
+    if len(ids) < WINDOW:
+        return np.empty(0, np.int64)
+    h, m = np.zeros(len(ids) - WINDOW + 1, np.uint64), len(ids) - WINDOW + 1
+    for i in range(WINDOW):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += ids[i : i + m]
+        h ^= h >> np.uint64(29)
+    return np.flatnonzero((h >> np.uint64(20)) % np.uint64(MEAN) == 0) + WINDOW
+
+
+def cuts(good: list[int], begin: int, end: int) -> list[int]:
+    """Where the chunks of the stream from ``begin`` to ``end`` end, given the sorted places they may end at."""
+    out, at = [], begin
+    i = bisect.bisect_left(good, at + LEAST)
+    while end - at > LEAST:
+        while i < len(good) and good[i] < at + LEAST:
+            i += 1
+        at = min(good[i] if i < len(good) else end, at + MOST, end)
         out.append(at)
-    if at < n:
-        out.append(n)
+    if at < end:
+        out.append(end)
     return out
 
 
-def pack_ids(ids: np.ndarray) -> tuple[int, bytes]:
-    width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
-    return width, ids.astype(f"<u{width}").tobytes()
-
-
 def unpack_ids(width: int, body: bytes) -> np.ndarray:
-    return np.frombuffer(body, f"<u{width}").astype(np.uint32)
+    return np.frombuffer(body, f"<u{width}").astype("<u4")
 
 
 _OBJECTS = "kind string, place long, doc_id long, digest binary, n long, width int, body binary"
+_NAMES = [x.split()[0] for x in _OBJECTS.split(", ")]
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, unit: str, path: str, end_id: int = 0) -> None:
@@ -86,24 +92,34 @@ def write_store(docs: DataFrame, tokenizer_path: str, unit: str, path: str, end_
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sent = encoder(tokenizer_path, unit), set()
         for b in small_batches(batches):
-            rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
-                ids = np.append(ids, np.uint32(end_id))
-                names, begin = [], 0
-                for end in cuts(ids):
-                    part = ids[begin:end]
-                    names.append(name := digest(part))
+            found, ends = enc.encode_flat(b.column("text").to_pylist())
+            ids = np.insert(found, ends, end_id).astype("<u4")
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            width = 2 if int(ids.max()) < 65536 else 4
+            wide, narrow = memoryview(ids).cast("B"), memoryview(ids.astype(f"<u{width}")).cast("B")
+            good, begin = marks(ids).tolist(), 0
+            new_names, sizes, bodies, roots, lists = [], [], [], [], []
+            for end in ends:
+                names = []
+                for to in cuts(good, begin, end):
+                    names.append(name := digest(wide[4 * begin : 4 * to]))
                     if name not in sent:
                         sent.add(name)
-                        width, body = pack_ids(part)
-                        rows.append(("chunk", int.from_bytes(name[:8], "little", signed=True), None, name, end - begin, width, body))
-                    begin = end
-                rows.append(("recipe", zlib.crc32(str(doc_id).encode()), doc_id, merkle(names), len(ids), 0, b"".join(names)))
+                        new_names.append(name)
+                        sizes.append(to - begin)
+                        bodies.append(bytes(narrow[width * begin : width * to]))
+                    begin = to
+                roots.append(merkle(names))
+                lists.append(b"".join(names))
             if len(sent) > TASK_MEMO:
                 sent.clear()
+            n, m = len(new_names), b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["chunk"] * n, pa.string()), pa.array(np.frombuffer(b"".join(x[:8] for x in new_names), np.int64)), pa.nulls(n, pa.int64()), pa.array(new_names, pa.binary()), pa.array(sizes, pa.int64()), pa.array([width] * n, pa.int32()), pa.array(bodies, pa.binary())], _NAMES
+            )
+            place = mix(b.column("doc_id").fill_null(0).to_numpy().view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))],
-                ["kind", "place", "doc_id", "digest", "n", "width", "body"],
+                [pa.array(["recipe"] * m), pa.array(place), b.column("doc_id"), pa.array(roots, pa.binary()), pa.array(np.diff(ends, prepend=0)), pa.array([0] * m, pa.int32()), pa.array(lists, pa.binary())], _NAMES
             )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +203,8 @@ def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             n, crc = [], []
             for name, width, body in zip(b.column("digest").to_pylist(), b.column("width").to_pylist(), b.column("body").to_pylist()):
-                wide = unpack_ids(width, body).astype("<u4").tobytes()
-                if hashlib.blake2b(wide, digest_size=DIGEST).digest() != name:
+                wide = unpack_ids(width, body).tobytes()
+                if digest(wide) != name:
                     raise ValueError(f"chunk {name.hex()} does not match its digest")
                 n.append(len(wide) // 4)
                 crc.append(zlib.crc32(wide))
