@@ -10,7 +10,7 @@ an exact check of the whole strings by 128-bit hashes follows among those neighb
 
 Equal segments are counted before they meet, and their bytes are sent once a task. The strings of an anchor
 with over ``HOT`` occurrences are counted one by one instead, with sums made before the shuffle, so no task
-gathers a hot anchor. Exact copies of a text take part once.
+gathers a hot anchor.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; copies of a text that is
 long enough lose all; repeated rows are copies of each other; an empty table gives no rows.
@@ -39,14 +39,6 @@ ARRAY_BYTES = 2 << 20
 TASK_MEMO = 500_000
 
 
-def copies_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys of rows whose text occurs more than once, and keys of those that need no search of their own."""
-    hashed = rows.where("text is not null").select("key", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("copy"), "text").alias("t2"))
-    many = hashed.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = hashed.join(many, ["t1", "t2"]).select("key", "first")
-    return found.select("key").distinct(), found.where("key != first").select("key").distinct()
-
-
 def _grams(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' bytes, where each begins, and the hash of each run of ``size`` bytes."""
     raw, begins = joined(texts)
@@ -220,11 +212,11 @@ def matched_segments(bodies: DataFrame, length: int, array_bytes: int = ARRAY_BY
 
 def repeated_starts(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(key, spans): for each text, runs (a, b) of starts of strings that start elsewhere too."""
-    spark = rows.sparkSession
     level = anchors(rows, length, size)
-    twice = level.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that the join can split a hot anchor
+    twice = materialise(level.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
     survivors = level.join(twice, "h").groupBy("key").agg(F.collect_list(F.struct("at", (F.col("n") > hot).alias("hot"))).alias("found"))
-    made = materialise(segments(rows, survivors, length, size), "segments")
+    made = materialise(segments(rows, materialise(survivors, "survivors"), length, size), "segments")
     at = made.where("kind = 'at'").select("h", "sid", "key", "lo", "starts")
     equal = at.groupBy("h", "sid").agg(F.count(F.lit(1)).alias("n"), F.max("starts").alias("starts")).where("n > 1").select("h", "sid", F.lit(0).cast("long").alias("a"), (F.col("starts") - 1).cast("long").alias("b"))
     found = equal.unionByName(matched_segments(made.where("kind = 'body'"), length))
@@ -232,10 +224,8 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR, h
     return at.join(found, ["h", "sid"]).groupBy("key").agg(F.collect_set(spans).alias("spans"))
 
 
-def kept_bytes(data: bytes, copy: bool, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
+def kept_bytes(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
     """The bytes that stay, and how many runs went."""
-    if copy and len(data) >= length:
-        return b"", 1
     if not spans:
         return data, 0
     edge = np.zeros(len(data) + 1, np.int64)
@@ -248,27 +238,22 @@ def kept_bytes(data: bytes, copy: bool, spans: list[dict] | None, length: int) -
 
 
 def removals(docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """(doc_id, text, kept, n_removed, n_spans); ``kept`` is binary, as a cut may split a character."""
+    """(doc_id, n_removed, n_spans, kept); ``kept`` is binary, as a cut may split a character."""
     rows = keyed(docs)
-    copies, skipped = copies_of(rows)
-    searched = rows.join(skipped.hint("shuffle_hash"), "key", "left_anti").select("key", "doc_id", "text")
-    spans = repeated_starts(searched, length, size, hot)
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    marks = spans.select("key", F.lit(0).alias("copy"), "spans").unionByName(copies.select("key", F.lit(1).alias("copy"), none.alias("spans")))
-    marks = marks.groupBy("key").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = repeated_starts(rows, length, size, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             removed, n_spans, kept = [], [], []
-            for text, copy, found in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), b.column("spans").to_pylist()):
+            for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 data = (text or "").encode()
-                left, n = kept_bytes(data, bool(copy), found, length)
+                left, n = kept_bytes(data, found, length)
                 removed.append(len(data) - len(left))
                 n_spans.append(n)
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_removed", "n_spans", "kept"])
 
-    marked = rows.join(marks.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "copy", "spans")
+    marked = rows.join(spans.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "spans")
     return marked.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept binary")
 
 
