@@ -59,7 +59,7 @@ def _bounded(windows: DataFrame, set_limit: int) -> list | None:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", words_of(F.col("text")))
+    return docs.select("*", F.monotonically_increasing_id().alias("__row"), words_of(F.col("text")).alias("__words"))
 
 
 def _maybe(words: Column, length: int, ends: list[int]) -> Column:
@@ -129,7 +129,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_
     rows = _bounded(windows, set_limit)
     kept = [F.col(f"`{c}`") for c in docs.columns]
     if rows is not None:
-        return _scan_set(docs, rows).where(F.size("__found") == 0).select(*kept)
+        # using the row number keeps it, and with it the filter above the projection that cuts the words
+        return _scan_set(docs, rows).where((F.size("__found") == 0) & (F.col("__row") >= 0)).select(*kept)
     return _numbered(docs).join(_scan_join(docs, windows).select("__row").distinct(), "__row", "left_anti").select(*kept)
 
 
