@@ -117,7 +117,7 @@ def knn_ivf(segments: DataFrame, index: DataFrame, centres: np.ndarray, k: int =
     return _top(pairs.select("clip_id", "seg_ord", "fingerprint_id", cosine(F.col("embedding"), F.col("v")).alias("score")), k)
 
 
-def knn_lsh(segments: DataFrame, vectors: DataFrame, k: int = 10, tables: int = 12, bits: int = 6, scope: str = "creator_id", seed: int = 9) -> DataFrame:
+def knn_lsh(segments: DataFrame, vectors: DataFrame, k: int = 10, tables: int = 32, bits: int = 4, scope: str = "creator_id", seed: int = 9) -> DataFrame:
     """Approximate neighbours by sign projections: pairs that share the signs of one of the tables are scored."""
     width = len(vectors.select("embedding").first()[0])
     planes = np.random.default_rng(seed).normal(size=(tables, bits, width))

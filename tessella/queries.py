@@ -108,7 +108,7 @@ def clip_search(v: Views) -> DataFrame:
 @query()
 def knn_ivf(v: Views) -> DataFrame:
     index, centres = K.build_ivf(v.vectors, 8)
-    return K.knn_ivf(v.segments, index, centres, 10, 4)
+    return K.knn_ivf(v.segments, index, centres, 10, 7)
 
 
 @query()
