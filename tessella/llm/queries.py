@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontamination.CONTAMINATION_SQL}
+    return {"op5_substring_dedup": substring_dedup.REMOVAL_SQL, "op8_decontamination": decontamination.CONTAMINATION_SQL}
