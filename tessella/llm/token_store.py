@@ -162,38 +162,36 @@ def _range_roots(recipes: DataFrame) -> DataFrame:
 _POLYNOMIAL = 0xEDB88320
 
 
-def _times(a: int, b: int) -> int:
-    """a * b modulo the CRC polynomial, bits reflected."""
-    product, bit = 0, 1 << 31
-    while bit:
-        if a & bit:
-            product ^= b
-        b = (b >> 1) ^ _POLYNOMIAL if b & 1 else b >> 1
-        bit >>= 1
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the CRC polynomial, bits reflected, for arrays of 32-bit numbers."""
+    product, b, one = np.zeros_like(b), b.copy(), np.uint32(1)
+    for bit in range(31, -1, -1):
+        product ^= b * ((a >> np.uint32(bit)) & one)
+        b = (b >> one) ^ (np.uint32(_POLYNOMIAL) * (b & one))
     return product
 
 
-_SHIFTS: dict[int, int] = {}
-
-
-def _shift(n_bytes: int) -> int:
-    """x ** (8 * n_bytes) modulo the polynomial."""
-    if n_bytes not in _SHIFTS:
-        out, square, n = 1 << 31, 1 << 23, n_bytes
-        while n:
-            if n & 1:
-                out = _times(out, square)
-            square, n = _times(square, square), n >> 1
-        _SHIFTS[n_bytes] = out
-    return _SHIFTS[n_bytes]
+def _shifts(n_bytes: np.ndarray) -> np.ndarray:
+    """x ** (8 * n) modulo the polynomial, for each n."""
+    out, square, n = np.full(len(n_bytes), 1 << 31, np.uint32), np.full(1, 1 << 23, np.uint32), n_bytes.astype(np.int64)
+    while n.any():
+        odd = (n & 1).astype(bool)
+        out[odd] = _times(np.broadcast_to(square, int(odd.sum())), out[odd])
+        square, n = _times(square, square), n >> 1
+    return out
 
 
-def crc32_of_parts(parts: list[tuple[int, int]]) -> int:
-    """The CRC-32 of a concatenation, from the (crc, bytes) of its parts."""
-    crc = 0
-    for c, n in parts:
-        crc = _times(_shift(n), crc) ^ c
-    return crc
+def crc32_of_parts(crc: np.ndarray, n_bytes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each concatenation, from the CRCs and sizes of its parts; ``begins`` cuts the parts into
+    concatenations and has one more entry, the number of parts."""
+    sizes, which = np.unique(n_bytes, return_inverse=True)
+    shift, crc = _shifts(sizes)[which], crc.astype(np.uint32)
+    count, out = np.diff(begins), np.zeros(len(begins) - 1, np.uint32)
+    for k in range(int(count.max(initial=0))):  # the k-th part of all that have one
+        rows = np.flatnonzero(count > k)
+        at = begins[rows] + k
+        out[rows] = _times(shift[at], out[rows]) ^ crc[at]
+    return out
 
 
 def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -232,12 +230,18 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs = []
-            for n_tokens, root, parts in zip(b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), b.column("parts").to_pylist()):
-                if any(p["n"] is None for p in parts) or sum(p["n"] for p in parts) != n_tokens or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError("a document does not match its recipe")
-                crcs.append(crc32_of_parts([(p["crc"], 4 * p["n"]) for p in parts]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            parts = b.column("parts").flatten()
+            begins = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(b.column("parts")).to_numpy())])
+            if parts.field("n").null_count:
+                raise ValueError("a document does not match its recipe: a chunk is missing")
+            n, names = parts.field("n").to_numpy(), parts.field("digest").to_pylist()
+            total = np.concatenate([[0], np.cumsum(n)])[begins]
+            cut = begins.tolist()
+            whole = [merkle(names[x:y]) for x, y in zip(cut, cut[1:])]
+            if whole != b.column("root").to_pylist() or (np.diff(total) != b.column("n_tokens").to_numpy()).any():
+                raise ValueError("a document does not match its recipe")
+            crc = crc32_of_parts(parts.field("crc").to_numpy(), 4 * n, begins)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return gathered.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

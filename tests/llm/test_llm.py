@@ -249,8 +249,10 @@ def test_token_store(spark, docs, none):
 
 
 def test_crc_of_parts():
-    data = [random.randbytes(n) for n in (0, 4, 400, 1, 77)]
-    assert token_store.crc32_of_parts([(zlib.crc32(d), len(d)) for d in data]) == zlib.crc32(b"".join(data))
+    groups = [[random.randbytes(n) for n in sizes] for sizes in ((0, 4, 400, 1, 77), (), (5,), (0,), (4096, 4096, 12))]
+    parts = [d for g in groups for d in g]
+    got = token_store.crc32_of_parts(np.array([zlib.crc32(d) for d in parts]), np.array([len(d) for d in parts]), np.cumsum([0, *map(len, groups)]))
+    assert got.tolist() == [zlib.crc32(b"".join(g)) for g in groups]
 
 
 # ---------------------------------------------------------------- 7
