@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that a worker remembers at most; beyond, it forgets those that came up once.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 900_000
 #: A character that is a pre-token of its own; pieces that hold it are encoded one by one.
 _MARK = "\0"
 _TOUCHING = re.compile(r"\s\s")
