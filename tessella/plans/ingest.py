@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -120,3 +120,9 @@ def embed_chunks(chunks: DataFrame, embed: Callable, width: int) -> DataFrame:
     from tessella.sources.audio import embed_segments
 
     return embed_segments(chunks, embed, width)
+
+
+def observed(chunks: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """``chunks`` and an observation of what passes by: how many chunks, of how many seconds. Known after an action."""
+    seen = Observation(name)
+    return chunks.observe(seen, F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("seconds")), seen

@@ -225,3 +225,14 @@ def test_job_events(spark):
 def test_schema_report(spark):
     rows = schemas.schema_report(spark, {"creators": spark.range(1)}).collect()
     assert ("table", "videos") in map(tuple, rows) and ("column", "creators.name") in map(tuple, rows)
+
+
+def test_observed_plan_and_log(spark, tmp_path):
+    plan, seen = ingest.observed(spark.createDataFrame([("v", 0, 60), ("v", 60, 5)], "vod_id string, start long, length long"))
+    plan.collect()
+    assert seen.get == {"chunks": 2, "seconds": 65}
+    rows = spark.createDataFrame([(1, dt.datetime(2026, 1, 1, 5)), (2, dt.datetime(2026, 1, 2, 5))], "id long, created_at timestamp")
+    for _ in range(2):
+        writes.append_request_log(rows, f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert log.count() == 4 and {str(r["day"]) for r in log.select("day").distinct().collect()} == {"2026-01-01", "2026-01-02"}
