@@ -16,8 +16,10 @@ import re
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers at most; beyond, it forgets those that came up once.
-MEMO_PIECES = 900_000
+#: Distinct pieces that a worker remembers at most, if not told otherwise; beyond, it forgets those that came up once.
+MEMO_PIECES = 250_000
+#: Bytes of text to encode at a time: new pieces are learned once for each.
+ENCODE_BYTES = 2 << 20
 #: A character that is a pre-token of its own; pieces that hold it are encoded one by one.
 _MARK = "\0"
 _TOUCHING = re.compile(r"\s\s")
@@ -36,13 +38,13 @@ class _Memo(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, unit: str):
+    def __init__(self, path: str, unit: str, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.unit = unit
+        self.unit, self.most = unit, most or MEMO_PIECES
 
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -55,7 +57,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the pieces that came up again."""
-        keep = np.flatnonzero(self.used > 1)[: MEMO_PIECES // 2]
+        keep = np.flatnonzero(self.used > 1)[: self.most // 2]
         names, memo = list(self.memo), _Memo()
         for i in keep.tolist():
             memo[names[i]] = len(memo)
@@ -111,7 +113,7 @@ class Encoder:
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text ends."""
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > self.most:
             self._forget()
         pieces, ends = [], []
         for t in texts:
@@ -139,8 +141,8 @@ def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, unit: str) -> Encoder:
+def encoder(path: str, unit: str, most: int | None = None) -> Encoder:
     """This worker's encoder for a file."""
     if (path, unit) not in _ENCODERS:
-        _ENCODERS[path, unit] = Encoder(path, unit)
+        _ENCODERS[path, unit] = Encoder(path, unit, most)
     return _ENCODERS[path, unit]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_batches
-from tessella.llm.encoding import encoder
+from tessella.llm.encoding import ENCODE_BYTES, encoder
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group.
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, unit: str = "word", end_id: int =
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in small_batches(batches):
+        for b in small_batches(batches, most=ENCODE_BYTES // 2):
             whole = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 ids, at = np.append(ids, np.uint32(end_id)), 0

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import mix, new_path, order_buckets, running_total, small_batches
-from tessella.llm.encoding import encoder
+from tessella.llm.encoding import ENCODE_BYTES, encoder
 
 WINDOW, LEAST, MEAN, MOST = 4, 64, 256, 1024
+#: Pieces that an encoder remembers.
+MEMO_PIECES = 900_000
 #: Chunk digests that a task remembers, to send a repeated chunk's body once.
 TASK_MEMO = 200_000
 DIGEST = 16
@@ -90,8 +92,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, unit: str, path: str, end_
     spark = docs.sparkSession
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent = encoder(tokenizer_path, unit), set()
-        for b in small_batches(batches):
+        enc, sent = encoder(tokenizer_path, unit, MEMO_PIECES), set()
+        for b in small_batches(batches, most=ENCODE_BYTES):
             found, ends = enc.encode_flat(b.column("text").to_pylist())
             ids = np.insert(found, ends, end_id).astype("<u4")
             ends = (ends + np.arange(1, len(ends) + 1)).tolist()
