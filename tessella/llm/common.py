@@ -132,8 +132,8 @@ def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
     return b"\n".join([*parts, b""]), begins
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, each of about ``most`` text bytes, or one row if that is longer."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, each of about ``most`` text bytes, or one row if that is longer, and of ``rows`` at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -141,7 +141,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
         total, begin = np.cumsum(sizes, dtype=np.int64), 0
         while begin < batch.num_rows:
             before = total[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(total, before + most, "right")))
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(total, before + most, "right"))))
             yield batch.slice(begin, end - begin)
             begin = end
 

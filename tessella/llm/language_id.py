@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import BLOCK_BYTES, small_batches
 
 FEATURES, ORDERS = 8192, (1, 2, 3)
 PER_LANGUAGE = 1500
 UNKNOWN = "und"
+#: Texts whose counts are held at once; each takes FEATURES numbers.
+BLOCK_ROWS = 128
 _SPACE = 32
 _LETTERS: list[np.ndarray] = []
 
@@ -144,7 +146,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 11) ->
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES, np.int64)
-        for b in small_batches(batches, most=1 << 19):
+        for b in small_batches(batches, rows=BLOCK_ROWS):
             total += (counts(b.column("text").to_pylist())[0] > 0).sum(axis=0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["feature", "df"])
@@ -162,7 +164,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 11) ->
     sample = known.where(place < share).limit(2 * per_language * len(languages))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, most=1 << 19):
+        for b in small_batches(batches, rows=BLOCK_ROWS):
             tf, _ = counts(b.column("text").to_pylist())
             at = [np.flatnonzero(row) for row in tf]
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +198,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         values = [t if isinstance(t, str) else None for t in texts]
         while at < len(values):
             end, size = at, 0
-            while end < len(values) and (end == at or size + len(values[end] or "") <= 1 << 19):
+            while end < min(len(values), at + BLOCK_ROWS) and (end == at or size + len(values[end] or "") <= BLOCK_BYTES):
                 size, end = size + len(values[end] or ""), end + 1
             n, s = model.predict(values[at:end])
             names, scores, at = names + n, [*scores, *s], end
