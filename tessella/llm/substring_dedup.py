@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,24 +226,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) ->
     space, one that loses all goes, and ``n_chars`` follows where there is such a column. Others stay as they are.
     Column names that begin with ``__`` are reserved."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else b" ".join(kept_words(t, s, length)[0]).decode() for t, s in zip(texts, spans)], dtype=object)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            texts, columns = b.column("text").to_pylist(), {n: b.column(n) for n in names}
+            cut = [None if s is None else b" ".join(kept_words(t, s, length)[0]).decode() for t, s in zip(texts, b.column("__spans").to_pylist())]
+            columns["text"] = pa.array([t if c is None else c for t, c in zip(texts, cut)], pa.string())
+            if "n_chars" in columns:
+                old = columns["n_chars"]
+                columns["n_chars"] = pa.array([o if c is None else len(c) for o, c in zip(old.to_pylist(), cut)], old.type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names).filter(pa.array([c != "" for c in cut]))
 
     key = F.xxhash64(F.lit("document"), F.col("doc_id").cast("long"), F.col("text"))
     spans = later_windows(keyed(docs), length, start).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     marked = docs.withColumn("__key", key).join(spans.hint("shuffle_hash"), "__key", "left")
-    changed = marked.withColumn("__cut", cut(F.col("text"), F.col("__spans")))
-    alive = changed.where(F.col("__spans").isNull() | (F.col("__cut") != ""))
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("__cut").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("__spans").isNotNull(), F.char_length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return alive.select(*columns)
+    return marked.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, docs.schema)
 
 
 REMOVAL_SQL = r"""
