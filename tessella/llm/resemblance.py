@@ -1,0 +1,128 @@
+"""Near-duplicate groups by the Jaccard similarity of word shingles, exactly and without comparing all pairs.
+
+Texts with equal shingle sets are one node. In any fixed order of shingles, two sets whose similarity is
+``least`` or more share a shingle among the first ``n - ceil(least * n) + 1`` of each, so only nodes that meet
+under such a shingle are compared, by their whole sets. The order puts common shingles last; it decides how much
+is compared, never what is found. To spare the pairs inside large groups, the nodes under a shingle are first
+compared with one of them; then all pairs that are not yet in one component are compared.
+
+Defined results: a null or wordless text has the empty set, and equal sets are alike; fewer than ``size`` words
+are one shingle; words are told apart by ASCII white space, and A-Z are folded; rows without an id stay, as
+nothing names them; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tessella.llm.common import materialise, small_batches
+from tessella.llm.near_dedup import SEED, WORD, components
+
+#: At most so many common shingles are told to all tasks, and from how many texts of the counted quarter on.
+COMMON, COMMON_FROM = 100_000, 12
+#: Sets that one numpy pass handles at a time.
+ROWS = 128
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles, as signed longs."""
+    words = WORD.findall((text or "").encode().lower())  # bytes.lower() changes A-Z alone
+    if not words:
+        return np.empty(0, np.int64)
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    shingles = map(join, zip(*[itertools.islice(words, i, None) for i in range(size)])) if len(words) >= size else [join(words)]
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, node, n, grams): the node is a hash of the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
+            n = np.array([len(s) for s in sets], np.int32)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes), pa.array(n), grams], ["doc_id", "node", "n", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, grams array<long>")
+
+
+def shared_prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
+    """(gram, node, n): the first shingles of each node's set that more than one node has among its first."""
+    up, down = least.numerator, least.denominator
+    first = F.expr(f"n - CAST((n * {up}L + {down - 1}) DIV {down} AS INT) + 1")
+    some = sets.where("n > 0 AND pmod(node, 4) = 0").select(F.explode(F.slice("grams", 1, (first * 1.5).cast("int"))).alias("gram"))
+    counts = some.groupBy("gram").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "gram").limit(COMMON)
+    common = np.sort(np.array([r["gram"] for r in counts.select("gram").collect()], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            nodes, sizes = b.column("node").to_numpy(), b.column("n").to_numpy()
+            values, ends = b.column("grams").flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            late = common[np.searchsorted(common[:-1], values)] == values if len(common) else np.zeros(len(values), bool)
+            firsts = sizes - -(-sizes.astype(np.int64) * up // down) + 1
+            # each set is sorted, so a stable sort by (row, common or not) keeps the order of the hashes
+            order = np.argsort(np.repeat(np.arange(len(sizes)), sizes) * 2 + late, kind="stable")
+            place = np.arange(len(values)) - np.repeat(ends[:-1], sizes)
+            taken = place < np.repeat(firsts, sizes)
+            columns = [values[order][taken], np.repeat(nodes, firsts), np.repeat(sizes, firsts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "n"])
+
+    placed = sets.where("n > 0").select("node", "n", "grams").mapInArrow(run, "gram long, node long, n int")
+    placed = placed.dropDuplicates(["gram", "node"])  # equal sets
+    return placed.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("gram"))).where("c > 1").drop("c")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity ``least`` or more."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bodies = sets.select("node", "grams").join(used, "node", "left_semi").dropDuplicates(["node"])
+    of = lambda c: bodies.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
+    return both.where(f"o * {least.denominator}L >= {least.numerator}L * (size(ga) + size(gb) - o)").select("a", "b")
+
+
+def similar_links(sets: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b), a > b: links between nodes of a similarity of ``least`` or more that join all such nodes."""
+    up, down = least.numerator, least.denominator
+    fits = F.expr(f"least(n, m) * {down}L >= greatest(n, m) * {up}L")
+    pair = lambda df: df.where(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+    posts = materialise(shared_prefixes(sets, least), "prefixes")
+    pivot = posts.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"))).alias("p")).select("gram", "p.other", "p.m")
+    tried = materialise(pair(posts.join(pivot, "gram").where("node <> other")).distinct(), "pairs")
+    links = materialise(verified(tried, sets, least), "links")
+    placed = posts.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "k").alias("main"))
+    placed = materialise(placed.join(mixed.where("parts > 1"), "gram").drop("parts"), "placed")
+    # of two nodes of different components, one at least is not in the largest
+    others = placed.select("gram", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("with"))
+    apart = placed.where("component <> main").join(others, "gram").where("component <> with AND (with = main OR node < other)")
+    first = lambda c: F.expr(f"{c} - CAST(({c} * {up}L + {down - 1}) DIV {down} AS INT) + 1")
+    counted = apart.where(fits).groupBy("node", "other", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    # beyond the shared first shingles, no more can be shared than what follows them
+    most = F.col("c") + F.greatest(F.col("n") - first("n"), F.col("m") - first("m"))
+    hopeful = counted.where((most * (up + down)).cast("long") >= (F.col("n") + F.col("m")).cast("long") * up)
+    rest = materialise(pair(hopeful).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(verified(rest, sets, least))
+
+
+def one_of_similar(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
+    """The document with the smallest id of each group that links of ``least`` similarity or more join."""
+    sets = materialise(shingle_sets(docs, size), "sets")
+    stars = components(similar_links(sets, Fraction(str(least))))
+    grouped = sets.select("doc_id", "node").join(stars, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("doc_id").alias("__id"))
+    kept = grouped.select("__id").where("__id is not null").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    with_id = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").select(*columns)
+    return with_id.unionByName(docs.where("doc_id is null"))

@@ -1,0 +1,74 @@
+"""The pipeline's near-copy stage against brute-force Jaccard similarity of five-word shingles."""
+
+import os
+import random
+
+import pytest
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.01"
+
+
+def grams(text, size=5):
+    w = [x.lower() for x in (text or "").encode().split()]
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
+def kept(rows, least=0.8):
+    sets = {i: grams(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or (min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) * 10 >= 8 * len(x | y)):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {find(i) for i in ids}
+
+
+def stage(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+
+
+def test_near_copies(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [None, "", "one", "One", "a b c d e", "a b c d e f"]
+    for _ in range(30):
+        base = rng.choices(vocabulary, k=rng.randint(8, 250))
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(edits, len(copy))):
+                copy[at] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    line = " ".join(rng.choices(vocabulary, k=30))
+    texts += [line + " " + " ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(60)]
+    big = rng.choices(vocabulary, k=120)
+    for _ in range(80):  # one large group of near copies
+        copy = list(big)
+        copy[rng.randrange(120)] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    texts += texts[10:20]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert stage(spark, rows) == sorted(kept(rows))
+    assert stage(spark, []) == []
+    copies = spark.createDataFrame([(4, line), (None, line), (2, line), (2, line)], "doc_id long, text string")
+    found = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, copies, "").collect()]
+    assert sorted(found, key=str) == [2, 2, None]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_test_documents(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert stage(spark, rows) == sorted(kept(rows))
