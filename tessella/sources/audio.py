@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 RATE, CHUNK_SECONDS, BATCH = 16_000, 60, 8
 
@@ -28,19 +29,23 @@ def samples_of(content: bytes) -> np.ndarray:
 
 
 def audio_chunks(files: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """(path, offset_seconds, duration_seconds, samples): chunks of equal length, the last filled with silence."""
+    """(path, offset_seconds, duration_seconds, samples): chunks of equal length, the last filled with silence.
+
+    A file may begin at an ``offset_seconds`` of its recording; without that column it begins at 0.
+    """
     size = chunk_seconds * RATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                x = samples_of(content)
+            for path, start, content in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), b.column("content")):
+                x = samples_of(content.as_py())
                 for at in range(0, len(x), size):
                     part = np.zeros(size, np.float32)
                     part[: len(x[at : at + size])] = x[at : at + size]
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at / RATE]), pa.array([float(chunk_seconds)]), pa.array([part.tobytes()])], ["path", "offset_seconds", "duration_seconds", "samples"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start + at / RATE]), pa.array([float(chunk_seconds)]), pa.array([part.tobytes()])], ["path", "offset_seconds", "duration_seconds", "samples"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, offset_seconds double, duration_seconds double, samples binary")
+    start = F.col("offset_seconds") if "offset_seconds" in files.columns else F.lit(0.0)
+    return files.select("path", "content", start.cast("double").alias("start")).mapInArrow(run, "path string, offset_seconds double, duration_seconds double, samples binary")
 
 
 def cut_segments(x: np.ndarray, rate: int, offset: float) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +82,60 @@ def embed_segments(chunks: DataFrame, embed: Callable[[np.ndarray], np.ndarray]
     return chunks.select("path", "offset_seconds", "samples").mapInArrow(run, "path string, timestamp_seconds double, embedding array<float>")
 
 
-def wavs_from_values(rows: DataFrame, key: str, order: str, value: str, samples_per_value: int = 400) -> DataFrame:
-    """A WAV for each key, its tones set by the ordered values: (path, content), as ``binaryFile`` gives them."""
+def numbered(rows: DataFrame, parts: int = 256) -> DataFrame:
+    """Add ``pos``, from 0, to rows (k, o, v): the place in the order of (o, v) within k, nulls first.
+
+    The rows of a key are numbered in up to ``parts`` ranges of ``o`` apart; one row a range is added up in one place.
+    """
+    order = F.coalesce(F.col("o").cast("double"), F.lit(float("-inf")))
+    cuts = sorted(set(rows.select(F.col("o").cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= order)) if cuts else F.lit(0)
+    placed = rows.withColumn("part", part)
+    sizes = placed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col("k").alias("sk"), F.col("part").alias("sp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(W.partitionBy("k", "part").orderBy(F.col("o").asc_nulls_first(), F.col("v").asc_nulls_first()))
+    joined = placed.withColumn("i", inside).join(starts, F.col("k").eqNullSafe(F.col("sk")) & (F.col("part") == F.col("sp")))
+    return joined.select("k", "o", "v", (F.col("start") + F.col("i") - 1).alias("pos"))
+
+
+def wavs_from_values(rows: DataFrame, key: str, order: str, value: str, samples_per_value: int = 400, block_seconds: int = 2 * CHUNK_SECONDS) -> DataFrame:
+    """WAVs for each key, its tones set by the values in ``order``: (path, content, offset_seconds).
+
+    A recording comes as WAVs of ``block_seconds`` (the last may be shorter) that follow one another without a
+    break, so a task holds one block, however long the recording. Chunks that divide ``block_seconds`` are those of
+    the whole recording.
+    """
+    per_block, left = divmod(block_seconds * RATE, samples_per_value)
+    if left:
+        raise ValueError(f"{samples_per_value} samples a value do not divide {block_seconds} seconds")
+
+    def wav(k: str | None, block: int, phase: float, values: list[float]) -> pa.RecordBatch:
+        pitch = np.repeat([200 + x % 3000 for x in values], samples_per_value)
+        x = np.sin(2 * np.pi * (phase * samples_per_value + np.cumsum(pitch)) / RATE)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
+            w.writeframes((x * 20000).astype("<i2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([f"{k}.wav"]), pa.array([out.getvalue()]), pa.array([float(block * block_seconds)])], ["path", "content", "offset_seconds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key, block and place."""
+        at, values = None, []
         for b in batches:
-            for k, values in zip(b.column("k").to_pylist(), b.column("v").to_pylist()):
-                pitch = np.repeat([200 + (x["v"] or 0) % 3000 for x in values], samples_per_value)
-                x = np.sin(2 * np.pi * np.cumsum(pitch) / RATE)
-                out = io.BytesIO()
-                with wave.open(out, "wb") as w:
-                    w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
-                    w.writeframes((x * 20000).astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([f"{k}.wav"]), pa.array([out.getvalue()])], ["path", "content"])
-
-    grouped = rows.groupBy(F.col(key).cast("string").alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("v"))
-    return grouped.mapInArrow(run, "path string, content binary")
+            for k, block, phase, v in zip(*[b.column(c).to_pylist() for c in ("k", "block", "phase", "v")]):
+                if at is None or at[:2] != (k, block):
+                    if at is not None:
+                        yield wav(*at, values)
+                    at, values = (k, block, phase), []
+                values.append(v or 0)
+        if at is not None:
+            yield wav(*at, values)
+
+    placed = numbered(rows.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).alias("v")))
+    placed = placed.withColumn("block", F.floor(F.col("pos") / per_block))
+    pitches = placed.groupBy("k", "block").agg(F.sum(200 + F.pmod(F.coalesce(F.col("v"), F.lit(0)), F.lit(3000))).cast("double").alias("s"))
+    before = W.partitionBy("k").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    phases = pitches.select(F.col("k").alias("pk"), F.col("block").alias("pb"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("phase"))
+    whole = placed.join(phases, F.col("k").eqNullSafe(F.col("pk")) & (F.col("block") == F.col("pb"))).select("k", "block", "phase", "pos", "v")
+    return whole.repartition("k", "block").sortWithinPartitions("k", "block", "pos").mapInArrow(run, "path string, content binary, offset_seconds double")

@@ -212,6 +212,26 @@ def test_audio(spark):
     assert sorted(r["timestamp_seconds"] for r in found) == [0.0, 1.0, 2.0, 3.0] and {len(r["embedding"]) for r in found} == {64}
 
 
+def test_recordings_in_blocks(spark):
+    """Blocks of a recording are bounded and give the chunks of one long WAV."""
+    values = [(k, i, None if i % 50 == 7 else float((i * 37 + k) % 5000)) for k, n in ((1, 1000), (2, 80), (3, 81), (4, 1)) for i in range(n)]
+    rows = spark.createDataFrame(values, "k long, i long, v double").repartition(7)
+    files = audio.wavs_from_values(rows, "k", "i", "v", block_seconds=2)
+    assert files.groupBy("path").count().where("path = '1.wav'").first()["count"] == 13
+    assert max(len(r["content"]) for r in files.collect()) <= 2 * 16_000 * 2 + 100
+    got = {(r["path"], r["offset_seconds"]): np.frombuffer(r["samples"], np.float32) for r in audio.audio_chunks(files, 1).collect()}
+    for k in (1, 2, 3, 4):
+        pitch = np.repeat([200 + (v or 0) % 3000 for a, _, v in values if a == k], 400)
+        x = (np.sin(2 * np.pi * np.cumsum(pitch) / 16_000) * 20000).astype("<i2") / 32768
+        seconds = -(-len(x) // 16_000)
+        whole = np.zeros(seconds * 16_000)
+        whole[: len(x)] = x
+        assert sorted(t for p, t in got if p == f"{k}.wav") == list(range(seconds))
+        assert np.abs(np.concatenate([got[f"{k}.wav", float(t)] for t in range(seconds)]) - whole).max() < 1e-3
+    with pytest.raises(ValueError):
+        audio.wavs_from_values(rows, "k", "i", "v", samples_per_value=7)
+
+
 def test_job_events(spark):
     at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
     kinds = "id long, ts timestamp, status string, stage string, started boolean, error_code string, error_message string, http_status int"
