@@ -6,18 +6,22 @@ candidate survives. At the first level a document's windows are thinned by winno
 stretch of ``length - start + 1`` windows stands for it, so every window of ``length`` words holds a chosen one,
 at the same place in all its copies, and nothing is lost.
 
-At the last level, the windows around one survivor are a segment. Equal segments are settled as wholes: all but
-the first occurrence go. Only where different segments share a survivor are the windows of their first
-occurrences compared one by one. Windows are compared by the hash of the whole and that of the survivor inside.
+The last doubling extends a survivor in all ways that stand for a window of ``length`` words. Those windows lie
+together, so they are sent as one segment. Equal segments are settled as wholes: all but the first occurrence go.
+Only where different segments share a survivor are their windows compared one by one.
+
+Words are known by 128-bit digests (BLAKE2b) of their bytes and segments by 128-bit digests of those. A window is known
+by 64 bits of its survivor's words and 64 other bits of all its words; the shorter levels only propose candidates.
 
 Defined results: a null text has no words; documents of fewer than ``length`` words lose none; documents are
 ordered by id (null first); rows with the same id and text are one document and get the same result; an empty
-table gives no rows.
+table gives no rows; other columns, whatever their names, are ignored by the report.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,24 +29,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import RangeHash, byte_symbols, joined, materialise, mix, small_batches, winnow, word_spans
+from tessella.llm.common import materialise, mix, small_batches, winnow
 
 LENGTH, START = 20, 10
+#: Distinct words, and segments, that a worker remembers at most, and bytes of a word that is remembered.
+WORD_MEMO, TASK_MEMO, MEMO_WORD = 200_000, 200_000, 64
+
+
+def _digest(data: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+class _Digests(dict):
+    """The digests of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = _digest(word)
+        if len(word) <= MEMO_WORD:
+            self[word] = found
+        return found
 
 
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every word, and the first word of each text (one more entry: the number of words)."""
-    raw, begins = joined(texts)
-    data = np.frombuffer(raw, np.uint8)
-    starts, ends = word_spans(data)
-    a, b = (mix(RangeHash(byte_symbols(data, i), i).of(starts, ends)) for i in (0, 1))
-    return a, b, np.searchsorted(starts, begins)
+_DIGESTS = _Digests()
 
 
-def _grams(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """The hash of each run of ``size`` words."""
-    at = np.arange(max(0, len(words) - size + 1))
-    return RangeHash(words, which).of(at, at + size)
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of every word as two numbers, and the first word of each text (one more entry: the number of words)."""
+    if len(_DIGESTS) > WORD_MEMO:
+        _DIGESTS.clear()
+    split = [(t or "").encode().split() for t in texts]  # bytes.split() cuts at ASCII white space alone
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(w) for w in split], out=first[1:])
+    digests = b"".join(map(_DIGESTS.__getitem__, itertools.chain.from_iterable(split)))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2), first
+
+
+def _grams(words: np.ndarray, size: int, half: int = 0) -> np.ndarray:
+    """A 64-bit digest of each run of ``size`` words, from one half of the words' digests: runs of 1, 2, 4, ... words
+    are made of two of half their length, and those that ``size`` is the sum of are joined."""
+    n = max(0, len(words) - size + 1)
+    pair = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+    run, span, found, held = words[:, half].copy(), 1, None, 0
+    while True:
+        if size & span:
+            found = run[:n] if found is None else pair(found, run[held : held + n])
+            held += span
+        span *= 2
+        if span > size:
+            return found
+        run = pair(run[: -(span // 2)], run[span // 2 :])
 
 
 def _table(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
@@ -50,9 +85,14 @@ def _table(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text); the key is a hash of both."""
+    """(key, d, doc_id, text). ``key`` is a hash of id and text, and brings candidates back to their text; together
+    with ``d``, the id with the least number for null, it names a document."""
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.xxhash64(F.lit("document"), doc_id, F.col("text")).alias("key"), doc_id.alias("doc_id"), "text")
+    return docs.select(*names_of(doc_id, F.col("text")), doc_id.alias("doc_id"), "text")
+
+
+def names_of(doc_id: F.Column, text: F.Column) -> list[F.Column]:
+    return [F.xxhash64(F.lit("document"), doc_id.isNull(), doc_id, text.isNull(), text).alias("key"), F.coalesce(doc_id, F.lit(-(2**63))).alias("d")]
 
 
 def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
@@ -61,8 +101,8 @@ def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            a, _, first = _words(b.column("text").to_pylist())
-            grams = _grams(a, start)
+            words, first = _words(b.column("text").to_pylist())
+            grams = _grams(words, start)
             at, sizes = [], []
             for s, e in zip(first[:-1], first[1:]):
                 found = winnow(grams[s : max(s, e - start + 1)], width)[1]
@@ -72,87 +112,88 @@ def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
             local = all_at - np.repeat(first[:-1], sizes)
             yield _table(["h", "key", "at"], [grams[all_at].view(np.int64), np.repeat(b.column("key").to_numpy(), sizes), local.astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()])
 
-    return rows.mapInArrow(run, "h long, key long, at int")
+    return rows.select("key", "text").mapInArrow(run, "h long, key long, at int")
 
 
 def repeated(level: DataFrame) -> DataFrame:
     """(key, ats): where a document's windows of this level occur more than once."""
+    level = materialise(level, "level")
     # a table of its own, so that the join can split a hot window
     twice = materialise(level.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
-    return level.join(twice, "h").groupBy("key").agg(F.collect_set("at").alias("ats"))
+    return materialise(level.join(twice, "h").groupBy("key").agg(F.collect_set("at").alias("ats")), "survivors")
 
 
 def doubled(rows: DataFrame, survivors: DataFrame, size: int) -> DataFrame:
-    """(h, key, at) at twice the length: what survives, extended to the right and to the left.
+    """(h, key, at) at twice the length ``size``: what survives, extended to the right and to the left.
 
     A window of four times ``size`` words or more that holds a survivor holds one of its two extensions.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            a, _, first = _words(b.column("text").to_pylist())
-            grams = _grams(a, 2 * size)
+            words, first = _words(b.column("text").to_pylist())
+            grams = _grams(words, 2 * size)
             hs, keys, ats = [], [], []
             for key, found, s, e in zip(b.column("key").to_pylist(), b.column("ats").to_pylist(), first[:-1], first[1:]):
                 at = np.array(found, np.int64)
                 n = e - s
-                both = [at[at + 2 * size <= n], at[(at >= size)] - size]
+                both = [at[at + 2 * size <= n], at[(at >= size) & (at + size <= n)] - size]
                 for where, shift in zip(both, (0, size)):
                     hs.append(mix(grams[where + s] ^ np.uint64(shift)))
                     ats.append(where + shift)
                     keys.append(np.full(len(where), key, np.int64))
             yield _table(["h", "key", "at"], [np.concatenate(hs).view(np.int64), np.concatenate(keys), np.concatenate(ats).astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()])
 
-    return rows.join(survivors.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "ats").mapInArrow(run, "h long, key long, at int")
+    return rows.join(survivors.hint("shuffle_hash"), "key").select("key", "text", "ats").mapInArrow(run, "h long, key long, at int")
 
 
-_SEGMENT = "kind string, h long, sid long, key long, d long, lo int, n int, wins binary"
-_NAMES = [x.split()[0] for x in _SEGMENT.split(", ")]
-#: Segments that a task remembers, to send the hashes of their windows once.
-TASK_MEMO = 500_000
+_SEGMENT = pa.schema([("kind", pa.string()), ("h", pa.int64()), ("sid", pa.binary()), ("key", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("wins", pa.binary())])
 
 
-def segments(rows: DataFrame, survivors: DataFrame, length: int, start: int) -> DataFrame:
-    """Rows ``at``: the ``n`` windows from word ``lo`` on of document ``key`` are segment (h, sid). Rows ``body``: the
-    windows' hashes, once a task for each segment."""
+def doubled_last(rows: DataFrame, survivors: DataFrame, length: int, start: int) -> DataFrame:
+    """The windows of ``length`` words around each survivor. Rows ``at``: the ``n`` windows from word ``lo`` on of a
+    document are segment ``sid``. Rows ``body``: the survivor and the digests of those windows, once a task for each segment."""
     width = length - start + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        sent: set[bytes] = set()
         for b in small_batches(batches):
-            one, two, first = _words(b.column("text").to_pylist())
-            grams, whole, again = _grams(one, start), _grams(one, length), RangeHash(two, 1)
+            words, first = _words(b.column("text").to_pylist())
+            grams, one, two = _grams(words, start), _grams(words, length), _grams(words, length, 1)
+            both, two = np.stack([one, two], axis=1).tobytes(), two.tobytes()
             ats, lows, highs, docs = [], [], [], []
             for i, (found, s, e) in enumerate(zip(b.column("ats").to_pylist(), first[:-1], first[1:])):
-                choice, _ = winnow(grams[s : max(s, e - start + 1)], width)
-                at = np.sort(np.array(found, np.int64))
+                choice, at = winnow(grams[s : max(s, e - start + 1)], width)
+                at = at[np.isin(at, found)]
                 ats.append(at + s)
                 lows.append(np.searchsorted(choice, at, "left") + s)
                 highs.append(np.searchsorted(choice, at, "right") + s)
                 docs.append(np.full(len(at), i))
             at, low, high, doc = map(np.concatenate, (ats, lows, highs, docs))
-            h, sid = grams[at].view(np.int64), again.of(low, high - 1 + length).view(np.int64)
-            n, m = (high - low).astype(np.int32), len(at)
-            key, order = b.column("key").to_numpy()[doc], b.column("d").to_numpy()[doc]
-            nothing = lambda kind: pa.nulls(m, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(["at"] * m, pa.string()), *map(pa.array, (h, sid, key, order, (low - first[doc]).astype(np.int32), n)), nothing(pa.binary())], _NAMES)
+            h, n, m = grams[at].view(np.int64), (high - low).astype(np.int32), len(at)
+            cut = list(zip(low.tolist(), high.tolist()))
+            sids = [_digest(both[16 * x : 16 * y]) for x, y in cut]
+            of = lambda c: b.column(c).to_numpy()[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(["at"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(sids, pa.binary()), pa.array(of("key")), pa.array(of("d")), pa.array((low - first[doc]).astype(np.int32)), pa.array(n), pa.nulls(m, pa.binary())], schema=_SEGMENT)
             new = []
-            for i, name in enumerate(zip(h.tolist(), sid.tolist())):
+            for i, name in enumerate(sids):
                 if name not in sent:
                     sent.add(name)
                     new.append(i)
             if len(sent) > TASK_MEMO:
                 sent.clear()
-            m, wins = len(new), [whole[x:y].tobytes() for x, y in zip(low[new].tolist(), high[new].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(["body"] * m, pa.string()), pa.array(h[new]), pa.array(sid[new]), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int32()), pa.array(n[new]), pa.array(wins, pa.binary())], _NAMES)
+            nothing = lambda kind: pa.nulls(len(new), kind)  # noqa: B023,E731
+            columns = [pa.array(["body"] * len(new), pa.string()), pa.array(h[new]), pa.array([sids[i] for i in new], pa.binary()), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int32()), pa.array(n[new]), pa.array([two[8 * cut[i][0] : 8 * cut[i][1]] for i in new], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SEGMENT)
 
-    order = F.coalesce("doc_id", F.lit(-(2**63))).alias("d")
-    return rows.join(survivors.hint("shuffle_hash"), "key").select("key", order, "text", "ats").mapInArrow(run, _SEGMENT)
+    schema = "kind string, h long, sid binary, key long, d long, lo int, n int, wins binary"
+    return rows.join(survivors.hint("shuffle_hash"), "key").select("key", "d", "text", "ats").mapInArrow(run, schema)
 
 
 def _windows(firsts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(h, w, key, d, start) of the windows of segments whose survivor other segments share."""
-    shared = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    some = firsts.join(shared, "h").select("h", "sid", "first.*")
+    """(h, w, key, d, start) of the windows of segments whose survivor ``h`` other segments share."""
+    once = materialise(bodies.groupBy("sid").agg(F.min("h").alias("h"), F.min("wins").alias("wins")), "bodies")
+    shared = once.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,34 +202,35 @@ def _windows(firsts: DataFrame, bodies: DataFrame) -> DataFrame:
             each = np.repeat(np.arange(len(wins)), n)
             inside = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             of = lambda c: b.column(c).to_numpy()[each]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (of("h"), np.frombuffer(b"".join(wins), np.int64), of("key"), of("d"), (of("lo") + inside).astype(np.int32)))], ["h", "w", "key", "d", "start"])
+            columns = [of("h"), np.frombuffer(b"".join(wins), np.int64), of("key"), of("d"), (of("lo") + inside).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "w", "key", "d", "start"])
 
-    once = bodies.groupBy("h", "sid").agg(F.min("wins").alias("wins"))
-    return some.join(once, ["h", "sid"]).select("h", "key", "d", "lo", "wins").mapInArrow(run, "h long, w long, key long, d long, start int")
+    some = once.join(shared, "h", "left_semi").join(firsts.select("sid", "first.*"), "sid")
+    return some.select("h", "key", "d", "lo", "wins").mapInArrow(run, "h long, w long, key long, d long, start int")
 
 
 def later_windows(rows: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    """(key, spans): runs (a, b) of starts of windows whose words also start earlier."""
+    """(key, d, spans): runs (a, b) of starts of windows whose words also start earlier."""
     sizes = [start]
     while sizes[-1] < length:
         sizes.append(2 * sizes[-1])
     if sizes[-1] != length:
         raise ValueError("length must be start doubled some times")
-    survivors = materialise(repeated(first_level(rows, length, start)), "level")
+    survivors = repeated(first_level(rows, length, start))
     for size in sizes[1:-1]:
-        survivors = materialise(repeated(doubled(rows, survivors, size // 2)), "level")
-    made = materialise(segments(rows, survivors, length, start), "segments")
-    at, bodies = made.where("kind = 'at'").select("h", "sid", "key", "d", "lo", "n"), made.where("kind = 'body'").select("h", "sid", "wins")
+        survivors = repeated(doubled(rows, survivors, size // 2))
+    made = materialise(doubled_last(rows, survivors, length, start), "segments")
+    at, bodies = made.where("kind = 'at'").select("sid", "key", "d", "lo", "n"), made.where("kind = 'body'").select("h", "sid", "wins")
     # a table of its own, so that the joins below can split a hot segment
-    firsts = materialise(at.groupBy("h", "sid").agg(F.min(F.struct("d", "lo", "key")).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
-    again = at.join(firsts.where("times > 1").select("h", "sid", "first"), ["h", "sid"])
+    firsts = materialise(at.groupBy("sid").agg(F.min(F.struct("d", "lo", "key")).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
+    again = at.join(firsts.where("times > 1").select("sid", "first"), "sid")
     whole = again.where((F.col("d") > F.col("first.d")) | ((F.col("d") == F.col("first.d")) & (F.col("lo") > F.col("first.lo"))))
-    whole = whole.select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
+    whole = whole.select("key", "d", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
     windows = materialise(_windows(firsts, bodies), "windows")
     least = windows.groupBy("h", "w").agg(F.min(F.struct("d", "start")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "w", "least")
     later = windows.join(least, ["h", "w"]).where((F.col("d") > F.col("least.d")) | ((F.col("d") == F.col("least.d")) & (F.col("start") > F.col("least.start"))))
-    single = later.select("key", F.col("start").alias("a"), F.col("start").alias("b"))
-    return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    single = later.select("key", "d", F.col("start").alias("a"), F.col("start").alias("b"))
+    return whole.unionByName(single).groupBy("key", "d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def kept_words(text: str | None, spans: list | None, length: int) -> tuple[list[bytes], int]:
@@ -217,7 +259,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH, start: int = START) ->
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = rows.join(later_windows(rows, length, start).hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "spans")
+    marked = rows.join(later_windows(rows, length, start).hint("shuffle_hash"), ["key", "d"], "left").select("doc_id", "text", "spans")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -238,9 +280,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) ->
                 columns["n_chars"] = pa.array([o if c is None else len(c) for o, c in zip(old.to_pylist(), cut)], old.type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names).filter(pa.array([c != "" for c in cut]))
 
-    key = F.xxhash64(F.lit("document"), F.col("doc_id").cast("long"), F.col("text"))
-    spans = later_windows(keyed(docs), length, start).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    marked = docs.withColumn("__key", key).join(spans.hint("shuffle_hash"), "__key", "left")
+    key, d = names_of(F.col("doc_id").cast("long"), F.col("text"))
+    spans = later_windows(keyed(docs), length, start).select(F.col("key").alias("__key"), F.col("d").alias("__d"), F.col("spans").alias("__spans"))
+    marked = docs.withColumns({"__key": key, "__d": d}).join(spans.hint("shuffle_hash"), ["__key", "__d"], "left")
     return marked.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, docs.schema)
 
 
