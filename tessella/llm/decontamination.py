@@ -1,15 +1,15 @@
 """Benchmark decontamination by a set of normalised test n-grams. SQL functions only.
 
 Text is put in lower case (A-Z alone) and cut into words; a window is ``n`` consecutive words of an item, or
-all of them in a shorter item. Documents are scanned with the hash of a window's first and last word, looked
-up in a hash set that goes to all tasks; what passes is verified word by word. A document word inside any
-occurrence of a window is hit.
-
-The set is carried to all tasks only up to ``SET_LIMIT`` windows; beyond that the scan joins on the hash by
-shuffle. Both ways give the same rows.
+all of them in a shorter item. Each window's length, first and last word give a number below ``SLOTS``; the set of
+those numbers goes to all tasks, so it has a bound whatever the benchmark's size. Documents are scanned with it in
+one generated loop, and the text of what passes is verified by a join with the windows' texts. A document word
+inside any occurrence of a window is hit.
 
 Defined results: a null or wordless text has no words and no hits; wordless items are skipped; repeated rows
-and equal ids are each reported; empty tables give no rows or no hits; other columns are ignored.
+and equal or null ids are each reported; equal texts share their result; empty tables give no rows or no hits; other
+columns, whatever their names, are ignored by the report and kept by ``remove_contaminated``, but for ``__digest``,
+which is reserved there.
 """
 
 from __future__ import annotations
@@ -17,121 +17,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import materialise
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Windows that are carried to all tasks at most; beyond, the hash join shuffles.
-SET_LIMIT = 100_000
+#: The broadcast set has so many numbers at most. More windows than that only let more through to be verified.
+SLOTS = 1 << 21
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    # the two agree on ASCII, where ``lower`` is much the faster
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def _ends(words: Column, at: Column, length: int | Column) -> Column:
-    return F.xxhash64(F.get(words, at), F.get(words, at + length - 1))
+def _slot(words: Column, at: Column, length: Column) -> Column:
+    """The number of the window of ``length`` words from ``at`` (from 0) on; null where it would pass the end."""
+    last = F.get(words, at + length - 1)
+    return F.when(last.isNotNull(), F.pmod(F.xxhash64(length, F.get(words, at), last), F.lit(SLOTS)))
 
 
-def _window(words: Column, at: Column, length: int | Column) -> Column:
+def _window(words: Column, at: Column, length: Column) -> Column:
     return F.array_join(F.slice(words, at + 1, length), " ")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Distinct (length, window, ends, item_id)."""
+    """Distinct (length, window, slot, item_id)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     sized = items.where(F.size("words") > 0).select("item_id", "words", F.least(F.size("words"), F.lit(n)).alias("length"))
     at = sized.select("item_id", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at"))
-    return at.select(
-        "item_id", "length", _window(F.col("words"), F.col("at"), F.col("length")).alias("window"),
-        _ends(F.col("words"), F.col("at"), F.col("length")).alias("ends"),
-    ).distinct()
-
-
-def _scan(words: Column, length: int, passes) -> Column:
-    """Starts of the windows of ``length`` words that ``passes`` lets through."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, passes)
-
-
-def _bounded(windows: DataFrame, set_limit: int) -> list | None:
-    """The windows for the hash set, or None if there are more than ``set_limit``."""
-    rows = windows.select("length", "ends", "window").distinct().limit(set_limit + 1).collect()
-    return rows if len(rows) <= set_limit else None
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.monotonically_increasing_id().alias("__row"), words_of(F.col("text")).alias("__words"))
-
-
-def _maybe(words: Column, length: int, ends: list[int]) -> Column:
-    return _scan(words, length, lambda i: _ends(words, i, length).isin(ends))
-
-
-def _sure(words: Column, starts: Column, length: int, texts: list[str]) -> Column:
-    verified = F.filter(starts, lambda i: _window(words, i, length).isin(texts))
-    return F.transform(verified, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), _window(words, i, length).alias("window")))
-
-
-def _all_windows(words: Column, length: int) -> Column:
-    every = _scan(words, length, lambda i: F.lit(True))
-    return F.transform(every, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), _ends(words, i, length).alias("ends"), _window(words, i, length).alias("window")))
-
-
-def _scan_set(docs: DataFrame, rows: list) -> DataFrame:
-    """``docs`` with __row, __words and __found: (at, length, window) of each verified occurrence. No shuffle."""
-    found, parts = _numbered(docs), []
-    for length in sorted({r["length"] for r in rows}):
-        found = found.withColumn(f"__at{length}", _maybe(F.col("__words"), length, sorted({r["ends"] for r in rows if r["length"] == length})))
-        parts.append(_sure(F.col("__words"), F.col(f"__at{length}"), length, sorted({r["window"] for r in rows if r["length"] == length})))
-    none = F.array().cast("array<struct<at:int,length:int,window:string>>")
-    return found.withColumn("__found", F.concat(none, *parts) if parts else none)
-
-
-def _scan_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(__row, at, length, item_id) of each occurrence, by a shuffled join on the hash and the window."""
-    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # n numbers at most
-    words = F.col("__words")
-    starts = F.concat(*[_all_windows(words, k) for k in lengths])
-    exploded = _numbered(docs.select("text")).select("__row", F.explode(starts).alias("w")).select("__row", "w.*")
-    return exploded.join(windows, ["length", "ends", "window"]).select("__row", "at", "length", "item_id")
-
-
-def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit: int = SET_LIMIT) -> DataFrame:
+    place = (F.col("words"), F.col("at"), F.col("length"))
+    return at.select("item_id", "length", _window(*place).alias("window"), _slot(*place).alias("slot")).distinct()
+
+
+def survivors(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """What the set lets through, (at, length, window), beside the columns of ``docs`` but its text; and for every
+    document a row with ``at`` -1 and no window. ``n_words`` is the document's count."""
+    names = [c for c in docs.columns if c != "text"]
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect()) or [n]  # n numbers at most
+    base = docs.select(*names, words_of(F.col("text")).alias("words"))
+    places = base.select(*names, "words", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("place", "word")).drop("word")
+    places = places.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))) if len(lengths) > 1 else places.withColumn("length", F.lit(lengths[0]))
+    at, length = F.col("place") - 1, F.col("length")
+    marked = places.withColumn("of", F.when(at >= 0, _slot(F.col("words"), at, length)))
+    slots = F.broadcast(windows.select(F.col("slot").alias("hit")).distinct())  # SLOTS numbers at most
+    passed = marked.join(slots, F.col("of") == F.col("hit"), "left").where(F.col("hit").isNotNull() | ((at < 0) & (length == lengths[0])))
+    window = F.when(at >= 0, _window(F.col("words"), at, length))
+    return passed.select(*names, F.size("words").cast("long").alias("n_words"), at.alias("at"), "length", window.alias("window"))
+
+
+def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """One row a document: how many words it has, how many are hit, and by which items."""
-    windows = benchmark_windows(benchmark, n)
-    rows = _bounded(windows, set_limit)
-    docs = docs.select("doc_id", "text")
-    if rows is not None:
-        found = _scan_set(docs, rows)
-        places = F.array_distinct(F.flatten(F.transform("__found", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1))))
-        seen = found.select(
-            "__row", "doc_id", F.size("__words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"),
-            F.array_distinct(F.transform("__found", lambda x: x["window"])).alias("__texts"),
-        ).select("__row", "doc_id", "n_words", "n_hit", F.explode_outer("__texts").alias("window"))
-        # at most set_limit windows are carried; a window that very many items hold is still one row an item
-        pairs = windows.select("window", "item_id")
-        matched = seen.join(pairs, "window", "left")
-        items = matched.groupBy("__row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    else:
-        hit = _scan_join(docs, windows)
-        spread = hit.select("__row", "item_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("place"))
-        per_doc = spread.groupBy("__row").agg(F.size(F.collect_set("place")).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-        base = _numbered(docs).select("__row", "doc_id", F.size("__words").cast("long").alias("n_words"))
-        items = base.join(per_doc, "__row", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return items.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    windows = materialise(benchmark_windows(benchmark, n), "windows")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # row numbers are given once: both sides below read them from this table
+    found = materialise(survivors(rows, windows, n), "survivors")
+    hits = found.where("at >= 0").select("row", "at", "length", "window").join(windows.select("length", "window", "item_id"), ["length", "window"])
+    places = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "length")), lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1))))
+    per_row = hits.groupBy("row").agg(F.size(places).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    joined = found.where("at < 0").select("row", "doc_id", "n_words").join(per_row, "row", "left")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return joined.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit: int = SET_LIMIT) -> DataFrame:
-    """The documents without any hit, all columns kept. A document that holds a test passage goes whole."""
-    windows = benchmark_windows(benchmark, n)
-    rows = _bounded(windows, set_limit)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    if rows is not None:
-        # using the row number keeps it, and with it the filter above the projection that cuts the words
-        return _scan_set(docs, rows).where((F.size("__found") == 0) & (F.col("__row") >= 0)).select(*kept)
-    return _numbered(docs).join(_scan_join(docs, windows).select("__row").distinct(), "__row", "left_anti").select(*kept)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """The documents without any hit, all columns kept. A document that holds a test passage goes whole.
+
+    Documents are known by a digest of their text, as equal texts share their fate.
+    """
+    windows = materialise(benchmark_windows(benchmark, n), "windows")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    found = survivors(docs.select(digest.alias("digest"), "text"), windows, n).where("at >= 0")
+    hit = found.join(windows.select("length", "window").distinct(), ["length", "window"], "left_semi").select(F.col("digest").alias("__digest")).distinct()
+    return docs.withColumn("__digest", digest).join(hit, "__digest", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 CONTAMINATION_SQL = r"""
