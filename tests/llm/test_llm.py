@@ -99,9 +99,9 @@ def brute_bytes(data, length):
     return out
 
 
-@pytest.mark.parametrize("length,size,hot", [(400, 128, 50_000), (120, 40, 50_000), (120, 40, 2)])
-def test_suffix_dedup(docs, none, length, size, hot):
-    got = by_id(suffix_dedup.removal_report(docs, length, size, hot))
+@pytest.mark.parametrize("length,size,group_bytes", [(400, 128, 2 << 20), (120, 40, 2 << 20), (120, 40, 300), (400, 128, 1000)])
+def test_suffix_dedup(docs, none, length, size, group_bytes):
+    got = by_id(suffix_dedup.removal_report(docs, length, size, group_bytes))
     for i, expected in enumerate(brute_bytes([(t or "").encode() for t in TEXTS], length)):
         assert tuple(got[i * 3])[1:] == expected, i
     assert suffix_dedup.removal_report(none).count() == 0
@@ -110,9 +110,60 @@ def test_suffix_dedup(docs, none, length, size, hot):
 def test_segments_that_differ():
     core = bytes(random.randbytes(500))
     bodies = [b"aaa" + core + b"x" * 20, b"bbbb" + core + b"y" * 9, bytes(random.randbytes(520))]
-    got = suffix_dedup.repeats_among(bodies, [3, 4, 100], [0, 0, 0], 400)
-    assert got == [list(range(3, 104)), list(range(4, 105)), []]
-    assert suffix_dedup.repeats_among(bodies, [3, 4, 100], [0, 1, 2], 400) == [[], [], []]
+    assert suffix_dedup.repeated_runs(bodies, [3, 4, 100], [0, 0, 0], 400) == [(0, 3, 103), (1, 4, 104)]
+    assert suffix_dedup.repeated_runs(bodies, [3, 4, 100], [0, 1, 2], 400) == []
+
+
+@pytest.mark.parametrize("length", [400, 120, 35, 47])
+def test_repeated_runs_against_brute_force(length):
+    rng = random.Random(length)
+    for _ in range(60):
+        parts = [bytes(rng.choices(b"ab", k=rng.randint(length // 2, length))) for _ in range(3)]
+        anchor = rng.randbytes(16)
+        bodies, offs, groups = [], [], []
+        for g in range(3):
+            for _ in range(rng.randint(1, 5)):
+                left, right = rng.choice(parts)[-rng.randint(1, length) :], rng.choice(parts)[: rng.randint(length // 2, length)]
+                bodies.append(left + anchor + right + bytes(max(0, length - len(left + anchor + right))))
+                offs.append(len(left))
+                groups.append(g)
+        # strings that hold the whole anchor; equal ones hold it at the same place
+        reach = [range(max(0, o + 16 - length), min(o, len(x) - length) + 1) for x, o in zip(bodies, offs)]
+        count = collections.Counter((g, x[s : s + length]) for x, r, g in zip(bodies, reach, groups) for s in r)
+        expected = {(i, s) for i, (x, r, g) in enumerate(zip(bodies, reach, groups)) for s in r if count[g, x[s : s + length]] > 1}
+        got = {(i, s) for i, a, b in suffix_dedup.repeated_runs(bodies, offs, groups, length) for s in range(a, b + 1)}
+        assert {(i, s) for i, s in got if s in reach[i]} == expected
+
+
+def thue_morse(n, a, b):
+    s = [a]
+    while len(s) < n:
+        s += [b if x == a else a for x in s]
+    return s[:n]
+
+
+def test_strings_that_collide_in_polynomial_hashes(spark):
+    one, two = (b"".join(thue_morse(1024, *x)) for x in ((b"a", b"b"), (b"b", b"a")))
+    fill = [random.Random(i).randbytes(128).hex() for i in range(2)]
+    texts = [one[:400].decode() + fill[0], two[:400].decode() + fill[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, expected in enumerate(brute_bytes([t.encode() for t in texts], 400)):
+        assert tuple(by_id(suffix_dedup.removal_report(df))[i])[1:] == expected
+    shared = [words(20), words(20)]
+    texts = [f"{shared[0]} {w.decode()} {shared[1]}" for w in (one, two)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [tuple(r)[1:3] for r in substring_dedup.removal_report(df).orderBy("doc_id").collect()] == [(41, 0), (41, 40)]
+
+
+def test_one_anchor_with_many_surroundings(spark):
+    """A passage in many documents, each with its own text around it: the anchor's group is split again and again."""
+    rng = random.Random(5)
+    passage = rng.randbytes(450).hex()
+    texts = [rng.randbytes(rng.randint(0, 300)).hex() + passage[: rng.choice([380, 410, 900])] + rng.randbytes(rng.randint(0, 300)).hex() for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(suffix_dedup.removal_report(df, group_bytes=4000))
+    for i, expected in enumerate(brute_bytes([t.encode() for t in texts], 400)):
+        assert tuple(got[i])[1:] == expected, i
 
 
 # ---------------------------------------------------------------- 2
@@ -277,12 +328,13 @@ def test_language_id(spark, none):
 
 # ---------------------------------------------------------------- 8
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_decontamination(spark, docs, none, limit):
+@pytest.mark.parametrize("slots", [1 << 21, 3])
+def test_decontamination(spark, docs, none, slots, monkeypatch):
+    monkeypatch.setattr(decontamination, "SLOTS", slots)
     parts = TEXTS[11].split()
     items = [(1, " ".join(parts[5:25])), (20, "ONE"), (3, None), (4, "..."), (5, "a  B\nc"), (6, words(15)), (7, " ".join(parts[10:22]).upper()), (8, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = by_id(decontamination.contamination_report(docs, bench, set_limit=limit))
+    got = by_id(decontamination.contamination_report(docs, bench))
     norm = lambda t: [w for w in __import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")))]
     wins = collections.defaultdict(set)
     for i, t in items:
@@ -301,9 +353,31 @@ def test_decontamination(spark, docs, none, limit):
         assert tuple(got[i * 3]) == (i * 3, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)), i
         if not hit:
             clean.add(i * 3)
-    assert {r["doc_id"] for r in decontamination.remove_contaminated(docs, bench, set_limit=limit).collect()} == clean
-    assert decontamination.contamination_report(none, bench, set_limit=limit).count() == 0
-    assert not decontamination.contamination_report(docs, bench.limit(0), set_limit=limit).where("contaminated").count()
+    assert {r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()} == clean
+    assert decontamination.contamination_report(none, bench).count() == 0
+    assert not decontamination.contamination_report(docs, bench.limit(0)).where("contaminated").count()
+
+
+def test_decontamination_of_a_table_dealt_anew(spark):
+    """Not cached, dealt at random, with repeated rows, null ids and clashing names; and more windows than slots."""
+    rng = random.Random(8)
+    texts = [words(rng.randint(0, 60)) for _ in range(120)] + [words(4000)]
+    rows = [(rng.choice([i, 7, None]), t, "x", 1) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, window string, row long").repartition(7)
+    bench = spark.createDataFrame([(i, " ".join(texts[i].split()[3:30]), 0) for i in range(0, 120, 3)], "item_id long, text string, length int").repartition(3)
+    known = {}
+    for w in (t.split() for t in (r["text"] for r in bench.collect())):
+        n = min(10, len(w))
+        for s in range(len(w) - n + 1) if n else ():
+            known.setdefault(n, set()).add(tuple(w[s : s + n]))
+    def hits(t):
+        w = t.split()
+        return len({p for n, found in known.items() for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in found for p in range(s, s + n)})
+    expected = sorted((-1 if i is None else i, len(t.split()), hits(t)) for i, t, *_ in rows)
+    got = decontamination.contamination_report(df, bench)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"]) for r in got.collect()) == expected
+    kept = decontamination.remove_contaminated(df, bench)
+    assert kept.columns == df.columns and kept.count() == sum(not h for *_, h in expected)
 
 
 # ---------------------------------------------------------------- 9
