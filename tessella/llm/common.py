@@ -37,6 +37,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """A table of ``df`` in the shared folder, bucketed by ``key``: a join on it moves the other side alone."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.option("path", new_path(spark, label)).option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def order_buckets(df: DataFrame, key: str, per_partition: int = 4, out: str = "bucket") -> DataFrame:
     """Add ``out``: a bucket number that never falls as ``key`` rises; buckets hold about equal counts.
 
@@ -183,3 +191,26 @@ def winnow(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.ones(count, bool)
     first[1:] = choice[1:] != choice[:-1]
     return choice, choice[first]
+
+
+def winnow_parts(values: np.ndarray, width: int, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing of the parts [begin, end) of ``values``, each by itself: (part, choice, low, high) of each distinct choice.
+
+    The windows that start from ``low`` to ``high`` - 1 choose it.
+    """
+    choice = winnow(values, width)[0]
+    n = np.maximum(ends - begins - width + 1, 0)
+    part = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(part)) + np.repeat(begins - np.cumsum(n) + n, n)
+    chosen = choice[at]
+    first = np.ones(len(at), bool)
+    first[1:] = (chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1])
+    low = np.flatnonzero(first)
+    return part[low], chosen[low], at[low], at[low] + np.diff(np.append(low, len(at)))
+
+
+def chosen_by_lists(part: np.ndarray, place: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which (part, place) are in the list of their part."""
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.isin((part << 40) + place, (owner << 40) + pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise, mix, small_batches, winnow
+from tessella.llm.common import bucketed, chosen_by_lists, materialise, mix, small_batches, winnow_parts
 
 LENGTH, START = 20, 10
 #: Distinct words, and segments, that a worker remembers at most, and bytes of a word that is remembered.
@@ -103,14 +103,8 @@ def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
         for b in small_batches(batches):
             words, first = _words(b.column("text").to_pylist())
             grams = _grams(words, start)
-            at, sizes = [], []
-            for s, e in zip(first[:-1], first[1:]):
-                found = winnow(grams[s : max(s, e - start + 1)], width)[1]
-                at.append(found + s)
-                sizes.append(len(found))
-            all_at = np.concatenate(at)
-            local = all_at - np.repeat(first[:-1], sizes)
-            yield _table(["h", "key", "at"], [grams[all_at].view(np.int64), np.repeat(b.column("key").to_numpy(), sizes), local.astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()])
+            doc, at, _, _ = winnow_parts(grams, width, first[:-1], first[1:] - start + 1)
+            yield _table(["h", "key", "at"], [grams[at].view(np.int64), b.column("key").to_numpy()[doc], (at - first[doc]).astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()])
 
     return rows.select("key", "text").mapInArrow(run, "h long, key long, at int")
 
@@ -161,15 +155,9 @@ def doubled_last(rows: DataFrame, survivors: DataFrame, length: int, start: int)
             words, first = _words(b.column("text").to_pylist())
             grams, one, two = _grams(words, start), _grams(words, length), _grams(words, length, 1)
             both, two = np.stack([one, two], axis=1).tobytes(), two.tobytes()
-            ats, lows, highs, docs = [], [], [], []
-            for i, (found, s, e) in enumerate(zip(b.column("ats").to_pylist(), first[:-1], first[1:])):
-                choice, at = winnow(grams[s : max(s, e - start + 1)], width)
-                at = at[np.isin(at, found)]
-                ats.append(at + s)
-                lows.append(np.searchsorted(choice, at, "left") + s)
-                highs.append(np.searchsorted(choice, at, "right") + s)
-                docs.append(np.full(len(at), i))
-            at, low, high, doc = map(np.concatenate, (ats, lows, highs, docs))
+            doc, at, low, high = winnow_parts(grams, width, first[:-1], first[1:] - start + 1)
+            keep = chosen_by_lists(doc, at - first[doc], b.column("ats"))
+            doc, at, low, high = doc[keep], at[keep], low[keep], high[keep]
             h, n, m = grams[at].view(np.int64), (high - low).astype(np.int32), len(at)
             cut = list(zip(low.tolist(), high.tolist()))
             sids = [_digest(both[16 * x : 16 * y]) for x, y in cut]
@@ -210,7 +198,7 @@ def _windows(firsts: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def later_windows(rows: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    """(key, d, spans): runs (a, b) of starts of windows whose words also start earlier."""
+    """(key, spans): runs (a, b) of starts of windows whose words also start earlier, with the document ``d`` they are of."""
     sizes = [start]
     while sizes[-1] < length:
         sizes.append(2 * sizes[-1])
@@ -230,14 +218,19 @@ def later_windows(rows: DataFrame, length: int = LENGTH, start: int = START) ->
     least = windows.groupBy("h", "w").agg(F.min(F.struct("d", "start")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "w", "least")
     later = windows.join(least, ["h", "w"]).where((F.col("d") > F.col("least.d")) | ((F.col("d") == F.col("least.d")) & (F.col("start") > F.col("least.start"))))
     single = later.select("key", "d", F.col("start").alias("a"), F.col("start").alias("b"))
-    return whole.unionByName(single).groupBy("key", "d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("d", "a", "b")).alias("spans"))
+
+
+def own_spans(spans: list[dict] | None, d: int) -> list[dict]:
+    """Those of the document ``d``, should another have its key."""
+    return [s for s in spans or () if s["d"] == d]
 
 
 def kept_words(text: str | None, spans: list | None, length: int) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     words = (text or "").encode().split()  # bytes.split() cuts at ASCII white space alone
     n = len(words)
-    if spans is not None and len(spans):
+    if spans:
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, [s["a"] for s in spans], 1)
         np.add.at(edge, [s["b"] + length for s in spans], -1)
@@ -247,19 +240,19 @@ def kept_words(text: str | None, spans: list | None, length: int) -> tuple[list[
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    rows = keyed(docs)
+    rows = bucketed(keyed(docs), "key", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             n_words, n_removed, sha = [], [], []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                words, n = kept_words(text, spans, length)
+            for text, d, spans in zip(*(b.column(c).to_pylist() for c in ("text", "d", "spans"))):
+                words, n = kept_words(text, own_spans(spans, d), length)
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = rows.join(later_windows(rows, length, start).hint("shuffle_hash"), ["key", "d"], "left").select("doc_id", "text", "spans")
+    marked = rows.join(later_windows(rows, length, start).hint("shuffle_hash"), "key", "left").select("doc_id", "d", "text", "spans")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -273,7 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             texts, columns = b.column("text").to_pylist(), {n: b.column(n) for n in names}
-            cut = [None if s is None else b" ".join(kept_words(t, s, length)[0]).decode() for t, s in zip(texts, b.column("__spans").to_pylist())]
+            spans = [own_spans(s, d) for s, d in zip(b.column("__spans").to_pylist(), b.column("__d").to_pylist())]
+            cut = [None if not s else b" ".join(kept_words(t, s, length)[0]).decode() for t, s in zip(texts, spans)]
             columns["text"] = pa.array([t if c is None else c for t, c in zip(texts, cut)], pa.string())
             if "n_chars" in columns:
                 old = columns["n_chars"]
@@ -281,9 +275,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) ->
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names).filter(pa.array([c != "" for c in cut]))
 
     key, d = names_of(F.col("doc_id").cast("long"), F.col("text"))
-    spans = later_windows(keyed(docs), length, start).select(F.col("key").alias("__key"), F.col("d").alias("__d"), F.col("spans").alias("__spans"))
-    marked = docs.withColumns({"__key": key, "__d": d}).join(spans.hint("shuffle_hash"), ["__key", "__d"], "left")
-    return marked.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, docs.schema)
+    rows = bucketed(docs.withColumns({"__key": key, "__d": d}), "__key", "texts")
+    named = rows.select(F.col("__key").alias("key"), F.col("__d").alias("d"), "text")
+    spans = later_windows(named, length, start).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    marked = rows.join(spans.hint("shuffle_hash"), "__key", "left")
+    return marked.select(*[F.col(f"`{c}`") for c in names], "__d", "__spans").mapInArrow(run, docs.schema)
 
 
 REMOVAL_SQL = r"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import RangeHash, byte_symbols, joined, materialise, small_batches, winnow
+from tessella.llm.common import RangeHash, byte_symbols, chosen_by_lists, joined, materialise, small_batches, winnow_parts
 from tessella.llm.substring_dedup import keyed
 from tessella.llm.suffix_array import suffix_array
 
@@ -55,13 +55,9 @@ def anchors(rows: DataFrame, length: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             _, begins, grams = _grams(b.column("text").to_pylist(), size)
-            hs, ats = [], []
-            for s, e in zip(begins[:-1], begins[1:] - 1):
-                at = winnow(grams[s : max(s, e - size + 1)], length - size + 1)[1]
-                hs.append(grams[at + s])
-                ats.append(at)
-            keys = np.repeat(b.column("key").to_numpy(), [len(a) for a in ats])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(keys), pa.array(np.concatenate(ats).astype(np.int32))], ["h", "key", "at"])
+            doc, at, _, _ = winnow_parts(grams, length - size + 1, begins[:-1], begins[1:] - size)
+            columns = [grams[at].view(np.int64), b.column("key").to_numpy()[doc], (at - begins[doc]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "key", "at"])
 
     return rows.select("key", "text").mapInArrow(run, "h long, key long, at int")
 
@@ -77,18 +73,17 @@ def segments(rows: DataFrame, survivors: DataFrame, length: int, size: int) -> D
         for b in small_batches(batches):
             raw, begins, grams = _grams(b.column("text").to_pylist(), size)
             out: list[tuple] = []
-            for key, d, found, s, e in zip(*(b.column(c).to_pylist() for c in ("key", "d", "found")), begins[:-1].tolist(), (begins[1:] - 1).tolist()):
-                choice, at = winnow(grams[s : max(s, e - size + 1)], length - size + 1)
-                at = at[np.isin(at, found)]
-                low, high = np.searchsorted(choice, at, "left"), np.searchsorted(choice, at, "right")
-                hs = grams[s + at].view(np.int64).tolist()
-                for h, p, lo, hi in zip(hs, at.tolist(), low.tolist(), high.tolist()):
-                    body = raw[s + lo : s + hi - 1 + length]
-                    sid = hashlib.blake2b(body, digest_size=16).digest()
-                    out.append(("at", h, sid, key, d, lo, hi - lo, None, None))
-                    if sid not in sent:
-                        sent.add(sid)
-                        out.append(("body", h, sid, None, None, None, hi - lo, p - lo, body))
+            doc, at, low, high = winnow_parts(grams, length - size + 1, begins[:-1], begins[1:] - size)
+            keep = chosen_by_lists(doc, at - begins[doc], b.column("found"))
+            doc, at, low, high = doc[keep], at[keep], low[keep], high[keep]
+            keys, ds = b.column("key").to_numpy()[doc], b.column("d").to_numpy()[doc]
+            for h, key, d, p, x, lo, hi in zip(*(c.tolist() for c in (grams[at].view(np.int64), keys, ds, at, low - begins[doc], low, high))):
+                body = raw[lo : hi - 1 + length]
+                sid = hashlib.blake2b(body, digest_size=16).digest()
+                out.append(("at", h, sid, key, d, x, hi - lo, None, None))
+                if sid not in sent:
+                    sent.add(sid)
+                    out.append(("body", h, sid, None, None, None, hi - lo, p - lo, body))
             if len(sent) > TASK_MEMO:
                 sent.clear()
             if out:
