@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Distinct words that a worker remembers at most, and bytes of a word that is remembered.
+WORD_MEMO, MEMO_WORD = 200_000, 64
 #: Bytes of text that one numpy pass handles at a time inside a task.
 BLOCK_BYTES = 1 << 19
 
@@ -214,3 +218,47 @@ def chosen_by_lists(part: np.ndarray, place: np.ndarray, lists: pa.ListArray) ->
     sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     return np.isin((part << 40) + place, (owner << 40) + pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False))
+
+
+def digest(data: bytes | memoryview, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
+class _Digests(dict):
+    """The digests of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = digest(word)
+        if len(word) <= MEMO_WORD:
+            self[word] = found
+        return found
+
+
+_DIGESTS = _Digests()
+
+
+def word_digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of every word as two numbers, and the first word of each text (one more entry: the number of words)."""
+    if len(_DIGESTS) > WORD_MEMO:
+        _DIGESTS.clear()
+    split = [(t or "").encode().split() for t in texts]  # bytes.split() cuts at ASCII white space alone
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(w) for w in split], out=first[1:])
+    digests = b"".join(map(_DIGESTS.__getitem__, itertools.chain.from_iterable(split)))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2), first
+
+
+def run_digests(words: np.ndarray, size: int, half: int = 0) -> np.ndarray:
+    """A 64-bit digest of each run of ``size`` words, from one half of the words' digests: runs of 1, 2, 4, ... words
+    are made of two of half their length, and those that ``size`` is the sum of are joined."""
+    n = max(0, len(words) - size + 1)
+    pair = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+    run, span, found, held = words[:, half].copy(), 1, None, 0
+    while True:
+        if size & span:
+            found = run[:n] if found is None else pair(found, run[held : held + n])
+            held += span
+        span *= 2
+        if span > size:
+            return found
+        run = pair(run[: -(span // 2)], run[span // 2 :])

@@ -14,21 +14,24 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import re
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise
+from tessella.llm.common import materialise, run_digests, small_batches, word_digests
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 TILE_ROWS = 4096
+FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -58,74 +61,104 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _deltas(parts: int, radius: int) -> list[int]:
-    """Differences of packed tile keys, over zero, whose parts differ by ``radius`` in all at most."""
-    weights = [32 ** (parts - 1 - i) for i in range(parts)]
+def _weights(digits: int) -> list[int]:
+    return [128 ** (digits - 1 - i) for i in range(digits)]
+
+
+def _steps(reaches: list[int], most: int) -> list[int]:
+    """Differences of packed tile keys, over zero, whose digits differ by their reach at most and by ``most`` in all."""
     found = set()
-    for d in itertools.product(range(-radius, radius + 1), repeat=parts):
-        if 0 < sum(map(abs, d)) <= radius and (step := sum(w * x for w, x in zip(weights, d))) > 0:
+    for d in itertools.product(*[range(-r, r + 1) for r in reaches]):
+        if 0 < sum(map(abs, d)) <= most and (step := sum(w * x for w, x in zip(_weights(len(d)), d))) > 0:
             found.add(step)
     return sorted(found)
 
 
-def links(classes: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b), a > b: the ``rep`` of each pair of distinct fingerprints within ``radius`` bits of each other.
+def tiled_pairs(classes: DataFrame, planes: list[str], digits: list[Column], reaches: list[int], most: int, radius: int, tile_rows: int, ratio: float = 0.0, first: bool = False) -> DataFrame:
+    """(a, b), a > b: the ``rep`` of each pair of rows whose fingerprints differ by ``radius`` bits at most.
 
-    ``classes`` has one row (fp, rep) a distinct fingerprint.
+    A fingerprint is the columns ``planes``. Rows are laid into tiles by small whole numbers, ``digits``; a pair of
+    tiles is compared if those differ by ``reaches`` at most, and by ``most`` in all. With ``ratio``, the less of two
+    rows' ``n`` is at least that part of the greater. If there is a column ``component``, pairs of one component are
+    left out. With ``first``, a row is paired with the first that is near it in each unit of work only, so that a
+    large group gives few pairs; every row that has a pair is still in one.
     """
-    width = 64 // parts
-    mask = (1 << width) - 1
-    key = F.lit(0)
-    for i in range(parts):
-        key = key * 32 + F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask)))
-    tiled = classes.select("fp", "rep", key.cast("long").alias("tile"))
-    # (width + 1) ** parts tiles exist at most, whatever the input
+    key = F.lit(0).cast("long")
+    for w, d in zip(_weights(len(digits)), digits):
+        key = key + F.lit(w) * d
+    more = [c for c in ("n", "component") if c in classes.columns]
+    columns = [*planes, "rep", *more]
+    tiled = classes.select(*columns, key.cast("long").alias("tile"))
+    # as many tiles as the digits have values, whatever the input
     sizes = F.broadcast(tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks")))
-    placed = tiled.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    placed = tiled.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64(*planes), F.col("blocks")).cast("int"))
     unit = lambda tile, block: (tile * F.lit(1 << 24) + block).alias("unit")
-    home = placed.select(unit(F.col("tile"), F.col("block")), F.lit(0).alias("role"), "fp", "rep")
+    home = placed.select(unit(F.col("tile"), F.col("block")), F.lit(0).alias("role"), *columns)
     to_blocks = lambda upto: F.explode(F.when(upto > 0, F.sequence(F.lit(0), upto - 1)))
-    same = placed.where("block > 0").select("tile", "fp", "rep", to_blocks(F.col("block")).alias("to"))
-    steps = placed.select("fp", "rep", F.explode(F.array(*[F.col("tile") - F.lit(d) for d in _deltas(parts, radius)])).alias("tile"))
-    near = steps.join(sizes, "tile").select("tile", "fp", "rep", to_blocks(F.col("blocks")).alias("to"))
-    visits = same.unionByName(near).select(unit(F.col("tile"), F.col("to")), F.lit(1).alias("role"), "fp", "rep")
+    same = placed.where("block > 0").select("tile", *columns, to_blocks(F.col("block")).alias("to"))
+    steps = placed.select(*columns, F.explode(F.array(*[F.col("tile") - F.lit(d) for d in _steps(reaches, most)])).alias("tile"))
+    near = steps.join(sizes, "tile").select("tile", *columns, to_blocks(F.col("blocks")).alias("to"))
+    visits = same.unionByName(near).select(unit(F.col("tile"), F.col("to")), F.lit(1).alias("role"), *columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit, its own fingerprints first; visitors are compared as they stream by."""
-        current, own_fp, own_rep = None, np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def pairs(fp: np.ndarray, rep: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(fp), 512):
-                near = np.bitwise_count(fp[at : at + 512, None] ^ own_fp[None, :]) <= radius
-                if inside:
-                    near &= np.arange(at, at + len(near))[:, None] > np.arange(len(own_fp))[None, :]
-                i, j = np.nonzero(near)
+        current, own, paired = None, {c: np.empty(0, np.int64) for c in columns}, np.zeros(0, bool)
+
+        def pairs(rows: dict, inside: bool) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows["rep"]), 256):
+                part = {c: rows[c][at : at + 256] for c in columns}
+                apart = sum(np.bitwise_count(part[p].view(np.uint64)[:, None] ^ own[p].view(np.uint64)[None, :]) for p in planes)
+                i, j = np.nonzero(apart <= radius)
+                good = i + at > j if inside else np.ones(len(i), bool)
+                if ratio:
+                    x, y = part["n"][i], own["n"][j]
+                    good &= np.minimum(x, y) >= ratio * np.maximum(x, y)
+                if "component" in more:
+                    good &= part["component"][i] != own["component"][j]
+                i, j = i[good], j[good]
+                if first and len(i):
+                    keep = np.zeros(len(i), bool)
+                    keep[np.unique(i, return_index=True)[1]] = True
+                    which, at_first = np.unique(j, return_index=True)
+                    keep[at_first[~paired[which]]] = True
+                    paired[which] = True
+                    i, j = i[keep], j[keep]
                 if len(i):
-                    x, y = rep[i + at], own_rep[j]
+                    x, y = part["rep"][i], own["rep"][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
         for b in batches:
             units, roles = b.column("unit").to_numpy(), b.column("role").to_numpy()
-            fps, reps = b.column("fp").to_numpy().view(np.uint64), b.column("rep").to_numpy()
+            values = {c: b.column(c).to_numpy() for c in columns}
             cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(roles) != 0)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(units)]):
                 if s == e:
                     continue
+                rows = {c: v[s:e] for c, v in values.items()}
                 if units[s] != current:
-                    current, own_fp, own_rep = units[s], fps[:0], reps[:0]
-                if roles[s] == 0:
-                    more_fp, more_rep = fps[s:e], reps[s:e]
-                    yield from pairs(more_fp, more_rep, False)  # a unit's own rows may come in two batches
-                    own_fp, own_rep, before = more_fp, more_rep, (own_fp, own_rep)
-                    yield from pairs(more_fp, more_rep, True)
-                    own_fp, own_rep = np.concatenate([before[0], more_fp]), np.concatenate([before[1], more_rep])
-                else:
-                    yield from pairs(fps[s:e], reps[s:e], False)
+                    current, own, paired = units[s], {c: v[:0] for c, v in rows.items()}, np.zeros(0, bool)
+                yield from pairs(rows, False)
+                if roles[s] == 0:  # a unit's own rows may come in two batches
+                    before, seen = own, paired
+                    own, paired = rows, np.zeros(e - s, bool)
+                    yield from pairs(rows, True)
+                    own = {c: np.concatenate([before[c], rows[c]]) for c in columns}
+                    paired = np.concatenate([seen, paired])
 
     rows = home.unionByName(visits)
     return rows.repartition("unit").sortWithinPartitions("unit", "role").mapInArrow(compare, "a long, b long")
 
 
+def links(classes: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b), a > b: the ``rep`` of each pair of distinct fingerprints within ``radius`` bits of each other.
+
+    ``classes`` has one row (fp, rep) a distinct fingerprint. The bit counts of ``parts`` equal parts are the tiles.
+    """
+    width = 64 // parts
+    counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)]
+    return tiled_pairs(classes, ["fp"], counts, [radius] * parts, radius, radius, tile_rows)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of an edge table (a, b) with a > b."""
     edges = materialise(edges.where("a != b").distinct(), "edges")
@@ -160,10 +193,124 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component; rows without an id stay, as nothing names them."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    with_id = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").select(*columns)
-    return with_id.unionByName(docs.where("doc_id is null"))
+# --------------------------------------------------------------------------- groups of similar texts
+
+#: Bits of a similarity fingerprint, in planes of 64, and how many of them two texts of a similarity of 0.8 differ in at
+#: most: 19 on average, with a deviation of 4, so that one such pair in a thousand is missed.
+PLANES, WIDE_RADIUS = 2, 32
+
+
+def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as two digests, sorted, and where each text's begin (one more entry: the end).
+
+    Words are cut at ASCII white space and A-Z are folded; a text of fewer than ``size`` words is one shingle.
+    """
+    words, first = word_digests([t.lower() if t and t.isascii() else t and t.translate(FOLD) for t in texts])
+    n = np.diff(first)
+    long = np.flatnonzero(n >= size)
+    runs = np.stack([run_digests(words, size, half) for half in (0, 1)], axis=1) if len(long) else np.empty((0, 2), np.uint64)
+    doc = [np.repeat(long, n[long] - size + 1)]
+    at = np.arange(len(doc[0])) + np.repeat(first[long] - np.cumsum(n[long] - size + 1) + n[long] - size + 1, n[long] - size + 1)
+    values = [runs[at]]
+    for i in np.flatnonzero((n > 0) & (n < size)).tolist():
+        doc.append(np.array([i]))
+        values.append(np.stack([run_digests(words[first[i] : first[i + 1]], int(n[i]), half) for half in (0, 1)], axis=1))
+    owner, value = np.concatenate(doc), np.concatenate(values)
+    by = np.lexsort((value[:, 1], value[:, 0], owner))
+    owner, value = owner[by], value[by]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]).any(axis=1)
+    owner, value = owner[new], value[new]
+    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def votes(hashes: np.ndarray) -> int:
+    """A 64-bit SimHash; where the votes are even, the first hash decides."""
+    n, total = len(hashes), np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 15):
+        total += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    lead = np.unpackbits(hashes[:1].view(np.uint8), bitorder="little").astype(bool)
+    return int(np.packbits((2 * total > n) | ((2 * total == n) & lead), bitorder="little").view("<u8")[0])
+
+
+def text_classes(docs: DataFrame, size: int) -> DataFrame:
+    """(d, text_key, name, n, f0, f1) for each row: its text's digest, that of its shingle set, and its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            values, begins = shingle_sets(b.column("text").to_pylist(), size)
+            cut = list(zip(begins[:-1].tolist(), begins[1:].tolist()))
+            names = [hashlib.blake2b(values[s:e].tobytes(), digest_size=16).digest() for s, e in cut]
+            prints = [np.array([votes(np.ascontiguousarray(values[s:e, half])) if e > s else 0 for s, e in cut], np.uint64).view(np.int64) for half in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("text_key"), pa.array(names, pa.binary()), pa.array(np.diff(begins).astype(np.int64)), *map(pa.array, prints)], ["d", "text_key", "name", "n", "f0", "f1"])
+
+    return docs.select(*row_names(), "text").mapInArrow(run, "d long, text_key string, name binary, n long, f0 long, f1 long")
+
+
+def row_names() -> list[Column]:
+    """``d``, the id with the greatest number for null, and ``text_key``, the text's digest: rows that agree in both
+    are repeated rows."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")]
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, least: Fraction, size: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; ``texts`` is (rep, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            values, begins = shingle_sets(b.column("text").to_pylist(), size)
+            ends = pa.array(begins.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(ends, pa.array(values[:, 0].view(np.int64)))], ["rep", "grams"])
+
+    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = texts.join(used, "rep", "left_semi").mapInArrow(run, "rep long, grams array<long>")
+    sets = materialise(sets, "sets")
+    of = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"g{c}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
+    return both.where(f"o * {least.denominator}L >= {least.numerator}L * (size(ga) + size(gb) - o)").select("a", "b")
+
+
+def similar_classes(classes: DataFrame, texts: DataFrame, least: Fraction, size: int, radius: int, tile_rows: int) -> DataFrame:
+    """(node, component) of the classes (rep, n, f0, f1) that links of ``least`` similarity or more join.
+
+    Fingerprints are compared twice: the first pass gives each class one candidate a unit of work, so a large group
+    costs few checks; the second gives all pairs of what had a candidate that are not yet in one component.
+    """
+    planes = ["f0", "f1"]
+    # two sets of that similarity are of one band of sizes or of neighbouring ones; bit counts lie in bands of the radius
+    digits = [F.floor(F.log("n") / float(-np.log(float(least)))).cast("int"), F.floor((F.bit_count("f0") + F.bit_count("f1")) / (radius + 1)).cast("int")]
+    compare = lambda rows, first: tiled_pairs(rows, planes, digits, [1, 1], 2, radius, tile_rows, float(least) - 1e-9, first)
+    tried = materialise(compare(classes, True).distinct(), "pairs")
+    found = materialise(similar_pairs(tried, texts, least, size), "links")
+    stars = components(found)
+    some = classes.join(tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    labelled = some.join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rest = materialise(compare(materialise(labelled, "labelled"), False).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return components(found.unionByName(similar_pairs(rest, texts, least, size)))
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of each group of similar texts: that with the smallest id (null last), and of those the least digest.
+
+    Texts are linked where the Jaccard similarity of their sets of ``size``-word shingles is ``least`` or more, among
+    those whose SimHash fingerprints of these sets differ by ``radius`` of 128 bits at most. Wordless texts are alike.
+    Of repeated rows of that document one stays.
+    """
+    rows = materialise(text_classes(docs, size), "prints")
+    by_name = rows.groupBy("name", "n", "f0", "f1").agg(F.min(F.struct("d", "text_key")).alias("best"))
+    classes = materialise(by_name.select(F.monotonically_increasing_id().alias("rep"), "name", "n", "f0", "f1", "best"), "classes")
+    keys = classes.where("n > 0").select("rep", "best.d", "best.text_key")
+    texts = docs.select(*row_names(), "text").join(keys, ["d", "text_key"]).select("rep", "text").dropDuplicates(["rep"])
+    stars = similar_classes(classes.where("n > 0").select("rep", "n", "f0", "f1"), texts, Fraction(str(least)), size, radius, tile_rows)
+    placed = classes.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("name", "best", F.coalesce("component", "rep").alias("component"))
+    placed = materialise(placed, "placed")
+    best = placed.groupBy("component").agg(F.min("best").alias("kept"))
+    named = rows.groupBy("name", "d", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    judged = materialise(named.join(placed.join(best, "component").select("name", "kept"), "name").select("d", "text_key", "times", (F.struct("d", "text_key") == F.col("kept")).alias("stays")), "judged")
+    columns, key = [F.col(f"`{c}`") for c in docs.columns], ["__d", "__text_key"]
+    of = lambda where: judged.where(where).select(F.col("d").alias("__d"), F.col("text_key").alias("__text_key"))
+    d, text_key = row_names()
+    kept = docs.withColumns({"__d": d, "__text_key": text_key}).join(of("not stays"), key, "left_anti")
+    again = of("stays and times > 1")
+    once = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return once.select(*columns)

@@ -10,7 +10,7 @@ The last doubling extends a survivor in all ways that stand for a window of ``le
 together, so they are sent as one segment. Equal segments are settled as wholes: all but the first occurrence go.
 Only where different segments share a survivor are their windows compared one by one.
 
-Words are known by 128-bit digests (BLAKE2b) of their bytes and segments by 128-bit digests of those. A window is known
+Words are known by 128-bit digests (BLAKE2b) of their bytes and segments by 96-bit digests of those. A window is known
 by 64 bits of its survivor's words and 64 other bits of all its words; the shorter levels only propose candidates.
 
 Defined results: a null text has no words; documents of fewer than ``length`` words lose none; documents are
@@ -21,7 +21,6 @@ table gives no rows; other columns, whatever their names, are ignored by the rep
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,55 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bucketed, chosen_by_lists, materialise, mix, small_batches, winnow_parts
+from tessella.llm.common import bucketed, chosen_by_lists, digest, materialise, mix, run_digests, small_batches, winnow_parts, word_digests
 
 LENGTH, START = 20, 10
-#: Distinct words, and segments, that a worker remembers at most, and bytes of a word that is remembered.
-WORD_MEMO, TASK_MEMO, MEMO_WORD = 200_000, 200_000, 64
-
-
-def _digest(data: bytes | memoryview) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
-class _Digests(dict):
-    """The digests of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = _digest(word)
-        if len(word) <= MEMO_WORD:
-            self[word] = found
-        return found
-
-
-_DIGESTS = _Digests()
-
-
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The digest of every word as two numbers, and the first word of each text (one more entry: the number of words)."""
-    if len(_DIGESTS) > WORD_MEMO:
-        _DIGESTS.clear()
-    split = [(t or "").encode().split() for t in texts]  # bytes.split() cuts at ASCII white space alone
-    first = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(w) for w in split], out=first[1:])
-    digests = b"".join(map(_DIGESTS.__getitem__, itertools.chain.from_iterable(split)))
-    return np.frombuffer(digests, np.uint64).reshape(-1, 2), first
-
-
-def _grams(words: np.ndarray, size: int, half: int = 0) -> np.ndarray:
-    """A 64-bit digest of each run of ``size`` words, from one half of the words' digests: runs of 1, 2, 4, ... words
-    are made of two of half their length, and those that ``size`` is the sum of are joined."""
-    n = max(0, len(words) - size + 1)
-    pair = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
-    run, span, found, held = words[:, half].copy(), 1, None, 0
-    while True:
-        if size & span:
-            found = run[:n] if found is None else pair(found, run[held : held + n])
-            held += span
-        span *= 2
-        if span > size:
-            return found
-        run = pair(run[: -(span // 2)], run[span // 2 :])
+#: Segments that a worker remembers at most, to send each once.
+TASK_MEMO = 200_000
 
 
 def _table(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
@@ -101,8 +56,8 @@ def first_level(rows: DataFrame, length: int, start: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            words, first = _words(b.column("text").to_pylist())
-            grams = _grams(words, start)
+            words, first = word_digests(b.column("text").to_pylist())
+            grams = run_digests(words, start)
             doc, at, _, _ = winnow_parts(grams, width, first[:-1], first[1:] - start + 1)
             yield _table(["h", "key", "at"], [grams[at].view(np.int64), b.column("key").to_numpy()[doc], (at - first[doc]).astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()])
 
@@ -125,8 +80,8 @@ def doubled(rows: DataFrame, survivors: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            words, first = _words(b.column("text").to_pylist())
-            grams = _grams(words, 2 * size)
+            words, first = word_digests(b.column("text").to_pylist())
+            grams = run_digests(words, 2 * size)
             hs, keys, ats = [], [], []
             for key, found, s, e in zip(b.column("key").to_pylist(), b.column("ats").to_pylist(), first[:-1], first[1:]):
                 at = np.array(found, np.int64)
@@ -152,15 +107,15 @@ def doubled_last(rows: DataFrame, survivors: DataFrame, length: int, start: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for b in small_batches(batches):
-            words, first = _words(b.column("text").to_pylist())
-            grams, one, two = _grams(words, start), _grams(words, length), _grams(words, length, 1)
+            words, first = word_digests(b.column("text").to_pylist())
+            grams, one, two = run_digests(words, start), run_digests(words, length), run_digests(words, length, 1)
             both, two = np.stack([one, two], axis=1).tobytes(), two.tobytes()
             doc, at, low, high = winnow_parts(grams, width, first[:-1], first[1:] - start + 1)
             keep = chosen_by_lists(doc, at - first[doc], b.column("ats"))
             doc, at, low, high = doc[keep], at[keep], low[keep], high[keep]
             h, n, m = grams[at].view(np.int64), (high - low).astype(np.int32), len(at)
             cut = list(zip(low.tolist(), high.tolist()))
-            sids = [_digest(both[16 * x : 16 * y]) for x, y in cut]
+            sids = [digest(both[16 * x : 16 * y], 12) for x, y in cut]
             of = lambda c: b.column(c).to_numpy()[doc]
             yield pa.RecordBatch.from_arrays([pa.array(["at"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(sids, pa.binary()), pa.array(of("key")), pa.array(of("d")), pa.array((low - first[doc]).astype(np.int32)), pa.array(n), pa.nulls(m, pa.binary())], schema=_SEGMENT)
             new = []

@@ -431,8 +431,6 @@ def test_near_dedup(spark, docs, none, parts, tile_rows, radius):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in prints}
     assert {r["doc_id"]: r["fp"] % 2**64 for r in got} == prints
     assert near_dedup.near_duplicate_report(none).count() == 0
-    if radius == 2:
-        assert {r["doc_id"] for r in near_dedup.one_of_each(docs).collect()} == {find(i) for i in prints}
 
 
 def test_components(spark):

@@ -6,6 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tessella.llm import near_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,9 +64,25 @@ def test_near_copies(spark):
     rows = list(enumerate(texts))
     assert stage(spark, rows) == sorted(kept(rows))
     assert stage(spark, []) == []
-    copies = spark.createDataFrame([(4, line), (None, line), (2, line), (2, line)], "doc_id long, text string")
-    found = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, copies, "").collect()]
-    assert sorted(found, key=str) == [2, 2, None]
+    one, two = line, " ".join(rng.choices(vocabulary, k=30))
+    of = lambda rows: sorted((tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, d string, __x int"), "").collect()), key=str)
+    assert of([(4, one, "", 1), (None, one, "", 1), (2, one, "", 1), (2, one, "", 1)]) == [(2, one, "", 1)]
+    assert of([(1, one, "", 1), (2, two, "", 1), (2, one, "", 1)]) == [(1, one, "", 1), (2, two, "", 1)]
+    assert of([(None, one, "", 1), (None, two, "", 1), (None, one, "", 1)]) == sorted([(None, one, "", 1), (None, two, "", 1)], key=str)
+
+
+def test_units_of_many_rows(spark):
+    """Small tiles, so that a group is spread over units of work, and rows come as visitors."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(300)}" for _ in range(90)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 6)):
+            copy[at] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs, tile_rows=7).collect()) == sorted(kept(rows))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
