@@ -30,7 +30,8 @@ from tessella.llm.common import materialise, run_digests, small_batches, word_di
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
-TILE_ROWS = 4096
+#: Fingerprints, and shingle digests of sets, in a block of a tile.
+TILE_ROWS, TILE_GRAMS = 4096, 1 << 20
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -74,23 +75,30 @@ def _steps(reaches: list[int], most: int) -> list[int]:
     return sorted(found)
 
 
-def tiled_pairs(classes: DataFrame, planes: list[str], digits: list[Column], reaches: list[int], most: int, radius: int, tile_rows: int, ratio: float = 0.0, first: bool = False) -> DataFrame:
+def tiled_pairs(
+    classes: DataFrame, planes: list[str], digits: list[Column], reaches: list[int], most: int, radius: int, tile_size: int, weight: str | None = None,
+    least: Fraction | None = None, only_first: bool = False,
+) -> DataFrame:
     """(a, b), a > b: the ``rep`` of each pair of rows whose fingerprints differ by ``radius`` bits at most.
 
     A fingerprint is the columns ``planes``. Rows are laid into tiles by small whole numbers, ``digits``; a pair of
-    tiles is compared if those differ by ``reaches`` at most, and by ``most`` in all. With ``ratio``, the less of two
-    rows' ``n`` is at least that part of the greater. If there is a column ``component``, pairs of one component are
-    left out. With ``first``, a row is paired with the first that is near it in each unit of work only, so that a
-    large group gives few pairs; every row that has a pair is still in one.
+    tiles is compared if those differ by ``reaches`` at most, and by ``most`` in all. Tiles are cut into blocks of about
+    ``tile_size`` rows, or of that sum of ``weight``; a block and what comes to it are a unit of work.
+
+    With ``least``, the sizes ``n`` of two rows' sets must allow that Jaccard similarity. If the sets are there, as the
+    column ``grams``, they must have it, and what a unit has joined already is not compared again: the pairs then
+    tell all components, but not all pairs. With ``only_first``, a row is paired with the first near it in a unit alone:
+    every row that has a pair is then still in one.
     """
     key = F.lit(0).cast("long")
     for w, d in zip(_weights(len(digits)), digits):
         key = key + F.lit(w) * d
-    more = [c for c in ("n", "component") if c in classes.columns]
+    more = [c for c in ("n", "grams") if c in classes.columns]
     columns = [*planes, "rep", *more]
     tiled = classes.select(*columns, key.cast("long").alias("tile"))
     # as many tiles as the digits have values, whatever the input
-    sizes = F.broadcast(tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks")))
+    total = F.sum(weight) if weight else F.count(F.lit(1))
+    sizes = F.broadcast(tiled.groupBy("tile").agg(F.ceil(total / tile_size).cast("int").alias("blocks")))
     placed = tiled.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64(*planes), F.col("blocks")).cast("int"))
     unit = lambda tile, block: (tile * F.lit(1 << 24) + block).alias("unit")
     home = placed.select(unit(F.col("tile"), F.col("block")), F.lit(0).alias("role"), *columns)
@@ -101,54 +109,103 @@ def tiled_pairs(classes: DataFrame, planes: list[str], digits: list[Column], rea
     visits = same.unionByName(near).select(unit(F.col("tile"), F.col("to")), F.lit(1).alias("role"), *columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by unit, its own fingerprints first; visitors are compared as they stream by."""
-        current, own, paired = None, {c: np.empty(0, np.int64) for c in columns}, np.zeros(0, bool)
-
-        def pairs(rows: dict, inside: bool) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(rows["rep"]), 256):
-                part = {c: rows[c][at : at + 256] for c in columns}
-                apart = sum(np.bitwise_count(part[p].view(np.uint64)[:, None] ^ own[p].view(np.uint64)[None, :]) for p in planes)
-                i, j = np.nonzero(apart <= radius)
-                good = i + at > j if inside else np.ones(len(i), bool)
-                if ratio:
-                    x, y = part["n"][i], own["n"][j]
-                    good &= np.minimum(x, y) >= ratio * np.maximum(x, y)
-                if "component" in more:
-                    good &= part["component"][i] != own["component"][j]
-                i, j = i[good], j[good]
-                if first and len(i):
-                    keep = np.zeros(len(i), bool)
-                    keep[np.unique(i, return_index=True)[1]] = True
-                    which, at_first = np.unique(j, return_index=True)
-                    keep[at_first[~paired[which]]] = True
-                    paired[which] = True
-                    i, j = i[keep], j[keep]
-                if len(i):
-                    x, y = part["rep"][i], own["rep"][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
+        """Rows come sorted by unit, its own first; visitors are compared as they stream by."""
+        unit_of = _Unit(planes, radius, least, only_first)
         for b in batches:
             units, roles = b.column("unit").to_numpy(), b.column("role").to_numpy()
-            values = {c: b.column(c).to_numpy() for c in columns}
+            values = {c: b.column(c).to_numpy() for c in columns if c != "grams"}
+            if "grams" in more:
+                lists = b.column("grams")
+                ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+                flat = pa.compute.list_flatten(lists).to_numpy().view(np.uint64)
             cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(roles) != 0)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(units)]):
                 if s == e:
                     continue
+                if units[s] != unit_of.name:
+                    unit_of = _Unit(planes, radius, least, only_first, units[s])
                 rows = {c: v[s:e] for c, v in values.items()}
-                if units[s] != current:
-                    current, own, paired = units[s], {c: v[:0] for c, v in rows.items()}, np.zeros(0, bool)
-                yield from pairs(rows, False)
-                if roles[s] == 0:  # a unit's own rows may come in two batches
-                    before, seen = own, paired
-                    own, paired = rows, np.zeros(e - s, bool)
-                    yield from pairs(rows, True)
-                    own = {c: np.concatenate([before[c], rows[c]]) for c in columns}
-                    paired = np.concatenate([seen, paired])
+                if "grams" in more:
+                    rows["grams"] = [flat[x:y] for x, y in zip(ends[s:e], ends[s + 1 : e + 1])]
+                for x, y in unit_of.take(rows, own=roles[s] == 0):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     rows = home.unionByName(visits)
     return rows.repartition("unit").sortWithinPartitions("unit", "role").mapInArrow(compare, "a long, b long")
 
 
+class _Unit:
+    """A block of fingerprints and what it has found so far."""
+
+    def __init__(self, planes: list[str], radius: int, least: Fraction | None, only_first: bool, name: int | None = None):
+        self.planes, self.radius, self.least, self.only_first, self.name = planes, radius, least, only_first, name
+        self.own: dict = {}
+        self.paired, self.roots = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def take(self, rows: dict, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the rows with the unit's own; own rows are added, and each is compared with those before it."""
+        before, n = len(self.roots), len(rows["rep"])
+        if own:
+            join = lambda c, v: self.own[c] + v if isinstance(v, list) else np.concatenate([self.own[c], v])
+            self.own = {c: join(c, v) if before else v for c, v in rows.items()}
+            self.paired = np.concatenate([self.paired, np.zeros(n, bool)])
+            self.roots = np.arange(before + n) if not before else np.concatenate([self.roots, np.arange(before, before + n)])
+        for at in range(0, n, 256):
+            part = {c: v[at : at + 256] for c, v in rows.items()}
+            apart = sum(np.bitwise_count(part[p].view(np.uint64)[:, None] ^ self.own[p].view(np.uint64)[None, :]) for p in self.planes)
+            i, j = np.nonzero(apart <= self.radius)
+            if own:
+                earlier = j < i + at + before
+                i, j = i[earlier], j[earlier]
+            if self.least is not None:
+                x, y = part["n"][i], self.own["n"][j]
+                fits = np.minimum(x, y) * self.least.denominator >= np.maximum(x, y) * self.least.numerator
+                i, j = i[fits], j[fits]
+            if "grams" in part:
+                yield from self._joined(part, apart, i, j, before + at if own else None)
+                continue
+            if self.only_first and len(i):
+                keep = np.zeros(len(i), bool)
+                keep[np.unique(i, return_index=True)[1]] = True
+                which, first = np.unique(j, return_index=True)
+                keep[first[~self.paired[which]]] = True
+                self.paired[which] = True
+                i, j = i[keep], j[keep]
+            yield part["rep"][i], self.own["rep"][j]
+
+    def _joined(self, part: dict, apart: np.ndarray, i: np.ndarray, j: np.ndarray, place: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs with the similarity, the nearest first; of what is joined in this unit already, one pair is enough.
+
+        ``place`` is where the part's first row is among the unit's own, or None for visitors.
+        """
+        begins = np.searchsorted(i, np.arange(len(part["rep"]) + 1))
+        up, down = self.least.numerator, self.least.denominator
+        found_x, found_y = [], []
+        for row, (s, e) in enumerate(zip(begins[:-1], begins[1:])):
+            if s == e:
+                continue
+            near, x = j[s:e], part["grams"][row]
+            near = near[np.argsort(apart[row, near], kind="stable")]
+            joined = [] if place is None else [self.roots[place + row]]
+            step = 4
+            while len(near := near[~np.isin(self.roots[near], joined)] if joined else near):
+                some, near, step = near[:step], near[step:], min(256, 2 * step)
+                sets = [self.own["grams"][k] for k in some.tolist()]
+                sizes = np.array([len(v) for v in sets])
+                values = np.concatenate(sets)
+                hit = x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+                shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                for k in some[shared * down >= up * (len(x) + sizes - shared)].tolist():
+                    if self.roots[k] not in joined:
+                        joined.append(self.roots[k])
+                        found_x.append(part["rep"][row])
+                        found_y.append(self.own["rep"][k])
+            if len(joined) > 1:
+                self.roots[np.isin(self.roots, joined)] = min(joined)
+        yield np.array(found_x, np.int64), np.array(found_y, np.int64)
+
+
 def links(classes: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b), a > b: the ``rep`` of each pair of distinct fingerprints within ``radius`` bits of each other.
 
@@ -195,9 +252,9 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- groups of similar texts
 
-#: Bits of a similarity fingerprint, in planes of 64, and how many of them two texts of a similarity of 0.8 differ in at
+#: Of the 128 bits of a similarity fingerprint, how many two texts of a similarity of 0.8 differ in at
 #: most: 19 on average, with a deviation of 4, so that one such pair in a thousand is missed.
-PLANES, WIDE_RADIUS = 2, 32
+WIDE_RADIUS = 32
 
 
 def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,43 +310,34 @@ def row_names() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")]
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, least: Fraction, size: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; ``texts`` is (rep, text)."""
+def with_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``classes`` with ``grams``, the sorted shingle digests of a text of each; ``texts`` is (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             values, begins = shingle_sets(b.column("text").to_pylist(), size)
-            ends = pa.array(begins.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(ends, pa.array(values[:, 0].view(np.int64)))], ["rep", "grams"])
+            grams = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values[:, 0].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), grams], ["rep", "grams"])
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = texts.join(used, "rep", "left_semi").mapInArrow(run, "rep long, grams array<long>")
-    sets = materialise(sets, "sets")
-    of = lambda c: sets.select(F.col("rep").alias(c), F.col("grams").alias(f"g{c}"))
-    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
-    return both.where(f"o * {least.denominator}L >= {least.numerator}L * (size(ga) + size(gb) - o)").select("a", "b")
+    return classes.join(texts.mapInArrow(run, "rep long, grams array<long>"), "rep")
 
 
-def similar_classes(classes: DataFrame, texts: DataFrame, least: Fraction, size: int, radius: int, tile_rows: int) -> DataFrame:
+def similar_classes(classes: DataFrame, texts: DataFrame, least: Fraction, size: int, radius: int, tile_rows: int, tile_grams: int) -> DataFrame:
     """(node, component) of the classes (rep, n, f0, f1) that links of ``least`` similarity or more join.
 
-    Fingerprints are compared twice: the first pass gives each class one candidate a unit of work, so a large group
-    costs few checks; the second gives all pairs of what had a candidate that are not yet in one component.
+    The first pass over the tiles tells which fingerprints have another near them. The second carries the sets of
+    those, and checks each pair where it is found, so that no pairs but links leave a task.
     """
-    planes = ["f0", "f1"]
     # two sets of that similarity are of one band of sizes or of neighbouring ones; bit counts lie in bands of the radius
     digits = [F.floor(F.log("n") / float(-np.log(float(least)))).cast("int"), F.floor((F.bit_count("f0") + F.bit_count("f1")) / (radius + 1)).cast("int")]
-    compare = lambda rows, first: tiled_pairs(rows, planes, digits, [1, 1], 2, radius, tile_rows, float(least) - 1e-9, first)
-    tried = materialise(compare(classes, True).distinct(), "pairs")
-    found = materialise(similar_pairs(tried, texts, least, size), "links")
-    stars = components(found)
-    some = classes.join(tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
-    labelled = some.join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = materialise(compare(materialise(labelled, "labelled"), False).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return components(found.unionByName(similar_pairs(rest, texts, least, size)))
+    tiles = (["f0", "f1"], digits, [1, 1], 2, radius)
+    near = tiled_pairs(classes, *tiles, tile_rows, least=least, only_first=True)
+    near = materialise(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near")
+    some = with_sets(classes.join(near, "rep", "left_semi"), texts.join(near, "rep", "left_semi"), size)
+    return components(tiled_pairs(materialise(some, "sets"), *tiles, tile_grams, weight="n", least=least))
 
 
-def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
     """One row of each group of similar texts: that with the smallest id (null last), and of those the least digest.
 
     Texts are linked where the Jaccard similarity of their sets of ``size``-word shingles is ``least`` or more, among
@@ -301,7 +349,7 @@ def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int
     classes = materialise(by_name.select(F.monotonically_increasing_id().alias("rep"), "name", "n", "f0", "f1", "best"), "classes")
     keys = classes.where("n > 0").select("rep", "best.d", "best.text_key")
     texts = docs.select(*row_names(), "text").join(keys, ["d", "text_key"]).select("rep", "text").dropDuplicates(["rep"])
-    stars = similar_classes(classes.where("n > 0").select("rep", "n", "f0", "f1"), texts, Fraction(str(least)), size, radius, tile_rows)
+    stars = similar_classes(classes.where("n > 0").select("rep", "n", "f0", "f1"), texts, Fraction(str(least)), size, radius, tile_rows, tile_grams)
     placed = classes.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("name", "best", F.coalesce("component", "rep").alias("component"))
     placed = materialise(placed, "placed")
     best = placed.groupBy("component").agg(F.min("best").alias("kept"))

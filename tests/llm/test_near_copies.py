@@ -82,7 +82,7 @@ def test_units_of_many_rows(spark):
             copy[at] = f"x{rng.randrange(50)}"
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs, tile_rows=7).collect()) == sorted(kept(rows))
+    assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs, tile_rows=7, tile_grams=600).collect()) == sorted(kept(rows))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
