@@ -32,15 +32,19 @@ def align(neighbours: DataFrame, segments: DataFrame, fingerprints: DataFrame, m
     votes = vote_histogram(neighbours, segments, fingerprints)
     w = W.partitionBy("clip_id").orderBy(F.desc("votes"), "first_seen")
     best = votes.withColumn("r", F.row_number().over(w)).where("r = 1").select("clip_id", "video_id", "offset", "votes")
-    sizes = segments.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_segments"))
-    heard = neighbours.select("clip_id").distinct().withColumn("heard", F.lit(True))
+    sizes = segments.groupBy("clip_id").agg(F.count("q_time").alias("n_times"), F.count(F.lit(1)).alias("n_segments"))
+    heard = neighbours.groupBy("clip_id").agg(F.countDistinct("seg_ord").alias("heard"))
     rows = sizes.join(heard, "clip_id", "left").join(best, "clip_id", "left").withColumn("ratio", F.col("votes") / F.col("n_segments"))
-    reason = (
+    # fixed values: the texts that callers see
+    problem = (
         F.when(F.col("heard").isNull(), "No neighbors returned")
+        .when(F.col("n_times") == 0, "Query had no timestamps")
+        .when((F.col("n_times") != F.col("n_segments")) | (F.col("heard") != F.col("n_segments")), "Neighbor/timestamp length mismatch")
         .when(F.col("votes").isNull(), "No fingerprint rows resolved")
-        .when(F.col("votes") < min_votes, F.format_string(f"Vote count %d is below {min_votes}", "votes"))
-        .when(F.col("ratio") < min_ratio, F.concat(F.lit("Vote ratio "), ratio_text(F.col("ratio")), F.lit(f" is below {min_ratio:.3f}")))
+        .when(F.col("votes") < min_votes, F.format_string(f"Best candidate vote count %d is below min_vote_count {min_votes}", "votes"))
+        .when(F.col("ratio") < min_ratio, F.concat(F.lit("Best candidate vote ratio "), ratio_text(F.col("ratio")), F.lit(f" is below min_vote_ratio {min_ratio:.3f}")))
     )
-    judged = rows.withColumn("reason", reason).withColumn("found", F.col("reason").isNull())
+    accepted = F.concat(F.format_string("Accepted with %d votes (", "votes"), ratio_text(F.col("ratio")), F.lit(" ratio)"))
+    judged = rows.withColumn("found", problem.isNull()).withColumn("reason", F.coalesce(problem, accepted))
     only = lambda c: F.when(F.col("found"), F.col(c)).alias(c)
     return judged.select("clip_id", "found", only("video_id"), only("offset"), "votes", "ratio", "reason")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella.functions.scalars import status_of
 from tessella.operators.catalog import first_per
@@ -16,10 +17,18 @@ ERRORS = {"not_found": ("VIDEO_NOT_FOUND", 404), "owner_mismatch": ("VIDEO_OWNER
 def command_outcomes(commands: DataFrame, videos: DataFrame) -> DataFrame:
     """``commands(cmd_id, op, video_id, actor_creator_id)`` with outcome, error_code and http_status.
 
-    ``delete`` needs a searchable video, ``reindex`` a deleted one; what is already so is left as it is. Only
-    the first command for a video that is accepted takes effect (the lowest cmd_id).
+    ``delete`` needs a searchable video, ``reindex`` a deleted one; what is already so is left as it is. Commands
+    take effect in the order of cmd_id: the owner's first delete of a searchable video, and the first reindex after
+    the video is deleted. ``was`` is the status that a command meets.
     """
-    known = videos.select(F.col("id").alias("video_id"), F.col("creator_id").alias("owner"), "status")
+    known = videos.select(F.col("id").alias("video_id"), F.col("creator_id").alias("owner"), F.col("status").alias("at_first"))
+    before = W.partitionBy("video_id").orderBy("cmd_id").rowsBetween(W.unboundedPreceding, -1)
+    own = F.col("owner").eqNullSafe(F.col("actor_creator_id"))
+    rows = commands.join(known, "video_id", "left")
+    deleted = (F.col("at_first") == "deleted") | ((F.col("at_first") == "searchable") & F.coalesce(F.max(own & (F.col("op") == "delete")).over(before), F.lit(False)))
+    rows = rows.withColumn("deleted", deleted)
+    asked = F.coalesce(F.max(own & (F.col("op") == "reindex") & F.col("deleted")).over(before), F.lit(False))
+    rows = rows.withColumn("status", F.when(asked, "reindex_requested").when(F.col("deleted"), "deleted").otherwise(F.col("at_first")))
     done, needed = F.when(F.col("op") == "delete", "deleted").otherwise("reindex_requested"), F.when(F.col("op") == "delete", "searchable").otherwise("deleted")
     outcome = (
         F.when(F.col("owner").isNull() & F.col("status").isNull(), "not_found")
@@ -28,7 +37,7 @@ def command_outcomes(commands: DataFrame, videos: DataFrame) -> DataFrame:
         .when(~F.col("status").eqNullSafe(needed), "invalid_transition")
         .otherwise("accepted")
     )
-    judged = commands.join(known, "video_id", "left").withColumn("outcome", outcome)
+    judged = rows.withColumn("outcome", outcome)
     code, status = F.lit(None).cast("string"), F.lit(200)
     for name, (c, s) in ERRORS.items():
         code, status = F.when(F.col("outcome") == name, c).otherwise(code), F.when(F.col("outcome") == name, F.lit(s)).otherwise(status)
@@ -38,8 +47,9 @@ def command_outcomes(commands: DataFrame, videos: DataFrame) -> DataFrame:
 def apply_video_commands(commands: DataFrame, videos: DataFrame, fingerprints: DataFrame, vectors: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
     """The outcomes, and the tables after the accepted commands."""
     outcomes = command_outcomes(commands, videos)
-    accepted = first_per(outcomes.where("outcome = 'accepted'"), ["video_id"], "cmd_id")
-    gone = accepted.where("op = 'delete'").select("video_id")
+    all_accepted = outcomes.where("outcome = 'accepted'")
+    accepted = first_per(all_accepted, ["video_id"], F.desc("cmd_id"))
+    gone = all_accepted.where("op = 'delete'").select("video_id").distinct()
     patches = accepted.select(F.col("video_id").alias("id"), F.when(F.col("op") == "delete", "deleted").otherwise("reindex_requested").alias("status"))
     doomed = fingerprints.join(gone, "video_id", "left_semi").select("fingerprint_id")
     return {

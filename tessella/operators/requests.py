@@ -18,7 +18,11 @@ def url_problem(url: Column, hosts: tuple[str, ...] = HOSTS) -> Column:
     """What is wrong with a clip's url, or null."""
     u = F.trim(F.coalesce(url, F.lit("")))
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.when(u == "", "URL is required").when(~scheme.isin("http", "https"), "URL must use http or https").when(~F.coalesce(host_name(u).isin(*hosts), F.lit(False)), "URL host is not allowed")
+    # fixed values: the texts that callers see
+    return (
+        F.when(u == "", "TikTok URL is required").when(~scheme.isin("http", "https"), "TikTok URL must use http or https")
+        .when(~F.coalesce(host_name(u).isin(*hosts), F.lit(False)), "Only TikTok URLs are supported")
+    )
 
 
 def duration_problem(seconds: Column, most: float | None = MAX_SECONDS) -> Column:
@@ -27,6 +31,17 @@ def duration_problem(seconds: Column, most: float | None = MAX_SECONDS) -> Colum
     return F.when(seconds > most, F.format_string(f"Input video is %ds; maximum allowed is {most}s", F.ceil(seconds).cast("long")))
 
 
+def probed_seconds(raw: Column) -> Column:
+    """The seconds that a duration probe printed, or null where it printed no positive number."""
+    seconds = F.trim(F.coalesce(raw, F.lit(""))).try_cast("double")
+    return F.when(seconds > 0, seconds)
+
+
+def probe_problem(raw: Column) -> Column:
+    """What is wrong with a probe's answer, or null. The text is a fixed value."""
+    return F.when(probed_seconds(raw).isNull(), "Could not determine input video duration")
+
+
 def file_problem(filename: Column, size: Column, most: int = MAX_BYTES) -> Column:
     return F.when(blank_to_null(filename).isNull(), "Uploaded file must have a filename").when(F.coalesce(size, F.lit(0)) <= 0, "Uploaded file is empty").when(size > most, "File is too large")
 
@@ -42,9 +57,9 @@ def validate_requests(requests: DataFrame, searchable: DataFrame, max_seconds: f
     from_url, from_file, long = url_problem(F.col("tiktok_url")), file_problem(F.col("filename"), F.col("file_size")), duration_problem(F.col("duration_seconds"), max_seconds)
     public = F.col("source_app") == "public"
     checks = [
-        (public & ~has_url, "url", F.lit("URL is required")),
-        (~public & (has_file == has_url), "value", F.lit("Provide exactly one of file or url")),
-        (F.col("key").isNull(), "value", F.lit("Streamer is required")),
+        (public & ~has_url, "url", F.lit("TikTok URL is required")),
+        (~public & (has_file == has_url), "value", F.lit("Provide exactly one of file or tiktok_url")),
+        (F.col("key").isNull(), "value", F.lit("streamer is required")),
         (F.col("searchable").isNull(), "value", F.concat(F.lit("Streamer is not searchable: "), F.col("streamer"))),
         (has_url & from_url.isNotNull(), "url", from_url),
         (has_file & from_file.isNotNull(), "upload", from_file),

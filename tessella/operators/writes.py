@@ -15,6 +15,12 @@ from tessella.operators.catalog import first_per
 ID_PARTS = 256
 
 
+def last_per(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each key, in the order of the rows."""
+    numbered = updates.withColumn("__n", F.monotonically_increasing_id())
+    return first_per(numbered, keys, F.desc("__n")).drop("__n")
+
+
 def latest_per(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first_per(updates, keys, F.desc(order))
 
@@ -32,8 +38,12 @@ def with_new_ids(rows: DataFrame, key: list[str], first: DataFrame, parts: int =
 def upsert_creators(creators: DataFrame, updates: DataFrame) -> DataFrame:
     """By url: the name is overwritten, the image only by one that is not null; new urls get new ids.
 
-    ``updates(url, name, profile_image_url)`` holds each url once.
+    Of a url that comes twice in ``updates(url, name, profile_image_url)`` the last name counts, and the last image
+    that is not null.
     """
+    numbered = updates.withColumn("__n", F.monotonically_increasing_id())
+    image = F.max_by("profile_image_url", F.when(F.col("profile_image_url").isNotNull(), F.col("__n")))
+    updates = numbered.groupBy("url").agg(F.max_by("name", "__n").alias("name"), image.alias("profile_image_url"))
     new = updates.select("url", F.col("name").alias("n"), F.col("profile_image_url").alias("i"), F.lit(True).alias("hit"))
     kept = creators.join(new, "url", "left").select("id", F.when(F.col("hit"), F.col("n")).otherwise(F.col("name")).alias("name"), "url", F.coalesce("i", "profile_image_url").alias("profile_image_url"))
     fresh = updates.join(creators.select("url"), "url", "left_anti")
@@ -56,7 +66,8 @@ def upsert_rows(table: DataFrame, updates: DataFrame, keys: list[str]) -> DataFr
 
 
 def upsert_embeddings(vectors: DataFrame, batch: DataFrame, model_name: str, now: Column | None = None) -> DataFrame:
-    stamped = batch.withColumn("model_name", F.lit(model_name)).withColumn("created_at", now if now is not None else F.current_timestamp())
+    """Vectors of a batch replace those of their fingerprints; of an id that comes twice the last counts."""
+    stamped = last_per(batch, ["fingerprint_id"]).withColumn("model_name", F.lit(model_name)).withColumn("created_at", now if now is not None else F.current_timestamp())
     return upsert_rows(vectors, stamped, ["fingerprint_id"])
 
 

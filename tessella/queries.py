@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +89,7 @@ def vote_histogram(v: Views) -> DataFrame:
 
 
 @query(f"""{_BEST} SELECT s.clip_id, coalesce(votes >= 3 AND votes / n >= 0.08, FALSE) AS found, CASE WHEN votes >= 3 AND votes / n >= 0.08 THEN video_id END AS video_id, CASE WHEN votes >= 3 AND votes / n >= 0.08 THEN "offset" END AS "offset",
-  votes, votes / n AS ratio, CASE WHEN votes < 3 THEN concat('Vote count ', votes, ' is below 3') WHEN votes / n < 0.08 THEN concat('Vote ratio ', printf('%.3f', round_even(votes / n, 3)), ' is below 0.080') END AS reason FROM sizes s LEFT JOIN best b ON s.clip_id = b.clip_id""", "segments", "vectors", "fingerprints")
+  votes, votes / n AS ratio, CASE WHEN votes < 3 THEN concat('Best candidate vote count ', votes, ' is below min_vote_count 3') WHEN votes / n < 0.08 THEN concat('Best candidate vote ratio ', printf('%.3f', round_even(votes / n, 3)), ' is below min_vote_ratio 0.080') ELSE concat('Accepted with ', votes, ' votes (', printf('%.3f', round_even(votes / n, 3)), ' ratio)') END AS reason FROM sizes s LEFT JOIN best b ON s.clip_id = b.clip_id""", "segments", "vectors", "fingerprints")
 def best_alignment(v: Views) -> DataFrame:
     return A.align(K.knn_join(v.segments, v.vectors), v.segments, v.fingerprints)
 
@@ -96,7 +97,7 @@ def best_alignment(v: Views) -> DataFrame:
 @query(f"""{_BEST}, named AS (SELECT k.clip_id, lower(trim(k.streamer)) AS streamer, c.id AS creator_id FROM clips k LEFT JOIN creators c ON lower(c.name) = lower(trim(k.streamer))),
   judged AS (SELECT m.clip_id, m.streamer, m.creator_id, b.video_id, b."offset", b.votes, b.votes / z.n AS ratio, d.title, d.url, o.name AS creator_name,
     CASE WHEN z.n IS NULL THEN 'No embeddings generated for query clip' WHEN m.creator_id IS NULL OR b.votes IS NULL THEN concat('No indexed clips found for streamer: ', m.streamer)
-      WHEN b.votes < 3 THEN concat('Vote count ', b.votes, ' is below 3') WHEN b.votes / z.n < 0.08 THEN concat('Vote ratio ', printf('%.3f', round_even(b.votes / z.n, 3)), ' is below 0.080') WHEN d.url IS NULL THEN 'Aligned video metadata not found' END AS reason, z.n
+      WHEN b.votes < 3 THEN concat('Best candidate vote count ', b.votes, ' is below min_vote_count 3') WHEN b.votes / z.n < 0.08 THEN concat('Best candidate vote ratio ', printf('%.3f', round_even(b.votes / z.n, 3)), ' is below min_vote_ratio 0.080') WHEN d.url IS NULL THEN 'Aligned video metadata not found' END AS reason, z.n
     FROM named m LEFT JOIN sizes z ON m.clip_id = z.clip_id LEFT JOIN best b ON m.clip_id = b.clip_id LEFT JOIN videos d ON b.video_id = d.id LEFT JOIN creators o ON d.creator_id = o.id)
   SELECT clip_id, CASE WHEN n IS NOT NULL THEN streamer END AS streamer, reason IS NULL AS found, CASE WHEN reason IS NULL THEN video_id END AS video_id, CASE WHEN reason IS NULL THEN title END AS title, CASE WHEN reason IS NULL THEN creator_name END AS creator_name,
     CASE WHEN reason IS NULL THEN "offset" END AS timestamp_seconds, CASE WHEN reason IS NULL THEN ratio END AS score, CASE WHEN reason IS NULL AND "offset" >= 0 THEN concat(url, '?t=', CASE WHEN "offset" >= 3600 THEN concat("offset" // 3600, 'h') ELSE '' END, CASE WHEN "offset" >= 60 THEN concat("offset" % 3600 // 60, 'm') ELSE '' END, "offset" % 60, 's') END AS url, reason FROM judged""",
@@ -443,7 +444,7 @@ def download_hosts(v: Views) -> DataFrame:
 
 
 _HOST = r"nullif(lower(regexp_extract(trim(tiktok_url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
-_URL_BAD = f"CASE WHEN trim(coalesce(tiktok_url, '')) = '' THEN 'URL is required' WHEN lower(regexp_extract(trim(tiktok_url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) NOT IN ('http', 'https') THEN 'URL must use http or https' WHEN coalesce({_HOST}, '') NOT IN ('tiktok.com', 'www.tiktok.com', 'm.tiktok.com', 'vm.tiktok.com', 'vt.tiktok.com') THEN 'URL host is not allowed' END"
+_URL_BAD = f"CASE WHEN trim(coalesce(tiktok_url, '')) = '' THEN 'TikTok URL is required' WHEN lower(regexp_extract(trim(tiktok_url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) NOT IN ('http', 'https') THEN 'TikTok URL must use http or https' WHEN coalesce({_HOST}, '') NOT IN ('tiktok.com', 'www.tiktok.com', 'm.tiktok.com', 'vm.tiktok.com', 'vt.tiktok.com') THEN 'Only TikTok URLs are supported' END"
 
 
 @query(f"SELECT id, {_URL_BAD} AS problem FROM requests", "requests")
@@ -471,7 +472,7 @@ def largest_files(v: Views) -> DataFrame:
 
 
 @query(f"""SELECT request_id, source_app, failure IS NULL AS valid, CASE failure WHEN 'url' THEN 'INVALID_TIKTOK_URL' WHEN 'upload' THEN 'INVALID_UPLOAD' WHEN 'duration' THEN 'INPUT_DURATION_EXCEEDED' WHEN 'value' THEN 'PROCESSING_ERROR' END AS error_code, CASE WHEN failure IS NOT NULL THEN 400 END AS http_status,
-   CASE c WHEN 1 THEN 'URL is required' WHEN 2 THEN 'Provide exactly one of file or url' WHEN 3 THEN 'Streamer is required' WHEN 4 THEN concat('Streamer is not searchable: ', streamer) WHEN 5 THEN ub WHEN 6 THEN fb WHEN 7 THEN concat('Input video is ', CAST(ceil(duration_seconds) AS BIGINT), 's; maximum allowed is 180s') END AS error_message
+   CASE c WHEN 1 THEN 'TikTok URL is required' WHEN 2 THEN 'Provide exactly one of file or tiktok_url' WHEN 3 THEN 'streamer is required' WHEN 4 THEN concat('Streamer is not searchable: ', streamer) WHEN 5 THEN ub WHEN 6 THEN fb WHEN 7 THEN concat('Input video is ', CAST(ceil(duration_seconds) AS BIGINT), 's; maximum allowed is 180s') END AS error_message
   FROM (SELECT *, CASE c WHEN 1 THEN 'url' WHEN 2 THEN 'value' WHEN 3 THEN 'value' WHEN 4 THEN 'value' WHEN 5 THEN 'url' WHEN 6 THEN 'upload' WHEN 7 THEN 'duration' END AS failure FROM (
     SELECT *, CASE WHEN source_app = 'public' AND NOT hu THEN 1 WHEN source_app <> 'public' AND hf = hu THEN 2 WHEN trim(streamer) = '' THEN 3 WHEN lower(trim(streamer)) NOT IN (SELECT lower(name) FROM creators c JOIN vectors e ON e.creator_id = c.id) THEN 4 WHEN hu AND ub IS NOT NULL THEN 5 WHEN hf AND fb IS NOT NULL THEN 6 WHEN duration_seconds > 180 THEN 7 END AS c
     FROM (SELECT id AS request_id, *, filename IS NOT NULL AS hf, tiktok_url IS NOT NULL AS hu, {_URL_BAD} AS ub, {_FILE_BAD} AS fb FROM requests) a) b) d""", "requests", "creators", "vectors")
@@ -488,20 +489,29 @@ def request_log_rows(v: Views) -> DataFrame:
     return keyed.drop("created_at")
 
 
+@query("""SELECT request_id, seconds, CASE WHEN seconds IS NULL THEN 'Could not determine input video duration' WHEN seconds > 180 THEN concat('Input video is ', CAST(ceil(seconds) AS BIGINT), 's; maximum allowed is 180s') END AS problem
+  FROM (SELECT id AS request_id, CASE WHEN TRY_CAST(trim(raw) AS DOUBLE) > 0 THEN TRY_CAST(trim(raw) AS DOUBLE) END AS seconds FROM (SELECT id, CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN 'N/A' WHEN 2 THEN '-3.5' WHEN 3 THEN '0' ELSE concat(' ', CAST(id % 400 AS VARCHAR), '.25 ') END AS raw FROM requests) a) b""", "requests")
+def duration_probe(v: Views) -> DataFrame:
+    i = F.col("id")
+    raw = F.when(i % 7 == 0, "").when(i % 7 == 1, "N/A").when(i % 7 == 2, "-3.5").when(i % 7 == 3, "0").otherwise(F.concat(F.lit(" "), (i % 400).cast("string"), F.lit(".25 ")))
+    seconds = R.probed_seconds(raw)
+    return v.requests.select(i.alias("request_id"), seconds.alias("seconds"), F.coalesce(R.probe_problem(raw), R.duration_problem(seconds)).alias("problem"))
+
+
 @query("SELECT vod_id, CASE WHEN trim(st) = '' THEN 'streamer' WHEN d <= 0 THEN 'duration' END AS problem FROM (SELECT vod_id, CASE WHEN k % 7 = 0 THEN ' ' ELSE streamer END AS st, CASE WHEN k % 5 = 0 THEN 0 ELSE duration_seconds END AS d FROM vods) t", "vods")
 def vod_field_checks(v: Views) -> DataFrame:
     k = F.col("k")
     return v.vods.select("vod_id", P.vod_problem(F.when(k % 7 == 0, " ").otherwise(F.col("streamer")), F.col("vod_id"), F.col("url"), F.when(k % 5 == 0, 0).otherwise(F.col("duration_seconds"))).alias("problem"))
 
 
-@query("SELECT clip_id, seg_ord, 'time' AS problem FROM (SELECT clip_id, seg_ord, t, lag(t) OVER (PARTITION BY clip_id ORDER BY seg_ord) AS b FROM (SELECT clip_id, seg_ord, CASE WHEN seg_ord % 5 = 0 THEN q_time - 50 ELSE q_time END AS t FROM segments) a) c WHERE t < b", "segments")
+@query("SELECT clip_id, seg_ord, 'time' AS problem FROM (SELECT clip_id, seg_ord, t, lag(t) OVER (PARTITION BY clip_id ORDER BY seg_ord) AS b FROM (SELECT clip_id, seg_ord, CASE WHEN seg_ord % 5 = 0 THEN q_time - 50 ELSE q_time END AS t FROM all_segments) a) c WHERE t < b", "all_segments")
 def monotonic_violations(v: Views) -> DataFrame:
-    return R.monotonic_violations(v.segments.withColumn("q_time", F.when(F.col("seg_ord") % 5 == 0, F.col("q_time") - 50).otherwise(F.col("q_time"))), 64)
+    return R.monotonic_violations(v.all_segments.withColumn("q_time", F.when(F.col("seg_ord") % 5 == 0, F.col("q_time") - 50).otherwise(F.col("q_time"))), 64)
 
 
-@query("SELECT clip_id, count(*) AS n_segments, CAST(max(len(embedding)) AS INT) AS dim, max(q_time) - min(q_time) + 1 AS duration_seconds FROM segments GROUP BY 1", "segments")
+@query("SELECT clip_id, count(*) AS n_segments, CAST(max(len(embedding)) AS INT) AS dim, max(q_time) - min(q_time) + 1 AS duration_seconds FROM all_segments GROUP BY 1", "all_segments")
 def clip_summary(v: Views) -> DataFrame:
-    return R.clip_summary(v.segments)
+    return R.clip_summary(v.all_segments)
 
 
 @query()
@@ -528,7 +538,7 @@ def _streamed(df: DataFrame, build: Callable[[DataFrame], DataFrame], order: str
     """A table as a stream: written as a few files, one after the other in the order of ``order``, read one a micro-batch."""
     spark = df.sparkSession
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared}/stream-{hashlib.md5(str(id(df)).encode()).hexdigest()}-{spark.sparkContext.startTime}"
+    base = f"{shared}/stream-{uuid.uuid4().hex}"
     edges = df.select(F.percentile_approx(F.col(order).cast("double"), [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
     part = sum((F.when(F.col(order).cast("double") > e, 1).otherwise(0) for e in edges), F.lit(0))
     for i in range(len(edges) + 1):
@@ -607,7 +617,10 @@ def stream_live_chunks(v: Views) -> DataFrame:
     return _streamed(_live(v), monitor.stream_live_chunks, "ts")
 
 
-@query("""SELECT streamer, min(ts) AS ts FROM (SELECT p.streamer, p.ts, (SELECT arg_max(h.healthy, h.ts) FROM (SELECT user_id % 20 AS streamer, created_at AS ts, event_type <> 'error' AS healthy FROM requests WHERE event_type IN ('error', 'signup')) h WHERE h.streamer = p.streamer AND h.ts <= p.ts) AS ok FROM (SELECT user_id % 20 AS streamer, created_at AS ts FROM requests WHERE event_type = 'click') p) t WHERE NOT coalesce(ok, FALSE) GROUP BY streamer, epoch_us(ts) // 120000000""", "requests")
+@query("WITH RECURSIVE x AS (SELECT 1)" + with_views("requests").replace("WITH ", ", ", 1) + """, admitted AS (SELECT DISTINCT streamer, ts FROM (SELECT p.streamer, p.ts, (SELECT arg_max(h.healthy, h.ts) FROM (SELECT user_id % 20 AS streamer, created_at AS ts, event_type <> 'error' AS healthy FROM requests WHERE event_type IN ('error', 'signup')) h WHERE h.streamer = p.streamer AND h.ts <= p.ts) AS ok FROM (SELECT user_id % 20 AS streamer, created_at AS ts FROM requests WHERE event_type = 'click') p) t WHERE NOT coalesce(ok, FALSE)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY streamer ORDER BY ts) AS r FROM admitted),
+  f AS (SELECT streamer, r, ts, ts + INTERVAL 120 SECOND AS deadline, TRUE AS fresh FROM o WHERE r = 1 UNION ALL SELECT o.streamer, o.r, o.ts, CASE WHEN o.ts >= f.deadline THEN o.ts + INTERVAL 120 SECOND ELSE f.deadline END, o.ts >= f.deadline FROM f JOIN o ON o.streamer = f.streamer AND o.r = f.r + 1)
+  SELECT streamer, ts FROM f WHERE fresh""")
 def fallback_polls(v: Views) -> DataFrame:
     rows = v.requests.select((F.col("user_id") % 20).alias("streamer"), F.col("created_at").alias("ts"), "event_type")
     health = rows.where("event_type in ('error', 'signup')").select("streamer", "ts", (F.col("event_type") != "error").alias("healthy"))

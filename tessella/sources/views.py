@@ -13,7 +13,10 @@ VIEWS = {
         SELECT DISTINCT video_id AS id, CAST(floor(video_id / 1000) AS BIGINT) AS creator_id, concat('https://www.twitch.tv/videos/', CAST(video_id AS VARCHAR(20))) AS url, concat('Recording ', CAST(video_id AS VARCHAR(20))) AS title,
           CASE WHEN video_id % 2 = 0 THEN 'https://img.example/t.jpg' END AS thumbnail_url,
           CASE video_id % 4 WHEN 0 THEN 'indexing' WHEN 1 THEN 'searchable' WHEN 2 THEN 'deleted' ELSE 'reindex_requested' END AS status FROM fingerprints) v""",
-    "segments": "SELECT video_id AS clip_id, CAST(timestamp_seconds - 100 AS INT) AS seg_ord, timestamp_seconds - 100 AS q_time, embedding, creator_id FROM fingerprints JOIN vectors USING (fingerprint_id) WHERE timestamp_seconds >= 100 AND timestamp_seconds < 350",
+    "all_segments": """SELECT video_id AS clip_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_seconds) - 1 AS INT) AS seg_ord, timestamp_seconds - min(timestamp_seconds) OVER (PARTITION BY video_id) AS q_time,
+          embedding, creator_id FROM fingerprints JOIN vectors USING (fingerprint_id)""",
+    "segments": """SELECT video_id AS clip_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp_seconds) - 1 AS INT) AS seg_ord, timestamp_seconds - min(timestamp_seconds) OVER (PARTITION BY video_id) AS q_time,
+          embedding, creator_id FROM fingerprints JOIN vectors USING (fingerprint_id) WHERE fingerprint_id % 100 = 0""",
     "clips": "SELECT v.id AS clip_id, CASE WHEN v.id % 7 = 0 THEN 'nobody' ELSE concat(' ', lower(c.name), ' ') END AS streamer FROM videos v JOIN creators c ON v.creator_id = c.id",
     "seconds": "SELECT o_orderkey AS k, CAST(floor(o_totalprice / 10) AS BIGINT) % 20000 AS s, o_custkey, o_orderdate, o_orderstatus, o_orderpriority FROM orders",
     "vods": """SELECT CAST(k AS VARCHAR(20)) AS vod_id, CAST(o_custkey AS VARCHAR(20)) AS streamer, concat('https://www.twitch.tv/videos/', CAST(k AS VARCHAR(20))) AS url, o_orderdate AS created_at, CAST(s AS INT) AS duration_seconds, k FROM seconds""",

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.streaming.webhook import ttl_dedup
+
 CHUNK_SECONDS, LAG_SECONDS, FINAL_CHECKS, POLL_SECONDS = 60, 120, 3, 120
 STATUS = "streamer string, ts timestamp, event_id long, kind string, state string, is_live boolean, active boolean"
 
@@ -132,10 +134,9 @@ def stream_live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag:
 def fallback_polls(polls: DataFrame, health: DataFrame, every: int = POLL_SECONDS) -> DataFrame:
     """Polls ``(streamer, ts)`` admitted where the feed was not healthy: the last of ``health(streamer, ts, healthy)`` before them.
 
-    At most one poll in each span of ``every`` seconds (5 at least) is admitted a streamer: the first.
+    After an admitted poll of a streamer, none is admitted for ``every`` seconds (5 at least).
     """
     both = polls.select("streamer", "ts", F.lit(None).cast("boolean").alias("healthy"), F.lit(1).alias("poll")).unionByName(health.select("streamer", "ts", "healthy", F.lit(0).alias("poll")))
     w = W.partitionBy("streamer").orderBy("ts", "poll").rowsBetween(W.unboundedPreceding, 0)
     judged = both.withColumn("last", F.last("healthy", ignorenulls=True).over(w)).where((F.col("poll") == 1) & ~F.coalesce("last", F.lit(False)))
-    span = F.floor(F.unix_seconds("ts") / max(5, every))
-    return judged.groupBy("streamer", span.alias("span")).agg(F.min("ts").alias("ts")).select("streamer", "ts")
+    return ttl_dedup(judged.select("streamer", "ts"), "streamer", "ts", max(5, every))

@@ -66,7 +66,8 @@ def ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) -> DataFra
 def stream_ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) -> DataFrame:
     """Streaming: as ``ttl_dedup``, with the deadline of each key as state that expires with the watermark of ``ts``.
 
-    ``messages`` has a watermark on ``ts``; rows of a micro-batch are taken in time order.
+    ``messages`` has a watermark on ``ts``; rows of a micro-batch are taken in time order. A blank key is never a
+    duplicate.
     """
     schema = messages.schema
     state = T.StructType([T.StructField("deadline", T.LongType())])
@@ -87,7 +88,9 @@ def stream_ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) ->
         held.setTimeoutTimestamp(max(deadline // 1000 + 1, held.getCurrentWatermarkMs() + 1))
         yield rows[keep]
 
-    return messages.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
+    rest = messages.where(~blank).groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return rest.unionByName(messages.where(blank))
 
 
 _BODY = "challenge string, subscription struct<type:string,status:string>, event struct<broadcaster_user_login:string>"

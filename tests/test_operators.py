@@ -13,6 +13,7 @@ from tessella.functions import scalars as X
 from tessella.operators import align, catalog, knn, lifecycle, requests, writes
 from tessella.plans import ingest
 from tessella.sources import audio, vods
+from tessella.streaming.ingest import into_table
 from tessella.streaming import monitor, webhook
 
 
@@ -33,9 +34,9 @@ def test_align(spark, votes, ratio, found):
     got = align.align(neighbours, segments, fps, votes, ratio).first()
     assert got["found"] is found and got["votes"] == 3 and got["ratio"] == 1.0
     if found:
-        assert (got["video_id"], got["offset"]) == (100, 10)
+        assert (got["video_id"], got["offset"], got["reason"]) == (100, 10, "Accepted with 3 votes (1.000 ratio)")
     else:
-        assert "below 5" in got["reason"]
+        assert got["reason"] == "Best candidate vote count 3 is below min_vote_count 5"
 
 
 def test_align_unknown_ids_and_ties(spark):
@@ -58,20 +59,20 @@ def test_knn(spark, method):
     assert knn.knn_join(segments.limit(0), vectors, 2, method=method).count() == 0
 
 
-@pytest.mark.parametrize("s,text", [(1368, "22m48s"), (59, "59s"), (60, "1m0s"), (3723, "1h2m3s"), (-1, None)])
+@pytest.mark.parametrize("s,text", [(0, "0s"), (7, "7s"), (61, "1m1s"), (754, "12m34s"), (7200, "2h0m0s"), (40271, "11h11m11s"), (-1, None)])
 def test_offset_text(spark, s, text):
     assert one(spark, X.offset_text(F.col("s")), s=s) == text
 
 
 @pytest.mark.parametrize("url,s,out", [
-    ("https://www.twitch.tv/videos/1?foo=bar&t=1s", 60, "https://www.twitch.tv/videos/1?foo=bar&t=1m0s"), ("https://x.tv/a#top", 5, "https://x.tv/a?t=5s#top"), ("https://x.tv/a?a", 5, "https://x.tv/a?a=&t=5s"),
+    ("https://x.tv/v/8?t=9h&lang=en", 90, "https://x.tv/v/8?lang=en&t=1m30s"), ("https://x.tv/a#top", 5, "https://x.tv/a?t=5s#top"), ("https://x.tv/a?a", 5, "https://x.tv/a?a=&t=5s"),
     ("https://x.tv/a?k=~*", 5, "https://x.tv/a?k=~%2A&t=5s"), ("/no/scheme", 5, None), ("https://x.tv", -1, None),
 ])
 def test_timestamp_url(spark, url, s, out):
     assert one(spark, X.timestamp_url(F.col("u"), F.col("s")), u=url, s=s) == out
 
 
-@pytest.mark.parametrize("text,s", [("1h2m3s", 3723), ("45m", 2700), ("59s", 59), ("", 0), ("1x2m", 720), ("h5m", 300), ("1h1h", 7200), ("90", 0), (None, 0)])
+@pytest.mark.parametrize("text,s", [("2h0m7s", 7207), ("8m", 480), ("31s", 31), ("", 0), ("1x2m", 720), ("h5m", 300), ("1h1h", 7200), ("90", 0), (None, 0)])
 def test_duration(spark, text, s):
     assert one(spark, X.duration_seconds(F.col("t")), t=text) == s
 
@@ -194,8 +195,8 @@ def test_requests(spark):
             (5, "admin", "a.mp4", 5, None, "jason", 180.5), (6, "public", None, None, "https://vm.tiktok.com/x", "who", 1.0), (7, "public", None, None, None, "jason", 1.0)]
     df = spark.createDataFrame(rows, "request_id long, source_app string, filename string, file_size long, tiktok_url string, streamer string, duration_seconds double")
     got = {r["request_id"]: (r["error_code"], r["error_message"]) for r in requests.validate_requests(df, names).collect()}
-    assert got[1] == (None, None) and got[2][1] == "Provide exactly one of file or url" and got[3] == ("INVALID_TIKTOK_URL", "URL host is not allowed") and got[4] == ("INVALID_UPLOAD", "Uploaded file is empty")
-    assert got[5] == ("INPUT_DURATION_EXCEEDED", "Input video is 181s; maximum allowed is 180s") and got[6][1] == "Streamer is not searchable: who" and got[7] == ("INVALID_TIKTOK_URL", "URL is required")
+    assert got[1] == (None, None) and got[2][1] == "Provide exactly one of file or tiktok_url" and got[3] == ("INVALID_TIKTOK_URL", "Only TikTok URLs are supported") and got[4] == ("INVALID_UPLOAD", "Uploaded file is empty")
+    assert got[5] == ("INPUT_DURATION_EXCEEDED", "Input video is 181s; maximum allowed is 180s") and got[6][1] == "Streamer is not searchable: who" and got[7] == ("INVALID_TIKTOK_URL", "TikTok URL is required")
 
 
 def test_audio(spark):
@@ -256,3 +257,43 @@ def test_observed_plan_and_log(spark, tmp_path):
         writes.append_request_log(rows, f"{tmp_path}/log")
     log = spark.read.parquet(f"{tmp_path}/log")
     assert log.count() == 4 and {str(r["day"]) for r in log.select("day").distinct().collect()} == {"2026-01-01", "2026-01-02"}
+
+
+def test_commands_see_those_before_them(spark):
+    videos = spark.createDataFrame([(1, 5, "searchable", True), (2, 5, "deleted", True)], "id long, creator_id long, status string, processed boolean")
+    ops = [("reindex", 1, 5), ("delete", 1, 6), ("delete", 1, 5), ("delete", 1, 5), ("reindex", 1, 5), ("reindex", 1, 5), ("delete", 1, 5), ("delete", 2, 5), ("reindex", 2, 5)]
+    commands = spark.createDataFrame([(i, *o) for i, o in enumerate(ops)], "cmd_id long, op string, video_id long, actor_creator_id long").repartition(3)
+    got = {r["cmd_id"]: (r["was"], r["outcome"]) for r in lifecycle.command_outcomes(commands, videos).collect()}
+    assert got == {
+        0: ("searchable", "invalid_transition"), 1: ("searchable", "owner_mismatch"), 2: ("searchable", "accepted"), 3: ("deleted", "unchanged"), 4: ("deleted", "accepted"),
+        5: ("reindex_requested", "unchanged"), 6: ("reindex_requested", "invalid_transition"), 7: ("deleted", "unchanged"), 8: ("deleted", "accepted"),
+    }
+    empty = spark.createDataFrame([], "fingerprint_id long, video_id long, vod_platform_id string")
+    out = lifecycle.apply_video_commands(commands, videos, empty, empty, empty)
+    assert {r["id"]: r["status"] for r in out["videos"].collect()} == {1: "reindex_requested", 2: "reindex_requested"}
+
+
+def test_keys_that_come_twice(spark):
+    vectors = spark.createDataFrame([(1, [0.0])], "fingerprint_id long, embedding array<float>")
+    batch = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (1, [3.0])], "fingerprint_id long, embedding array<float>").coalesce(1)
+    assert sorted((r["fingerprint_id"], r["embedding"]) for r in writes.upsert_embeddings(vectors.withColumns({"model_name": F.lit(""), "created_at": F.current_timestamp()}), batch, "m").collect()) == [(1, [3.0]), (2, [2.0])]
+    creators = spark.createDataFrame([(4, "old", "u", "i")], "id long, name string, url string, profile_image_url string")
+    new = spark.createDataFrame([("u", "a", "j"), ("w", "x", None), ("u", "b", None), ("w", "y", "k")], "url string, name string, profile_image_url string").coalesce(1)
+    assert sorted(map(tuple, writes.upsert_creators(creators, new).collect())) == [(4, "b", "u", "j"), (5, "y", "w", "k")]
+
+
+def test_polls_wait_from_the_last_one(spark):
+    base = dt.datetime(2026, 1, 1)
+    at = lambda s: base + dt.timedelta(seconds=s)
+    polls = spark.createDataFrame([("a", at(s)) for s in (119, 121, 238, 239, 300, 360)], "streamer string, ts timestamp")
+    health = spark.createDataFrame([("a", at(350), True)], "streamer string, ts timestamp, healthy boolean")
+    assert sorted((r["ts"] - base).seconds for r in monitor.fallback_polls(polls, health).collect()) == [119, 239]
+
+
+def test_blank_ids_in_a_stream(spark, tmp_path):
+    rows = [("", dt.datetime(2026, 1, 1, 0, 0, i), i) for i in range(3)] + [(None, dt.datetime(2026, 1, 1), 5), ("k", dt.datetime(2026, 1, 1), 6), ("k", dt.datetime(2026, 1, 1, 0, 0, 9), 7)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, n int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withWatermark("ts", "1 minute")
+    into_table(webhook.stream_ttl_dedup(stream, "key", "ts", 600), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(r["n"] for r in spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 5, 6]
