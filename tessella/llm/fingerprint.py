@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import BLOCK_BYTES, RangeHash, byte_symbols, joined, mix, order_buckets, word_spans
+from tessella.llm.common import BLOCK_BYTES, RangeHash, byte_symbols, joined, materialise, mix, order_buckets, word_spans
 
 BITS, TERM_WORDS = 128, 5
 
@@ -77,38 +77,131 @@ def fingerprints(docs: DataFrame, bits: int = BITS, size: int = TERM_WORDS) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _block(bits: Column, i: int, blocks: int, total: int) -> Column:
-    begin, end = total * i // blocks, total * (i + 1) // blocks
-    return F.substring(bits, begin + 1, end - begin)
-
+#: Fingerprints of one bucket that a task compares with as many others at most.
+BUCKET_PART = 8192
+
+
+def _masks(radius: int, blocks: int, bits: int) -> np.ndarray:
+    """The masks of the tables, one row each: every choice of ``blocks - radius`` of the blocks."""
+    out = []
+    for chosen in itertools.combinations(range(blocks), blocks - radius):
+        mask = 0
+        for i in chosen:
+            begin, end = bits * i // blocks, bits * (i + 1) // blocks
+            mask |= (1 << end) - (1 << begin)
+        out.append([mask >> 64 * p & (2**64 - 1) for p in reversed(range(bits // 64))])
+    return np.array(out, np.uint64)
+
+
+def _near(a: np.ndarray, b: np.ndarray, masks: np.ndarray, table: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index in a, index in b, differing bits) of what is near and what no table before ``table`` brings together."""
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        differing = np.zeros((len(part), len(b)), np.uint16)
+        for plane in range(a.shape[1]):
+            differing += np.bitwise_count(part[:, None, plane] ^ b[None, :, plane])
+        i, j = np.nonzero(differing <= radius)
+        if not len(i):
+            continue
+        apart = part[i] ^ b[j]
+        held = (apart & masks[table] == 0).all(axis=1)
+        for earlier in masks[:table]:
+            held &= (apart & earlier != 0).any(axis=1)
+        yield i[held] + at, j[held], differing[i[held], j[held]]
+
+
+def _tiles(prints: DataFrame, radius: int, blocks: int, bits: int, most: int, schema: str, found: Callable) -> DataFrame:
+    """``found(fingerprints a, fingerprints b or None, table)`` for all tiles of all buckets of the tables.
+
+    A fingerprint alone in its bucket goes no further. A bucket of more than ``most`` is cut into parts by hash, and
+    each pair of parts is a tile of its own, so that no task holds a bucket.
+    """
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than bits in the radius")
+    planes, masks = bits // 64, _masks(radius, blocks, bits)
+    names = [f"p{i}" for i in range(planes)]
+    # conv with a negative base reads and writes signed numbers
+    distinct = prints.select(*[F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long").alias(c) for i, c in enumerate(names)]).distinct()
+    key = lambda t: F.xxhash64(*[F.col(c).bitwiseAND(F.lit(int(m.astype(np.int64)))) for c, m in zip(names, masks[t])])
+    tables = F.array(*[F.struct(F.lit(t).alias("table"), key(t).alias("key")) for t in range(len(masks))])
+    rows = distinct.select(*names, F.explode(tables).alias("k")).select("k.table", "k.key", *names)
+    parts = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = rows.join(parts, ["table", "key"]).withColumn("part", F.pmod(F.xxhash64(*names, F.lit(7)), "parts").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    tiles = dealt.select("table", "key", "part", *names, F.explode(pairs).alias("t")).select("table", "key", "t.i", "t.j", "part", *names)
+    order = ["table", "key", "i", "j"]
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 5, bits: int = BITS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def settle(columns: np.ndarray, ends: list[int]) -> Iterator[pa.RecordBatch]:
+            for begin, end in itertools.pairwise([0, *ends]):
+                if end - begin < 2:
+                    continue
+                table, _, i, j = columns[:4, begin]
+                group = np.ascontiguousarray(columns[5:, begin:end].T).view(np.uint64)
+                own = columns[4, begin:end] == i
+                yield from found(group if i == j else group[own], None if i == j else group[~own], int(table), masks)
+
+        for b in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+            columns = np.concatenate(held, axis=1)
+            ends = (np.flatnonzero((columns[:4, 1:] != columns[:4, :-1]).any(axis=0)) + 1).tolist()
+            if ends:
+                yield from settle(columns, ends)
+            held = [columns[:, ends[-1] :] if ends else columns]
+        if held:
+            yield from settle(held[0], [held[0].shape[1]])
+
+    return tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 5, bits: int = BITS, most: int = BUCKET_PART) -> DataFrame:
     """(a, b, differing), a < b: all pairs of distinct fingerprints within ``radius`` bits of each other.
 
     Fingerprints within ``radius`` bits agree on at least ``blocks - radius`` whole blocks, so there is a
     table for each choice of that many blocks, keyed by their bits; a pair is compared where it shares a key
     and reported by the first table that holds it. The key is as long as the choice of ``blocks`` makes it:
-    raise ``blocks`` with the number of fingerprints, to keep the tables' buckets short.
+    raise ``blocks`` with the number of fingerprints, to keep the tables' buckets short. Where near copies are many,
+    take ``linked_fingerprints``: it counts the pairs without making them.
     """
-    if blocks <= radius:
-        raise ValueError("there must be more blocks than bits in the radius")
-    chosen = list(itertools.combinations(range(blocks), blocks - radius))
-    parts = [F.lpad(F.conv(F.substring("fingerprint", i * 8 + 1, 8), 16, 2), 32, "0") for i in range(bits // 32)]
-    distinct = prints.select("fingerprint").distinct().withColumn("bits", F.concat(*parts))
-    key = lambda c: F.concat_ws("|", *[_block(F.col("bits"), i, blocks, bits) for i in c])
-    rows = distinct.select("fingerprint", "bits", F.explode(F.array(*[F.struct(F.lit(t).alias("table"), key(c).alias("key")) for t, c in enumerate(chosen)])).alias("k")).select("fingerprint", "bits", "k.table", "k.key")
-    left = rows.select("table", "key", F.col("fingerprint").alias("a"), F.col("bits").alias("x"))
-    right = rows.select("table", "key", F.col("fingerprint").alias("b"), F.col("bits").alias("y"))
-    agree = lambda c: F.lit(True) if not c else _block(F.col("x"), c[0], blocks, bits) == _block(F.col("y"), c[0], blocks, bits)
-    first = F.lit(len(chosen))
-    for t, c in reversed(list(enumerate(chosen))):
-        same = F.lit(True)
-        for i in c:
-            same = same & agree((i,))
-        first = F.when(same, F.lit(t)).otherwise(first)
-    differing = sum((F.bit_count(F.conv(F.substring("a", i * 8 + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", i * 8 + 1, 8), 16, 10).cast("long"))) for i in range(bits // 32)), F.lit(0))
-    joined_rows = left.join(right, ["table", "key"]).where("a < b").where(differing <= radius).where(F.col("table") == first)
-    return joined_rows.select("a", "b", differing.cast("int").alias("differing"))
+
+    def found(a: np.ndarray, b: np.ndarray | None, table: int, masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j, differing in _near(a, a if b is None else b, masks, table, radius):
+            once = i < j if b is None else np.ones(len(i), bool)
+            pair = [sorted(p) for p in zip(hexed(a[i[once]]), hexed((a if b is None else b)[j[once]]))]
+            if pair:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*pair)] + [pa.array(differing[once].astype(np.int32))], ["a", "b", "differing"])
+
+    return _tiles(prints, radius, blocks, bits, most, "a string, b string, differing int", found)
+
+
+def linked_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 4, bits: int = BITS, most: int = BUCKET_PART) -> DataFrame:
+    """(fingerprint, links): how many other distinct fingerprints are within ``radius`` bits, for those with any.
+
+    The tables are those of ``near_fingerprints``; each tile counts its pairs, and only counts leave a task.
+    """
+
+    def found(a: np.ndarray, b: np.ndarray | None, table: int, masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        links = [np.zeros(len(x), np.int64) for x in (a, b) if x is not None]
+        for i, j, _ in _near(a, a if b is None else b, masks, table, radius):
+            if b is None:
+                i = i[i != j]  # both orders of a pair are met
+            else:
+                links[1] += np.bincount(j, minlength=len(b))
+            links[0] += np.bincount(i, minlength=len(a))
+        for x, n in zip((a, b), links):
+            if n.any():
+                yield pa.RecordBatch.from_arrays([pa.array(hexed(x[n > 0])), pa.array(n[n > 0])], ["fingerprint", "links"])
+
+    return _tiles(prints, radius, blocks, bits, most, "fingerprint string, links long", found).groupBy("fingerprint").agg(F.sum("links").alias("links"))
+
+
+def linked_report(docs: DataFrame, radius: int = 3, blocks: int = 4, bits: int = BITS, size: int = TERM_WORDS) -> DataFrame:
+    """``fingerprint_report`` with ``links``: other distinct fingerprints within ``radius`` bits of a document's own."""
+    report = materialise(fingerprint_report(docs, bits, size), "fingerprints")
+    found = linked_fingerprints(report, radius, blocks, bits)
+    return report.join(found, "fingerprint", "left").select(*report.columns, F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def edited(text: str, following: str) -> str:

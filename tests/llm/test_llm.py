@@ -237,6 +237,54 @@ def test_block_tables(spark, radius, blocks):
     df = spark.createDataFrame([(p,) for p in prints] + [(next(iter(prints)),)], "fingerprint string")
     got = {(r["a"], r["b"], r["differing"]) for r in fingerprint.near_fingerprints(df, radius, blocks).collect()}
     assert got == {(a, b, d) for a in prints for b in prints if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
+    split = {(r["a"], r["b"], r["differing"]) for r in fingerprint.near_fingerprints(df, radius, blocks, most=2).collect()}
+    assert split == got
+    links = collections.Counter(x for a, b, _ in got for x in (a, b))
+    for most in (2, 8192):
+        assert {r["fingerprint"]: r["links"] for r in fingerprint.linked_fingerprints(df, radius, blocks, most=most).collect()} == links
+
+
+def test_full_bucket(spark):
+    """Fingerprints that all share a table's bucket are split into parts, and no link is lost or met twice."""
+    rng = random.Random(2)
+    near = {f"{sum(1 << k for k in rng.sample(range(32), rng.randint(0, 3))):032x}" for _ in range(700)}
+    far = {f"{rng.getrandbits(32) << 96 | rng.getrandbits(20):032x}" for _ in range(300)}
+    prints = sorted(near | far)
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string").repartition(7)
+    values = [int(p, 16) for p in prints]
+    links = {p: n for p, a in zip(prints, values) if (n := sum((a ^ b).bit_count() <= 3 for b in values) - 1)}
+    assert {r["fingerprint"]: r["links"] for r in fingerprint.linked_fingerprints(df, most=64).collect()} == links
+
+
+def plain_simhash(text):
+    """The votes of each term's hash one by one."""
+    w = (text or "").encode().split()
+    width = min(max(len(w) // 4, 1), fingerprint.TERM_WORDS)
+    power = lambda base, n: pow(base, n, 2**64)
+    scramble = lambda x: int(common.mix(np.array([x], np.uint64))[0])
+    hashed = lambda symbols, base: scramble(sum(int(s) * power(base, i) for i, s in enumerate(symbols)) % 2**64)
+    ids = [scramble(hashed([common._TABLE[0][c] for c in x], common._BASES[0])) for x in w]
+    terms = collections.Counter(tuple(ids[i : i + width]) for i in range(len(ids) - width + 1 if ids else 0))
+    out = ""
+    for plane in (1, 2):
+        votes = [0] * 64
+        for term, weight in terms.items():
+            h = scramble(hashed(term, common._BASES[1]) ^ (0xA0761D6478BD642F * plane) % 2**64)
+            votes = [v + (weight if h >> k & 1 else -weight) for k, v in enumerate(votes)]
+        out += f"{sum(1 << k for k, v in enumerate(votes) if v > 0):016x}"
+    return out
+
+
+def test_fingerprints_by_votes(docs):
+    got = by_id(fingerprint.linked_report(docs))
+    prints = [plain_simhash(t) for t in TEXTS]
+    like = lambda a, b: max(0.0, np.cos(np.pi * (int(a, 16) ^ int(b, 16)).bit_count() / 128))
+    for i, t in enumerate(TEXTS):
+        r, n = got[i * 3], (i + 1) % len(TEXTS)
+        changed = plain_simhash(fingerprint.edited(t or "", TEXTS[n] or ""))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[i], changed)
+        assert r["near_edited"] == pytest.approx(like(prints[i], changed)) and r["near_next"] == pytest.approx(like(prints[i], prints[n]))
+        assert r["links"] == sum((int(p, 16) ^ int(prints[i], 16)).bit_count() <= 3 for p in set(prints)) - 1
 
 
 # ---------------------------------------------------------------- 5
