@@ -79,6 +79,35 @@ def fold_job_events(requests: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+#: What a finished search leaves in its job.
+RESULTS = (
+    "result_reason", "found_match", "matched_video_id", "matched_timestamp_seconds", "score", "clip_filename", "download_source", "download_host", "input_duration_seconds",
+    "total_duration_ms", "preprocess_duration_ms", "embed_duration_ms", "vector_query_duration_ms", "alignment_duration_ms",
+)
+
+
+def _finish(requests: DataFrame, rows: DataFrame, now: Column, changes: dict[str, Column]) -> DataFrame:
+    """``requests`` with ``changes`` where ``rows`` has the id; ``__c`` is the column c of ``rows``."""
+    given = rows.select("id", *[F.col(c).alias(f"__{c}") for c in rows.columns if c != "id"], F.lit(True).alias("__hit"))
+    changes = {**changes, "job_stage": F.lit(None).cast("string"), "finished_at": now}
+    return requests.join(given, "id", "left").select(*[F.when(F.col("__hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in requests.columns])
+
+
+def complete_jobs(requests: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Jobs with the results of ``outcomes(id, ...)``, one row an id: no error is left, results that are not given are null."""
+    none = F.lit(None).cast("string")
+    results = {c: F.col(f"__{c}") if c in outcomes.columns else F.lit(None) for c in RESULTS}
+    fixed = {"success": F.lit(True), "http_status": F.lit(200), "error_code": none, "error_message": none, "job_status": F.lit("completed")}
+    return _finish(requests, outcomes.select("id", *[c for c in outcomes.columns if c in RESULTS]), now, {**results, **fixed})
+
+
+def fail_jobs(requests: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """Jobs with the error of ``failures(id, error_code, error_message, http_status, input_duration_seconds)``; a null duration leaves the job's own."""
+    changes = {c: F.col(f"__{c}") for c in ("error_code", "error_message", "http_status")}
+    kept = {"input_duration_seconds": F.coalesce("__input_duration_seconds", "input_duration_seconds")} if "input_duration_seconds" in requests.columns else {}
+    return _finish(requests, failures, now, {**changes, **kept, "success": F.lit(False), "job_status": F.lit("failed")})
+
+
 def fail_open_jobs(requests: DataFrame, code: str, message: str, now: Column) -> DataFrame:
     """Public jobs that are queued or running fail, as after a restart."""
     hit = (F.col("source_app") == "public") & F.col("job_status").isin("queued", "running")

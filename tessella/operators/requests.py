@@ -12,6 +12,8 @@ from tessella.functions.scalars import blank_to_null, failure_code, failure_stat
 HOSTS = ("tiktok.com", "www.tiktok.com", "m.tiktok.com", "vm.tiktok.com", "vt.tiktok.com")
 MAX_BYTES = 200 * 1024 * 1024
 MAX_SECONDS = 180
+#: Fixed value: the route that search requests are logged under.
+SEARCH_ROUTE = "/api/search/clip"
 
 
 def url_problem(url: Column, hosts: tuple[str, ...] = HOSTS) -> Column:
@@ -73,11 +75,22 @@ def validate_requests(requests: DataFrame, searchable: DataFrame, max_seconds: f
 
 
 def request_log_rows(outcomes: DataFrame) -> DataFrame:
-    """Log rows from request outcomes: names and hosts normalised, seconds as whole milliseconds."""
-    stage = lambda c: milliseconds(F.col(f"{c}_seconds")).alias(f"{c}_duration_ms")
+    """Log rows from request outcomes: names and hosts normalised, seconds as whole milliseconds.
+
+    What a search measured (``meta_*``) comes before what it answered (``result_*``); columns that ``outcomes`` lacks
+    are null.
+    """
+    has = set(outcomes.columns)
+    given = lambda c, kind: F.col(c).cast(kind) if c in has else F.lit(None).cast(kind)
+    either = lambda c, kind: F.coalesce(given(f"meta_{c}", kind), given(f"result_{c}", kind)).alias(c)
+    stage = lambda c: (milliseconds(F.col(f"{c}_seconds")) if f"{c}_seconds" in has else F.lit(None).cast("int")).alias(f"{c}_duration_ms")
+    said = F.when(given("meta_reason", "string") != "", given("meta_reason", "string"))  # an empty reason is none
     return outcomes.select(
-        "created_at", "source_app", input_type(F.col("filename"), F.col("tiktok_url")).alias("input_type"), name_key(F.col("streamer")).alias("streamer"), "success", F.coalesce("http_status", F.lit(200)).alias("http_status"),
-        host_name(F.col("tiktok_url")).alias("download_host"), blank_to_null(F.col("filename")).alias("clip_filename"), F.coalesce("meta_score", "result_score").alias("score"), stage("embed"), stage("total"),
+        "created_at", "source_app", F.lit(SEARCH_ROUTE).alias("route"), input_type(F.col("filename"), F.col("tiktok_url")).alias("input_type"), name_key(F.col("streamer")).alias("streamer"),
+        given("creator_id", "long").alias("creator_id"), "success", F.coalesce("http_status", F.lit(200)).alias("http_status"), given("error_code", "string").alias("error_code"), given("error_message", "string").alias("error_message"),
+        F.coalesce(said, given("result_reason", "string")).alias("result_reason"), either("found_match", "boolean"), either("matched_video_id", "long"), either("matched_timestamp_seconds", "int"), either("score", "double"),
+        blank_to_null(F.col("filename")).alias("clip_filename"), F.when(blank_to_null(F.col("tiktok_url")).isNotNull(), "tiktok").alias("download_source"), host_name(F.col("tiktok_url")).alias("download_host"),
+        given("input_duration_seconds", "double").alias("input_duration_seconds"), stage("total"), stage("preprocess"), stage("embed"), stage("vector_query"), stage("alignment"),
     )
 
 

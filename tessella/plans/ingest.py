@@ -66,6 +66,19 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def watch_summary(steps: DataFrame) -> DataFrame:
+    """Counts a streamer over the ``steps(streamer, mode, outcome)`` of runs that turn between ``live``, ``backlog`` and ``watch``.
+
+    A live session that is ``done`` hands over to the backlog; one that is ``interrupted`` does not. A backlog vod is ``done``, or
+    ``preempted`` by a live session.
+    """
+    is_a = lambda mode, outcome: F.count_if((F.col("mode") == mode) & (F.col("outcome") == outcome))
+    return steps.groupBy("streamer").agg(
+        F.count_if(F.col("mode") == "live").alias("live_sessions_started"), is_a("live", "done").alias("handoffs_to_backlog"), is_a("backlog", "preempted").alias("handoffs_to_live"),
+        is_a("backlog", "done").alias("backlog_ingested"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("mode") == "watch").alias("watch_cycles"),
+    )
+
+
 def chunk_name(vod_id: Column, start: Column, length: Column) -> Column:
     return F.format_string("vod_%s_%08d_%04d.wav", vod_id, start.cast("long"), length.cast("long"))
 
@@ -89,6 +102,26 @@ def live_chunk_plan(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int
     return _chunks(snapshots, end, seconds).select("vod_id", "start", "length", "name")
 
 
+def archive_session(events: DataFrame, seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """(vod_id, ts, event_id, start, length, status): what each poll of ``events`` brings.
+
+    ``events(vod_id, ts, event_id, kind, saved, duration_seconds)``, ``kind`` being ``poll`` or ``stop``; ``saved`` is where
+    the vod was left. A poll commits the chunk of the poll right before it and brings the next ``chunk``; after a stop
+    the chunk under way is not committed and comes again. The first poll with all committed is ``searchable``; polls
+    after it, and stops, bring nothing.
+    """
+    w = W.partitionBy("vod_id").orderBy("ts", "event_id")
+    polled = F.col("kind") == "poll"
+    rows = events.withColumn("commits", (polled & (F.lag("kind").over(w) == "poll")).cast("int"))
+    rows = rows.withColumn("commits", F.sum(F.coalesce("commits", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    saved = F.coalesce(F.col("saved"), F.lit(0)).cast("long")
+    rows = rows.where(polled).withColumn("start", F.greatest(saved, F.least(saved + F.col("commits") * seconds, F.col("duration_seconds").cast("long"))))
+    over = F.col("start") >= F.col("duration_seconds")
+    rows = rows.withColumn("over", over).withColumn("times", F.sum(over.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("times < 2")
+    length = F.when(F.col("over"), 0).otherwise(F.least(F.lit(seconds), F.col("duration_seconds") - F.col("start"))).cast("long")
+    return rows.select("vod_id", "ts", "event_id", "start", length.alias("length"), F.when(F.col("over"), "searchable").otherwise("chunk").alias("status"))
+
+
 def growth_streak(snapshots: DataFrame) -> DataFrame:
     """Each snapshot with the longest duration so far and how many offline checks in a row saw no growth.
 

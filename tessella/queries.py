@@ -224,6 +224,16 @@ def backlog_summary(v: Views) -> DataFrame:
     return P.run_summary(_backlog(v).withColumn("ok", F.col("duration_seconds") % 7 > 0))
 
 
+@query("""SELECT user_id AS streamer, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END) AS live_sessions_started, sum(CASE WHEN event_type IN ('click', 'view') AND id % 3 = 0 THEN 1 ELSE 0 END) AS handoffs_to_backlog,
+    sum(CASE WHEN event_type = 'purchase' AND id % 3 = 2 THEN 1 ELSE 0 END) AS handoffs_to_live, sum(CASE WHEN event_type = 'purchase' AND id % 3 = 0 THEN 1 ELSE 0 END) AS backlog_ingested,
+    sum(CASE WHEN event_type IN ('click', 'view', 'purchase') AND id % 3 = 1 THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END) AS watch_cycles FROM requests GROUP BY 1""", "requests")
+def watch_summary(v: Views) -> DataFrame:
+    kinds, i = F.col("event_type"), F.col("id")
+    mode = F.when(kinds.isin("click", "view"), "live").when(kinds == "purchase", "backlog").when(kinds.isin("error", "signup"), "watch")
+    outcome = F.when(mode != "watch", F.when(i % 3 == 0, "done").when(i % 3 == 1, "failed").when(mode == "live", "interrupted").otherwise("preempted"))
+    return P.watch_summary(v.requests.select(F.col("user_id").alias("streamer"), mode.alias("mode"), outcome.alias("outcome")))
+
+
 @query(f"{_DECIDED} SELECT streamer, vod_id, row_number() OVER (PARTITION BY streamer ORDER BY created_at DESC, vod_id) AS position, count(*) OVER (PARTITION BY streamer) AS total FROM full_backlog WHERE decision = 'eligible'", *_BACKLOG_VIEWS)
 def run_positions(v: Views) -> DataFrame:
     return P.run_positions(_backlog(v))
@@ -489,6 +499,39 @@ def request_log_rows(v: Views) -> DataFrame:
     return keyed.drop("created_at")
 
 
+@query("""SELECT id, created_at, source_app, '/api/search/clip' AS route, CASE WHEN filename IS NOT NULL AND tiktok_url IS NOT NULL THEN 'both' WHEN filename IS NOT NULL THEN 'file' WHEN tiktok_url IS NOT NULL THEN 'tiktok_url' END AS input_type,
+    nullif(lower(trim(streamer)), '') AS streamer, creator_id, success, http_status, error_code, error_message, CASE WHEN id % 3 = 0 THEN 'measured' WHEN id % 3 = 1 THEN 'answered' ELSE event_type END AS result_reason,
+    found_match, coalesce(CASE WHEN id % 2 = 0 THEN matched_video_id END, user_id) AS matched_video_id, matched_timestamp_seconds, CASE WHEN id % 4 > 0 THEN value ELSE value / 2 END AS score, filename AS clip_filename,
+    CASE WHEN tiktok_url IS NOT NULL THEN 'tiktok' END AS download_source, regexp_extract(lower(tiktok_url), '//([^/]*)', 1) AS download_host, duration_seconds AS input_duration_seconds,
+    CAST(4000 + id % 1000 AS INT) AS total_duration_ms, CAST(NULL AS INT) AS preprocess_duration_ms, CAST(250 AS INT) AS embed_duration_ms, CAST(0 AS INT) AS vector_query_duration_ms, CAST(id % 100 AS INT) AS alignment_duration_ms FROM requests""", "requests")
+def request_log_full(v: Views) -> DataFrame:
+    i = F.col("id")
+    rows = v.requests.drop("score").withColumns({
+        "meta_reason": F.when(i % 3 == 0, "measured").when(i % 3 == 1, ""), "result_reason": F.when(i % 3 == 1, "answered").otherwise(F.col("event_type")), "meta_found_match": F.col("found_match"),
+        "meta_matched_video_id": F.when(i % 2 == 0, F.col("matched_video_id")), "result_matched_video_id": F.col("user_id"), "result_matched_timestamp_seconds": F.col("matched_timestamp_seconds"),
+        "meta_score": F.when(i % 4 > 0, F.col("value")), "result_score": F.col("value") / 2, "input_duration_seconds": F.col("duration_seconds"),
+        "total_seconds": F.lit(4.0) + (i % 1000) / 1000, "embed_seconds": F.lit(0.25), "vector_query_seconds": F.lit(-1.0), "alignment_seconds": (i % 100) / 1000,
+    })
+    return rows.select("id", "created_at").join(R.request_log_rows(rows.withColumn("created_at", F.struct("id", "created_at"))).withColumn("id", F.col("created_at.id")).drop("created_at"), "id")
+
+
+_FINISHED = "CASE WHEN id % 5 = 3 THEN {done} WHEN id % 5 = 2 THEN {failed} ELSE {other} END"
+
+
+@query("SELECT id, " + ", ".join(_FINISHED.format(done=d, failed=f, other=o) + f" AS {n}" for n, d, f, o in [
+    ("job_status", "'completed'", "'failed'", "job_status"), ("job_stage", "NULL", "NULL", "job_stage"), ("success", "TRUE", "FALSE", "success"), ("http_status", "200", "504", "http_status"),
+    ("error_code", "NULL", "'SEARCH_FAILED'", "error_code"), ("error_message", "NULL", "'timed out'", "error_message"), ("finished_at", "TIMESTAMP '2030-01-01'", "TIMESTAMP '2030-01-01'", "finished_at"),
+    ("found_match", "TRUE", "found_match", "found_match"), ("matched_video_id", "user_id", "matched_video_id", "matched_video_id"), ("matched_timestamp_seconds", "NULL", "matched_timestamp_seconds", "matched_timestamp_seconds"),
+    ("input_duration_seconds", "value", "CASE WHEN id % 2 = 0 THEN 99.5 ELSE duration_seconds END", "duration_seconds")]) + " FROM requests", "requests")
+def finished_jobs(v: Views) -> DataFrame:
+    now, i = F.lit("2030-01-01").cast("timestamp"), F.col("id")
+    jobs = v.requests.withColumn("input_duration_seconds", F.col("duration_seconds"))
+    outcomes = v.requests.where(i % 5 == 3).select("id", F.lit(True).alias("found_match"), F.col("user_id").alias("matched_video_id"), F.col("value").alias("input_duration_seconds"))
+    failures = v.requests.where(i % 5 == 2).select("id", F.lit("SEARCH_FAILED").alias("error_code"), F.lit("timed out").alias("error_message"), F.lit(504).alias("http_status"), F.when(i % 2 == 0, 99.5).alias("input_duration_seconds"))
+    done = M.fail_jobs(M.complete_jobs(jobs, outcomes, now), failures, now)
+    return done.select("id", "job_status", "job_stage", "success", "http_status", "error_code", "error_message", "finished_at", "found_match", "matched_video_id", "matched_timestamp_seconds", "input_duration_seconds")
+
+
 @query("""SELECT request_id, seconds, CASE WHEN seconds IS NULL THEN 'Could not determine input video duration' WHEN seconds > 180 THEN concat('Input video is ', CAST(ceil(seconds) AS BIGINT), 's; maximum allowed is 180s') END AS problem
   FROM (SELECT id AS request_id, CASE WHEN TRY_CAST(trim(raw) AS DOUBLE) > 0 THEN TRY_CAST(trim(raw) AS DOUBLE) END AS seconds FROM (SELECT id, CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN 'N/A' WHEN 2 THEN '-3.5' WHEN 3 THEN '0' ELSE concat(' ', CAST(id % 400 AS VARCHAR), '.25 ') END AS raw FROM requests) a) b""", "requests")
 def duration_probe(v: Views) -> DataFrame:
@@ -607,6 +650,18 @@ def _live(v: Views) -> DataFrame:
     return v.snapshots.select(F.concat(F.lit("s"), (F.col("vod_id").cast("long") % 100).cast("string")).alias("streamer"), "ts", "event_id", F.concat(F.lit("v"), (F.col("vod_id").cast("long") % 100).cast("string"), F.lit("-"), F.date_format("ts", "yyyyMM")).alias("vod_id"), "is_live", F.col("duration_seconds").cast("long").alias("duration_seconds"))
 
 
+@query("""SELECT vod_id, ts, event_id, "start", CASE WHEN "start" >= d THEN 0 ELSE least(60, d - "start") END AS length, CASE WHEN "start" >= d THEN 'searchable' ELSE 'chunk' END AS status FROM (
+    SELECT *, row_number() OVER (PARTITION BY vod_id, "start" >= d ORDER BY ts, event_id) AS r FROM (
+      SELECT vod_id, ts, event_id, kind, d, greatest(s, least(s + 60 * (count(*) FILTER (kind = 'poll') OVER w - count(*) FILTER (kind = 'poll' AND fresh) OVER w), d)) AS "start" FROM (
+        SELECT *, coalesce(lag(kind) OVER (PARTITION BY vod_id ORDER BY ts, event_id), 'stop') = 'stop' AS fresh FROM (
+          SELECT user_id AS vod_id, created_at AS ts, id AS event_id, CASE event_type WHEN 'error' THEN 'stop' ELSE 'poll' END AS kind, user_id % 40 * 45 AS d, user_id % 3 * 60 AS s FROM requests) a) b
+      WINDOW w AS (PARTITION BY vod_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) c WHERE kind = 'poll') e WHERE "start" < d OR r = 1""", "requests")
+def archive_session(v: Views) -> DataFrame:
+    user = F.col("user_id")
+    events = v.requests.select(user.alias("vod_id"), F.col("created_at").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("event_type") == "error", "stop").otherwise("poll").alias("kind"), (user % 3 * 60).alias("saved"), (user % 40 * 45).alias("duration_seconds"))
+    return P.archive_session(events)
+
+
 @query()
 def live_chunks(v: Views) -> DataFrame:
     return monitor.live_chunks(_live(v))

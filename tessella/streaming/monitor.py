@@ -75,17 +75,25 @@ CHUNKS = "streamer string, vod_id string, start long, length long, status string
 def live_step(held: dict, row: dict, seconds: int, lag: int, checks: int) -> list[tuple]:
     """Chunks that one snapshot allows, and ``searchable`` when a recording is over. ``held`` is changed.
 
-    A new recording starts afresh. The longest duration counts. While live the last ``lag`` seconds wait.
+    A new recording goes on from its saved place. One that is deleted or searchable is over; one that is to be
+    reindexed starts afresh, as ``indexing``. The longest duration counts. While live the last ``lag`` seconds wait.
     """
+    status, out = row.get("video_status"), []
     if row["vod_id"] != held.get("vod_id"):
+        saved = {c: 0 if pd.isna(row.get(c)) else int(row[c]) for c in ("saved_seconds", "saved_longest")}
         held.clear()
-        held.update(vod_id=row["vod_id"], cursor=0, longest=0, still=0, over=False)
+        held.update(vod_id=row["vod_id"], cursor=saved["saved_seconds"], longest=saved["saved_longest"], still=0, over=False)
+    if status in ("deleted", "searchable"):
+        held["over"] = True
+    elif status == "reindex_requested":
+        held.update(cursor=0, longest=0, over=False)
+        out.append((row["streamer"], row["vod_id"], 0, 0, "indexing"))
     if held["over"]:
         return []
     grown = row["duration_seconds"] > held["longest"]
     held["longest"] = max(held["longest"], row["duration_seconds"])
     held["still"] = 0 if row["is_live"] or grown else held["still"] + 1
-    end, out = held["longest"] - (lag if row["is_live"] else 0), []
+    end = held["longest"] - (lag if row["is_live"] else 0)
     while end > held["cursor"]:
         length = min(seconds, end - held["cursor"])
         out.append((row["streamer"], row["vod_id"], held["cursor"], length, "chunk"))
@@ -97,10 +105,20 @@ def live_step(held: dict, row: dict, seconds: int, lag: int, checks: int) -> lis
 
 
 _NAMES = ["streamer", "vod_id", "start", "length", "status"]
+_SAVED = {"video_status": "string", "saved_seconds": "long", "saved_longest": "long"}
+
+
+def _snapshots(rows: DataFrame) -> DataFrame:
+    """Snapshots with the columns that may be left out: the video's status and where its recording was left."""
+    may = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _SAVED.items()]
+    return rows.select("streamer", "ts", "event_id", "vod_id", "is_live", "duration_seconds", *may)
 
 
 def live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LAG_SECONDS, checks: int = FINAL_CHECKS) -> DataFrame:
-    """Batch: chunks over ``snapshots(streamer, ts, event_id, vod_id, is_live, duration_seconds)`` in time order."""
+    """Batch: chunks over ``snapshots(streamer, ts, event_id, vod_id, is_live, duration_seconds)`` in time order.
+
+    ``video_status``, ``saved_seconds`` and ``saved_longest`` may follow: see ``live_step``.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, {}
@@ -112,7 +130,7 @@ def live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = L
                 out += live_step(held, row, seconds, lag, checks)
             yield pd.DataFrame(out, columns=_NAMES)
 
-    rows = snapshots.select("streamer", "ts", "event_id", "vod_id", "is_live", "duration_seconds").repartition("streamer").sortWithinPartitions("streamer", "ts", "event_id")
+    rows = _snapshots(snapshots).repartition("streamer").sortWithinPartitions("streamer", "ts", "event_id")
     return rows.mapInPandas(run, CHUNKS)
 
 
@@ -128,7 +146,7 @@ def stream_live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag:
         state.update((held["vod_id"], int(held["cursor"]), int(held["longest"]), int(held["still"]), bool(held["over"])))
         yield pd.DataFrame(out, columns=_NAMES)
 
-    return snapshots.groupBy("streamer").applyInPandasWithState(run, CHUNKS, kept, "append", GroupStateTimeout.NoTimeout)
+    return _snapshots(snapshots).groupBy("streamer").applyInPandasWithState(run, CHUNKS, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def fallback_polls(polls: DataFrame, health: DataFrame, every: int = POLL_SECONDS) -> DataFrame:

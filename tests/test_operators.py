@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import wave
 
 import numpy as np
@@ -297,3 +298,37 @@ def test_blank_ids_in_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withWatermark("ts", "1 minute")
     into_table(webhook.stream_ttl_dedup(stream, "key", "ts", 600), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r["n"] for r in spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 5, 6]
+
+
+def test_live_switch(spark):
+    """A saved place is taken up, a finished video stops its recording, and one to be reindexed starts again."""
+    base = dt.datetime(2026, 1, 1)
+    rows = [("v1", False, 150, "indexing", 60, 90), ("v1", False, 150, "reindex_requested", None, None), ("v1", False, 200, "deleted", None, None), ("v2", True, 500, "searchable", None, None), ("v3", True, 200, None, None, None)]
+    schema = "streamer string, ts timestamp, event_id long, vod_id string, is_live boolean, duration_seconds long, video_status string, saved_seconds long, saved_longest long"
+    df = spark.createDataFrame([("s", base + dt.timedelta(seconds=i), i, *r) for i, r in enumerate(rows)], schema)
+    got = [(r["vod_id"], r["start"], r["length"], r["status"]) for r in monitor.live_chunks(df).collect()]
+    assert got == [("v1", 60, 60, "chunk"), ("v1", 120, 30, "chunk"), ("v1", 0, 0, "indexing"), ("v1", 0, 60, "chunk"), ("v1", 60, 60, "chunk"), ("v1", 120, 30, "chunk"), ("v3", 0, 60, "chunk"), ("v3", 60, 20, "chunk")]
+
+
+def test_archive_session(spark):
+    """Polls and stops one by one: a poll commits what the poll before it brought."""
+    rng, rows, expected = random.Random(3), [], {}
+    for vod in range(30):
+        cursor, pending, over, duration = rng.choice([0, 60, 400]), None, False, rng.choice([0, 59, 60, 61, 250])
+        saved = cursor
+        for event in range(15):
+            kind = "stop" if rng.random() < 0.3 else "poll"
+            rows.append((vod, dt.datetime(2026, 1, 1, 0, 0, event // 2), event, kind, saved if saved or vod % 2 else None, duration))
+            if kind == "stop":
+                pending = None
+            elif not over:
+                cursor, pending = (cursor if pending is None else pending), None
+                if cursor >= duration:
+                    over = True
+                    expected[vod, event] = (cursor, 0, "searchable")
+                else:
+                    pending = cursor + min(60, duration - cursor)
+                    expected[vod, event] = (cursor, pending - cursor, "chunk")
+    df = spark.createDataFrame(rows, "vod_id long, ts timestamp, event_id long, kind string, saved long, duration_seconds long").repartition(4)
+    assert {(r["vod_id"], r["event_id"]): (r["start"], r["length"], r["status"]) for r in ingest.archive_session(df).collect()} == expected
+    assert ingest.archive_session(df.limit(0)).count() == 0
