@@ -1,14 +1,17 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree: a node is a path of block elements with their classes. For each
-node the entropy of its contents over the host's pages (and, with a small weight, of the sequences of its
-children) is its importance: near 1 where pages differ, near 0 where they repeat. Branches of low importance
-are cut from each page. Before that, elements that never hold an article are cut by what they are (scripts,
-forms, navigation, ...) or say they are (class, id, role), as their contents may vary from page to page. What
-is left is read from ``article`` elements, else from ``main``, else from the body.
-
-Nodes are rated only where a host has ``LEAST_PAGES`` different pages with that node; contents are counted
-over different pages, so copies of a page do not make its article a template.
+The pages of a host are merged into one tree: a node is a path of block elements with their classes and, for
+containers, their place among siblings of that kind. The features of a node are the blocks of text in it and
+below it. A feature of ``n`` of the node's ``m`` pages has an entropy of ``log n / log m``: 0 if one page alone
+has it, 1 if all have. The composite importance of a node is 1 less the mean entropy of its features' occurrences,
+with a small weight for the entropy of its sequences of children (its presentation): near 1 where pages differ,
+near 0 where they repeat, be it in parts, as menus drawn from a stock of entries. A branch is cut from each page
+if all its nodes are of low importance. Before that, elements that never hold an article are cut by what they are
+(scripts, forms, navigation, ...) or say they are (class, id, role), as their contents may vary from page to page.
+What is left is read from ``article`` elements, else from ``main``, else from the body.
+
+Nodes are rated only where a host has ``LEAST_PAGES`` different pages with that node; others are kept. Features are
+counted over different pages, so copies of a page do not make its article a template.
 
 Defined results: null or empty html has an empty text; a null url is a host of its own; repeated rows each
 get their text; an empty table gives no rows; other columns are ignored. An unclosed comment or tag hides what
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import materialise
 
 LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 5, 0.25, 0.9
-#: Low nodes that are carried to all tasks at most; beyond, pages are joined by a shuffle.
-BROADCAST_NODES = 100_000
+#: Elements told apart by their place among siblings of the same kind, up to this place.
+PLACED, LAST_PLACE = frozenset("div section table td ul ol dl".split()), 9
+#: Elements nested deeper than this belong to the node above them, so that a page's tree stays in proportion to the page.
+DEEPEST = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -76,7 +81,7 @@ class Page:
         self.shape: dict[int, list[str]] = {}  # the children of each node, in order
         self.parents: dict[int, int] = {}
         self.low = low
-        self._stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, node, hidden, landmark
+        self._stack: list[tuple[str, int, bool, int, dict[str, int]]] = [("", 0, False, 0, {})]  # tag, node, hidden, landmark, children by label
         self._text: list[str] = []
         self._linked = self._all = 0
         self._read(source)
@@ -86,12 +91,11 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                _, node, _, landmark = self._stack[-1]
                 self.blocks.append((self._node, self._landmark, text, self._linked * 2 > self._all))
         self._text, self._linked, self._all = [], 0, 0
 
     def _say(self, raw: str) -> None:
-        _, node, hidden, landmark = self._stack[-1]
+        _, node, hidden, landmark, _ = self._stack[-1]
         if hidden:
             return
         if not self._text:
@@ -127,7 +131,7 @@ class Page:
             self._flush()
         if tag in VOID:
             return
-        parent_tag, node, hidden, landmark = self._stack[-1]
+        _, node, hidden, landmark, children = self._stack[-1]
         names = ""
         if attributes and not hidden:
             for name, value in _ATTRIBUTE.findall(attributes):
@@ -144,14 +148,18 @@ class Page:
         elif tag == "main" and landmark < 1:
             landmark = 1
         hidden = hidden or tag in DROPPED or (tag == "header" and landmark < 2)
-        if tag not in INLINE and not hidden:
+        if tag not in INLINE and not hidden and len(self._stack) <= DEEPEST:
             label = tag + "." + ".".join(sorted(_DIGITS.sub("0", names).split()))
-            child = xxhash.xxh64_intdigest(f"{node}/{label}") - (1 << 63)
+            if tag in PLACED:
+                place = children[label] = children.get(label, -1) + 1
+                child = xxhash.xxh64_intdigest(f"{node}/{label}/{min(place, LAST_PLACE)}") - (1 << 63)
+            else:
+                child = xxhash.xxh64_intdigest(f"{node}/{label}") - (1 << 63)
             self.shape.setdefault(node, []).append(label)
             self.parents[child] = node
             node = child
             hidden = node in self.low
-        self._stack.append((tag, node, hidden, landmark))
+        self._stack.append((tag, node, hidden, landmark, {}))
 
     def _read(self, source: str) -> None:
         at = 0
@@ -190,16 +198,24 @@ class Page:
         return "\n".join(text for _, landmark, text, linked in self.blocks if landmark == best and (landmark or not linked))
 
 
-def page_nodes(source: str) -> list[tuple[int, int, int]]:
-    """(node, content, shape) of a page's tree: hashes of the text below each node and of its children."""
-    page = Page(source)
-    below: dict[int, list[str]] = {}
+def page_nodes(source: str) -> set[tuple[int, int, bool, tuple[int, ...] | None]]:
+    """(node, value, is_text, up) of a page's tree: a hash of each block of text, and one of each node's children.
+
+    ``up`` names the node and those above it, for children; for texts it is null.
+    """
+    page, out, above = Page(source), set(), {}
     for node, _, text, _ in page.blocks:
-        while node:
-            below.setdefault(node, []).append(text)
-            node = page.parents.get(node, 0)
-    signed = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
-    return [(node, signed("\n".join(texts)), signed(" ".join(page.shape.get(node, [])))) for node, texts in below.items()]
+        out.add((node, xxhash.xxh64_intdigest(text) - (1 << 63), True, None))
+        if node not in above:
+            way, at = [], node
+            while at:
+                way.append(at)
+                at = page.parents.get(at, 0)
+            for i, at in enumerate(way or [0]):
+                above[at] = tuple(way[i:])
+    for node, way in above.items():
+        out.add((node, xxhash.xxh64_intdigest(" ".join(page.shape.get(node, []))) - (1 << 63), False, way))
+    return out
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -207,9 +223,10 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) over all pages of each host."""
+    """(host, node, pages, importance, up) over all pages of each host; ``up`` names the node and those above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, rows = b.slice(at, 500), []
@@ -217,32 +234,43 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     page = xxhash.xxh64_intdigest(source) - (1 << 63)
                     rows += [(host, page, *n) for n in page_nodes(source)]
                 if rows:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "node", "content", "shape"])
-
-    nodes = pages.where("html is not null").select("host", "html").mapInArrow(run, "host string, page long, node long, content long, shape long")
-    nodes = nodes.distinct()  # copies of a page count once
-
-    def entropy(what: str) -> DataFrame:
-        """1 where all pages differ, 0 where all agree."""
-        each = nodes.groupBy("host", "node", what).agg(F.count(F.lit(1)).alias("n"))
-        m = F.sum("n")
-        share = (F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(m)
-        return each.groupBy("host", "node").agg(m.alias("pages"), F.when(m > 1, share).otherwise(1.0).alias(f"of_{what}"))
-
-    content, shape = entropy("content"), entropy("shape").drop("pages")
-    rated = content.join(shape, ["host", "node"])
-    return rated.select("host", "node", "pages", (F.col("of_content") * CONTENT_WEIGHT + F.col("of_shape") * (1 - CONTENT_WEIGHT)).alias("importance"))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "node", "value", "is_text", "up"])
+
+    found = pages.where("html is not null").select("host", "html").mapInArrow(run, "host string, page long, node long, value long, is_text boolean, up array<long>")
+    each = found.distinct().groupBy("host", "node", "is_text", "value").agg(F.count(F.lit(1)).alias("n"), F.any_value("up").alias("up"))  # copies of a page count once
+    n, text = F.col("n"), F.col("is_text")
+    weighed = n * F.log(n)
+    nodes = each.groupBy("host", "node").agg(
+        F.sum(F.when(~text, n)).alias("pages"), F.sum(F.when(~text, weighed)).alias("of_shape"), F.sum(F.when(text, n)).alias("texts"), F.sum(F.when(text, weighed)).alias("of_texts"), F.any_value("up", ignoreNulls=True).alias("up")
+    )
+    log = F.log("pages")
+    rated = nodes.select(
+        "host", "node", "pages", "up", F.coalesce("texts", F.lit(0)).alias("texts"), F.when(F.col("pages") > 1, F.col("of_texts") / log).alias("common"),
+        F.when(F.col("pages") > 1, 1 - F.col("of_shape") / F.col("pages") / log).otherwise(1.0).alias("shape"),
+    )
+    below = rated.select("host", F.explode("up").alias("node"), "texts", "common").groupBy("host", "node").agg(F.sum("texts").alias("all_texts"), F.coalesce(F.sum("common"), F.lit(0.0)).alias("all_common"))
+    both = rated.select("host", "node", "pages", "up", "shape").join(below, ["host", "node"])
+    content = 1 - F.col("all_common") / F.col("all_texts")
+    return both.select("host", "node", "pages", (content * CONTENT_WEIGHT + F.col("shape") * (1 - CONTENT_WEIGHT)).alias("importance"), "up")
+
+
+def low_nodes(tree: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, node) of the branches to cut: nodes of low importance with none below that is not."""
+    kept = (F.col("pages") < least_pages) | (F.col("importance") >= least_importance)
+    branches = tree.select("host", F.explode("up").alias("node"), kept.alias("kept"))
+    return branches.groupBy("host", "node").agg(F.bool_or("kept").alias("kept")).where("not kept").select("host", "node")
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(page_id, url, text, n_chars) for every page."""
+    """(page_id, url, text, n_chars) for every page.
+
+    The nodes to cut are a table of one row a host; Spark broadcasts it if it is below its own threshold, and joins
+    by shuffle otherwise.
+    """
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rated = style_tree(hosted).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    poor = materialise(rated.select("host", "node"), "nodes")
-    cut = poor.groupBy("host").agg(F.collect_set("node").alias("cut"))  # as many as a host's template has nodes
-    few = len(poor.limit(BROADCAST_NODES + 1).select("node").collect()) <= BROADCAST_NODES
-    joined = hosted.join(F.broadcast(cut) if few else cut, "host", "left").select("page_id", "url", "html", "cut")
+    low = low_nodes(style_tree(hosted), least_pages, least_importance)
+    cut = materialise(low.groupBy("host").agg(F.collect_set("node").alias("cut")), "nodes")  # as many as a host's template has nodes
+    joined = hosted.join(cut, "host", "left").select("page_id", "url", "html", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

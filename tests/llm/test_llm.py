@@ -213,6 +213,54 @@ def test_style_tree(spark):
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_style_tree_without_names(spark):
+    """Pages of div and p alone: a menu drawn from a stock of entries and a footer go, the article stays."""
+    rng, stock = random.Random(3), [f"entry {i}" for i in range(5)]
+
+    def page(i, host):
+        menu = "".join(f"<p>{host} {e}</p>" for e in rng.sample(stock, 4))
+        story = "".join(f"<p>{words(12)} {host}{i}-{j}</p>" for j in range(rng.randint(1, 5)))
+        return f"<body><div>{menu}</div><div><div>{story}</div></div><div>all rights of {host}</div></body>", [b.removesuffix("</p>") for b in story.split("<p>")[1:]]
+
+    rows, want = [], {}
+    for h, host in enumerate(["a.org", "b.org"]):
+        for i in range(30):
+            source, blocks = page(i, host)
+            rows.append((h * 100 + i, f"http://{host}/{i}", source))
+            want[h * 100 + i] = "\n".join(blocks)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages = pages.unionAll(pages.where("page_id = 3"))  # a repeated row gets its text again
+    got = html_text.main_text(pages).collect()
+    assert len(got) == 61 and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+    kept = html_text.main_text(pages, least_importance=-1.0).where("page_id = 0").first()["text"]
+    assert "entry" in kept and "rights" in kept  # the tree alone took them
+
+
+def test_style_tree_importance(spark):
+    """The importance of each node against a plain count over the pages."""
+    import math
+
+    sources = [f"<div><p>same</p><p>{i % 3}</p>{'<p>more</p>' if i % 2 else ''}</div>" for i in range(6)]
+    tree = html_text.style_tree(spark.createDataFrame([("h", x) for x in sources * 2 + [None]], "host string, html string")).collect()
+    texts = [["same", str(i % 3)] + ["more"] * (i % 2) for i in range(6)]
+    n = collections.Counter(t for page in texts for t in page)
+    content = 1 - sum(v * math.log(v) for v in n.values()) / sum(n.values()) / math.log(6)
+    shape = 1 - 2 * 3 * math.log(3) / 6 / math.log(6)  # two or three paragraphs, three pages each
+    assert {r["pages"] for r in tree} == {6}
+    assert sorted(round(r["importance"], 9) for r in tree) == sorted(round(html_text.CONTENT_WEIGHT * content + (1 - html_text.CONTENT_WEIGHT) * s, 9) for s in (0, shape))
+
+
+def test_html_long_and_repeated(spark):
+    long = "<article>" + "".join(f"<p>{i} &amp; {words(8)}</p>" for i in range(20_000)) + "</article>"  # over a megabyte
+    rows = [(1, "u", long), (1, "u", long), (None, None, "<p>no id</p>"), (2, "u", ""), (3, "u", "<div>" * 3000 + "deep")]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = collections.defaultdict(list)
+    for r in got:
+        texts[r["page_id"]].append(r["text"])
+    assert len(texts[1]) == 2 and len(set(texts[1])) == 1 and texts[1][0].count("\n") == 19_999 and texts[1][0].startswith("0 & ")
+    assert texts[None] == ["no id"] and texts[2] == [""] and texts[3] == ["deep"]
+
+
 # ---------------------------------------------------------------- 4
 
 def test_fingerprints(spark, docs, none):
