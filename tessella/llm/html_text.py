@@ -248,6 +248,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         "host", "node", "pages", "up", F.coalesce("texts", F.lit(0)).alias("texts"), F.when(F.col("pages") > 1, F.col("of_texts") / log).alias("common"),
         F.when(F.col("pages") > 1, 1 - F.col("of_shape") / F.col("pages") / log).otherwise(1.0).alias("shape"),
     )
+    rated = materialise(rated, "tree")  # of the size of the templates; both sides of the join below read it
     below = rated.select("host", F.explode("up").alias("node"), "texts", "common").groupBy("host", "node").agg(F.sum("texts").alias("all_texts"), F.coalesce(F.sum("common"), F.lit(0.0)).alias("all_common"))
     both = rated.select("host", "node", "pages", "up", "shape").join(below, ["host", "node"])
     content = 1 - F.col("all_common") / F.col("all_texts")
