@@ -577,8 +577,8 @@ def ttl_dedup(v: Views) -> DataFrame:
     return webhook.ttl_dedup(_messages(v), "key", "ts", 36_000)
 
 
-def _streamed(df: DataFrame, build: Callable[[DataFrame], DataFrame], order: str) -> DataFrame:
-    """A table as a stream: written as a few files, one after the other in the order of ``order``, read one a micro-batch."""
+def _source(df: DataFrame, order: str) -> tuple[DataFrame, str]:
+    """A table as a stream, and its folder: written as a few files, one after the other in the order of ``order``, read one a micro-batch."""
     spark = df.sparkSession
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
     base = f"{shared}/stream-{uuid.uuid4().hex}"
@@ -586,9 +586,14 @@ def _streamed(df: DataFrame, build: Callable[[DataFrame], DataFrame], order: str
     part = sum((F.when(F.col(order).cast("double") > e, 1).otherwise(0) for e in edges), F.lit(0))
     for i in range(len(edges) + 1):
         df.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+
+
+def _streamed(df: DataFrame, build: Callable[[DataFrame], DataFrame], order: str) -> DataFrame:
+    """What ``build`` makes of a table that comes as a stream."""
     from tessella.streaming.ingest import into_table
 
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    spark, (stream, base) = df.sparkSession, _source(df, order)
     out = build(stream)
     into_table(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
@@ -692,8 +697,8 @@ def audio_segments(v: Views) -> DataFrame:
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_segments"), F.min(F.size("embedding")).alias("width"), F.max("timestamp_seconds").alias("last_second"))
 
 
-def _embedded(v: Views) -> DataFrame:
-    found = audio.embed_segments(audio.audio_chunks(_files(v), 5))
+def _embed(chunks: DataFrame) -> DataFrame:
+    found = audio.embed_segments(chunks)
     path = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
     return found.select((1000 + path).alias("video_id"), (path % 10 + 1).alias("creator_id"), "timestamp_seconds", "embedding")
 
@@ -701,14 +706,17 @@ def _embedded(v: Views) -> DataFrame:
 @query()
 def ingest_batch(v: Views) -> DataFrame:
     table = v.fingerprints.withColumnRenamed("fingerprint_id", "id")
-    out = P.run_ingest(_embedded(v), table, v.vectors, v.videos, v.vod_state, "spectral")
+    out = P.run_ingest(_embed(audio.audio_chunks(_files(v), 5)), table, v.vectors, v.videos, v.vod_state, "spectral")
     return out["vectors"].groupBy("model_name", "creator_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def stream_ingest(v: Views) -> DataFrame:
-    rows = _streamed(_embedded(v), lambda s: s.where(F.size("embedding") > 0), "timestamp_seconds")
-    return rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("timestamp_seconds").alias("n_seconds"))
+    from tessella.streaming.ingest import ingest_into, stored_vectors
+
+    stream, base = _source(audio.audio_chunks(_files(v), 5), "offset_seconds")
+    ingest_into(stream, _embed, f"{base}/out", f"{base}/checkpoint", "spectral").awaitTermination()
+    return stored_vectors(v.spark, f"{base}/out").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("timestamp_seconds").alias("n_seconds"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessella.operators.catalog import first_per
+from tessella.operators.writes import with_new_ids
+
+KEYS = ["video_id", "timestamp_seconds"]
+STORED = "id long, video_id long, timestamp_seconds double, creator_id long, embedding array<double>, model_name string"
+
 
 def into_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append a stream's rows to a Parquet folder, one sub-folder a micro-batch, overwritten by a replay."""
@@ -14,3 +23,42 @@ def into_table(stream: DataFrame, path: str, checkpoint: str, available_now: boo
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 seconds")).start()
+
+
+def stored_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``ingest_into`` wrote, with the number of their micro-batch."""
+    return spark.read.schema(f"{STORED}, batch long").parquet(path)
+
+
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """One row an id: of rows that were sent more than once, the latest."""
+    rows = stored_batches(spark, path)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(F.col("id").alias("__id")).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("row.*")
+
+
+def ingest_into(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, model_name: str, last_id: int = 0, available_now: bool = True) -> StreamingQuery:
+    """Embed and store a stream of chunks by (video_id, timestamp_seconds).
+
+    ``embed`` makes (video_id, creator_id, timestamp_seconds, embedding) of a micro-batch; empty and null embeddings
+    are left out. A second that is known keeps its id, a new one gets the next after ``last_id`` and those given so
+    far. Each micro-batch is a folder of its own and looks at earlier ones alone, so a replay writes the same again;
+    nothing stored is rewritten. Rows without a video or a time are left out.
+    """
+    spark = chunks.sparkSession
+    spark.createDataFrame([], STORED).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session, staged = batch.sparkSession, f"{path}-embedded/{number}"
+        rows = embed(batch).where(F.size("embedding") > 0).dropna(subset=KEYS)
+        first_per(rows, KEYS, "creator_id").select(*KEYS, "creator_id", F.col("embedding").cast("array<double>").alias("embedding")).write.mode("overwrite").parquet(staged)
+        rows = session.read.parquet(staged)
+        before = stored_batches(session, path).where(F.col("batch") < number).select("id", *KEYS)
+        known = before.groupBy(*KEYS).agg(F.min("id").alias("id"))
+        last = before.agg(F.coalesce(F.max("id"), F.lit(last_id)).alias("last_id"))
+        fresh = with_new_ids(rows.select(*KEYS).join(known, KEYS, "left_anti"), KEYS, last).select("id", *KEYS)
+        ids = rows.select(*KEYS).join(known, KEYS).select("id", *KEYS).unionByName(fresh)
+        rows.join(ids, KEYS).select("id", *KEYS, "creator_id", "embedding", F.lit(model_name).alias("model_name")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 seconds")).start()

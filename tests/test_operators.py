@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import os
 import random
 import wave
 
@@ -332,3 +333,26 @@ def test_archive_session(spark):
     df = spark.createDataFrame(rows, "vod_id long, ts timestamp, event_id long, kind string, saved long, duration_seconds long").repartition(4)
     assert {(r["vod_id"], r["event_id"]): (r["start"], r["length"], r["status"]) for r in ingest.archive_session(df).collect()} == expected
     assert ingest.archive_session(df.limit(0)).count() == 0
+
+
+def test_ingest_into(spark, tmp_path):
+    """Chunks in three micro-batches: ids stay, later vectors win, empty ones go, and a replay changes nothing."""
+    from tessella.streaming import ingest
+
+    schema, base = "video_id long, creator_id long, timestamp_seconds double, embedding array<double>", f"file://{tmp_path}"
+    batches = [[(1, 7, 0.0, [1.0]), (1, 7, 1.0, [2.0]), (1, 7, 2.0, [])], [(1, 7, 1.0, [3.0]), (2, 8, 0.0, [4.0]), (2, 8, 0.0, [4.0]), (None, 8, 0.0, [5.0])], [(2, 8, 1.0, [6.0]), (2, 8, 2.0, None)]]
+    for at, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/{at}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        ingest.ingest_into(stream, lambda b: b, f"{base}/out", f"{base}/checkpoint", "m", last_id=10).awaitTermination()
+    got = {(r["video_id"], r["timestamp_seconds"]): r for r in ingest.stored_vectors(spark, f"{base}/out").collect()}
+    assert {k: r["embedding"] for k, r in got.items()} == {(1, 0.0): [1.0], (1, 1.0): [3.0], (2, 0.0): [4.0], (2, 1.0): [6.0]}
+    assert sorted(r["id"] for r in got.values()) == [11, 12, 13, 14] and {r["creator_id"] for k, r in got.items() if k[0] == 2} == {8}
+    first = {(r["video_id"], r["timestamp_seconds"]): r["id"] for r in ingest.stored_batches(spark, f"{base}/out").where("batch = 0").collect()}
+    assert all(got[k]["id"] == i for k, i in first.items())
+    os.remove(tmp_path / "checkpoint" / "commits" / "2")  # as if the last micro-batch had failed after its rows were written
+    (tmp_path / "checkpoint" / "commits" / ".2.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+    ingest.ingest_into(stream, lambda b: b, f"{base}/out", f"{base}/checkpoint", "m", last_id=10).awaitTermination()
+    again = {(r["video_id"], r["timestamp_seconds"]): r for r in ingest.stored_vectors(spark, f"{base}/out").collect()}
+    assert again == got
