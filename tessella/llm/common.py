@@ -41,6 +41,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``materialise`` made and that nothing reads any more."""
+    spark = table.sparkSession
+    for place in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """A table of ``df`` in the shared folder, bucketed by ``key``: a join on it moves the other side alone."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"

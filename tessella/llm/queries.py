@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination, fingerprint, html_text, language_id, near_dedup, packing, sharding, substring_dedup, suffix_dedup, token_store
+from tessella.llm import centroids, decontamination, fingerprint, html_text, language_id, near_dedup, packing, sharding, substring_dedup, suffix_dedup, token_store, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustering_report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_dedup, op2_sharding, op3_html_text, op4_fingerprint, op5_substring_dedup, op6_token_store, op7_language_id, op8_decontamination, op9_packing, op10_near_dedup]
+    own = [op1_suffix_dedup, op2_sharding, op3_html_text, op4_fingerprint, op5_substring_dedup, op6_token_store, op7_language_id, op8_decontamination, op9_packing, op10_near_dedup, op11_whitening, op12_toxicity, op13_centroids]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring_dedup.REMOVAL_SQL, "op8_decontamination": decontamination.CONTAMINATION_SQL}
+    return {"op5_substring_dedup": substring_dedup.REMOVAL_SQL, "op8_decontamination": decontamination.CONTAMINATION_SQL, "op13_centroids": centroids.CLUSTERING_SQL}
