@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessella.functions.scalars import processed_of, status_of
 from tessella.operators.catalog import first_per
+from tessella.operators.versions import Conflict, Snapshot, VersionedTable
 
 #: Parts in which new ids are counted, so that no task numbers all new rows.
 ID_PARTS = 256
@@ -114,8 +116,22 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return table.unionByName(rows.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
-def append_request_log(rows: DataFrame, path: str) -> None:
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def request_log(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
+    """The request log as a table that is only added to, a folder a day."""
+    return VersionedTable(spark, path, schema, cell=F.to_date("created_at"))
+
+
+def append_request_log(rows: DataFrame, path: str, app: str | None = None, batch: int | None = None) -> Snapshot:
+    """Append log rows in one commit; a batch that ``app`` has committed before is not added again.
+
+    A writer that meets another's commit looks again and tries anew: appends do not exclude each other.
+    """
+    log = request_log(rows.sparkSession, path, rows.schema)
+    while True:
+        try:
+            return log.add(rows, log.snapshot(), app, batch)
+        except Conflict:
+            continue
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:

@@ -33,7 +33,13 @@ VIEWS = {
           CASE WHEN event_id % 5 > 0 THEN ts END AS started_at, CASE WHEN event_id % 5 > 1 THEN ts END AS finished_at, CASE WHEN event_id % 3 = 0 THEN CAST(user_id % 25 + 1 AS BIGINT) END AS creator_id, event_type, user_id, value FROM events""",
     "snapshots": "SELECT CAST(user_id AS VARCHAR(20)) AS vod_id, ts, event_id, event_type <> 'error' AS is_live, CAST(floor(value) AS INT) * 10 AS duration_seconds, CAST(60 AS INT) AS cursor FROM events",
 }
-SOURCES = ("nation", "orders", "embeddings", "events")
+#: The source tables with their declared columns: no file is opened to find them.
+SOURCES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
 
 def needed(name: str) -> list[str]:
@@ -59,7 +65,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame, read from the Parquet tables of a folder."""
     for table in SOURCES:
         if any(table in VIEWS[n].replace("\n", " ").split() for n in needed(name)):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            spark.read.schema(SOURCES[table]).parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     order = needed(name)
     text = ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
     df = spark.sql(f"WITH {text} SELECT * FROM {name}")

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from tessella import index_queries  # noqa: F401  (registers)
 from tessella import queries as core
 
 SF = "/root/testdata/sf0.001"
