@@ -123,14 +123,14 @@ def archive_session(events: DataFrame, seconds: int = CHUNK_SECONDS) -> DataFram
 
 
 def growth_streak(snapshots: DataFrame) -> DataFrame:
-    """Each snapshot with the longest duration so far and how many offline checks in a row saw no growth.
+    """Each snapshot with the longest duration so far and how many offline checks saw no growth since the last growth.
 
     ``snapshots(vod_id, ts, is_live, duration_seconds)``.
     """
     w = W.partitionBy("vod_id").orderBy("ts")
     before = F.coalesce(F.max("duration_seconds").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = snapshots.withColumn("max_duration", F.max("duration_seconds").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("still", (~F.col("is_live") & (F.col("duration_seconds") <= before)).cast("int")).withColumn("group", F.sum(1 - F.col("still")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("still", (~F.col("is_live") & (F.col("duration_seconds") <= before)).cast("int")).withColumn("group", F.sum((F.col("duration_seconds") > before).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     streak = F.sum("still").over(W.partitionBy("vod_id", "group").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
     return rows.select("vod_id", "ts", "max_duration", streak.alias("stable_checks"))
 

@@ -258,8 +258,8 @@ def live_chunk_plan(v: Views) -> DataFrame:
 
 
 @query("""SELECT vod_id, ts, max_duration, CAST(sum(still) OVER (PARTITION BY vod_id, g ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stable_checks FROM (
-    SELECT *, sum(1 - still) OVER (PARTITION BY vod_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
-      SELECT vod_id, ts, max(duration_seconds) OVER w AS max_duration, CASE WHEN NOT is_live AND duration_seconds <= coalesce(max(duration_seconds) OVER (PARTITION BY vod_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS still
+    SELECT *, sum(grown) OVER (PARTITION BY vod_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT vod_id, ts, max(duration_seconds) OVER w AS max_duration, CASE WHEN duration_seconds > coalesce(max(duration_seconds) OVER (PARTITION BY vod_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS grown, CASE WHEN NOT is_live AND duration_seconds <= coalesce(max(duration_seconds) OVER (PARTITION BY vod_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS still
       FROM snapshots WINDOW w AS (PARTITION BY vod_id ORDER BY ts ROWS UNBOUNDED PRECEDING)) a) b""", "snapshots")
 def growth_streak(v: Views) -> DataFrame:
     return P.growth_streak(v.snapshots)
@@ -652,7 +652,40 @@ def stream_status_fold(v: Views) -> DataFrame:
 
 
 def _live(v: Views) -> DataFrame:
-    return v.snapshots.select(F.concat(F.lit("s"), (F.col("vod_id").cast("long") % 100).cast("string")).alias("streamer"), "ts", "event_id", F.concat(F.lit("v"), (F.col("vod_id").cast("long") % 100).cast("string"), F.lit("-"), F.date_format("ts", "yyyyMM")).alias("vod_id"), "is_live", F.col("duration_seconds").cast("long").alias("duration_seconds"))
+    """Snapshots of recordings that change, some saved half-way, some deleted, searchable or to be reindexed for a while."""
+    user, event = F.col("vod_id").cast("long") % 100, F.col("event_id")
+    status = F.when(event % 97 == 0, "deleted").when(event % 89 == 0, "searchable").when(event % 40 < 3, "reindex_requested").otherwise("indexing")
+    return v.snapshots.select(
+        F.concat(F.lit("s"), user.cast("string")).alias("streamer"), "ts", "event_id", F.concat(F.lit("v"), user.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMM")).alias("vod_id"), "is_live", F.col("duration_seconds").cast("long").alias("duration_seconds"),
+        status.alias("video_status"), F.when(user % 3 == 0, user * 7).alias("saved_seconds"), F.when(user % 6 == 0, user * 9).alias("saved_longest"),
+    )
+
+
+#: One recording after the other: ``f`` holds what a streamer's snapshots have led to, a row a snapshot. {cursor} is where the one before left off.
+_LIVE = """, o AS (SELECT concat('s', u) AS streamer, ts, event_id, concat('v', u, '-', strftime(ts, '%Y%m')) AS vod_id, is_live, d, CASE WHEN event_id % 97 = 0 THEN 'deleted' WHEN event_id % 89 = 0 THEN 'searchable' WHEN event_id % 40 < 3 THEN 'reindex_requested' ELSE 'indexing' END AS st,
+    CASE WHEN u % 3 = 0 THEN u * 7 ELSE 0 END AS sv, CASE WHEN u % 6 = 0 THEN u * 9 ELSE 0 END AS sl, row_number() OVER (PARTITION BY u ORDER BY ts, event_id) AS r FROM (SELECT CAST(vod_id AS BIGINT) % 100 AS u, ts, event_id, is_live, CAST(duration_seconds AS BIGINT) AS d FROM snapshots) t),
+  f AS (SELECT DISTINCT streamer, CAST(0 AS BIGINT) AS r, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, NULL::VARCHAR AS vod_id, 0::BIGINT AS cur, NULL::BIGINT AS under_way, 0::BIGINT AS longest, 0::BIGINT AS still, FALSE AS over, FALSE AS asked, FALSE AS afresh, 0::BIGINT AS began, 0::BIGINT AS safe, FALSE AS closed, FALSE AS done FROM o
+    UNION ALL SELECT streamer, r, ts, event_id, vod_id, CASE WHEN closed THEN c1 ELSE {after} END, CASE WHEN NOT closed AND safe > c1 THEN c1 + least(60, safe - c1) END, CASE WHEN closed THEN l1 ELSE l2 END, CASE WHEN closed THEN s1 ELSE s2 END, closed OR {done}, st = 'reindex_requested', afresh, c1, safe, closed, NOT closed AND {done} FROM (
+      SELECT *, l2 - CASE WHEN is_live THEN 120 ELSE 0 END AS safe FROM (
+        SELECT *, greatest(l1, d) AS l2, CASE WHEN d > l1 THEN 0 WHEN is_live THEN s1 ELSE s1 + 1 END AS s2 FROM (
+          SELECT *, st IN ('deleted', 'searchable') OR (was_over AND NOT afresh) AS closed, CASE WHEN afresh THEN 0 WHEN new THEN sv ELSE c0 END AS c1, CASE WHEN afresh THEN 0 WHEN new THEN sl ELSE longest END AS l1, CASE WHEN new THEN 0 ELSE still END AS s1 FROM (
+            SELECT o.*, {before} AS c0, f.longest, f.still, f.vod_id IS DISTINCT FROM o.vod_id AS new, f.over AND f.vod_id IS NOT DISTINCT FROM o.vod_id AS was_over, o.st = 'reindex_requested' AND NOT (f.asked AND f.vod_id IS NOT DISTINCT FROM o.vod_id) AS afresh FROM f JOIN o ON o.streamer = f.streamer AND o.r = f.r + 1) a) b) c) e)"""
+_LIVE_ALL = "WITH RECURSIVE x AS (SELECT 1)" + with_views("snapshots").replace("WITH ", ", ", 1) + _LIVE.format(before="f.cur", after="greatest(c1, safe)", done="(NOT is_live AND s2 >= 3)") + """, polled AS (SELECT * FROM f WHERE r > 0 AND NOT closed)
+  SELECT streamer, vod_id, 0 AS start, 0 AS length, 'indexing' AS status FROM polled WHERE afresh
+  UNION ALL SELECT streamer, vod_id, start, least(60, safe - start), 'chunk' FROM (SELECT streamer, vod_id, safe, unnest(range(began, safe, 60)) AS start FROM polled WHERE safe > began) t
+  UNION ALL SELECT streamer, vod_id, cur, 0, 'searchable' FROM polled WHERE done"""
+_LIVE_POLLS = "WITH RECURSIVE x AS (SELECT 1)" + with_views("snapshots").replace("WITH ", ", ", 1) + _LIVE.format(before="coalesce(f.under_way, f.cur)", after="c1", done="(safe <= c1 AND NOT is_live AND s2 >= 3)") + """
+  SELECT streamer, ts, event_id, vod_id, began AS start, coalesce(under_way - began, 0) AS length, still, afresh, CASE WHEN under_way IS NOT NULL THEN 'chunk' WHEN done THEN 'searchable' ELSE 'waiting' END AS status FROM f WHERE r > 0 AND NOT closed"""
+
+
+@query(_LIVE_POLLS)
+def live_polls(v: Views) -> DataFrame:
+    return monitor.live_polls(_live(v))
+
+
+@query(_LIVE_POLLS)
+def stream_live_polls(v: Views) -> DataFrame:
+    return _streamed(_live(v), monitor.stream_live_polls, "ts")
 
 
 @query("""SELECT vod_id, ts, event_id, "start", CASE WHEN "start" >= d THEN 0 ELSE least(60, d - "start") END AS length, CASE WHEN "start" >= d THEN 'searchable' ELSE 'chunk' END AS status FROM (
@@ -667,12 +700,12 @@ def archive_session(v: Views) -> DataFrame:
     return P.archive_session(events)
 
 
-@query()
+@query(_LIVE_ALL)
 def live_chunks(v: Views) -> DataFrame:
     return monitor.live_chunks(_live(v))
 
 
-@query()
+@query(_LIVE_ALL)
 def stream_live_chunks(v: Views) -> DataFrame:
     return _streamed(_live(v), monitor.stream_live_chunks, "ts")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessella.streaming.webhook import ttl_dedup
 
@@ -70,41 +71,81 @@ def stream_status(events: DataFrame) -> DataFrame:
 
 
 CHUNKS = "streamer string, vod_id string, start long, length long, status string"
+POLLS = "streamer string, ts timestamp, event_id long, vod_id string, start long, length long, still long, afresh boolean, status string"
+_PLACE = ("vod_id", "cursor", "longest", "still", "over", "asked")
 
 
-def live_step(held: dict, row: dict, seconds: int, lag: int, checks: int) -> list[tuple]:
-    """Chunks that one snapshot allows, and ``searchable`` when a recording is over. ``held`` is changed.
+def _enter(held: dict, row: dict) -> bool | None:
+    """Take a snapshot's recording and status into ``held``: whether it starts afresh, or None if the recording is over.
 
-    A new recording goes on from its saved place. One that is deleted or searchable is over; one that is to be
-    reindexed starts afresh, as ``indexing``. The longest duration counts. While live the last ``lag`` seconds wait.
+    A new recording goes on from its saved place. One that is deleted or searchable is over. One that is to be
+    reindexed starts afresh, once, until its status says something else.
     """
-    status, out = row.get("video_status"), []
-    if row["vod_id"] != held.get("vod_id"):
+    status, new = row.get("video_status"), row["vod_id"] != held.get("vod_id")
+    if new:
         saved = {c: 0 if pd.isna(row.get(c)) else int(row[c]) for c in ("saved_seconds", "saved_longest")}
         held.clear()
-        held.update(vod_id=row["vod_id"], cursor=saved["saved_seconds"], longest=saved["saved_longest"], still=0, over=False)
-    if status in ("deleted", "searchable"):
-        held["over"] = True
-    elif status == "reindex_requested":
+        held.update(vod_id=row["vod_id"], cursor=saved["saved_seconds"], longest=saved["saved_longest"], still=0, over=False, asked=False)
+    afresh = status == "reindex_requested" and not held["asked"]
+    held["asked"] = status == "reindex_requested"
+    if afresh:
         held.update(cursor=0, longest=0, over=False)
-        out.append((row["streamer"], row["vod_id"], 0, 0, "indexing"))
-    if held["over"]:
+    held["over"] = held["over"] or status in ("deleted", "searchable")
+    return None if held["over"] else afresh
+
+
+def _grow(held: dict, row: dict, lag: int) -> int:
+    """Where the snapshot lets chunks end. Growth alone resets the count of still checks; checks while live do not count."""
+    if row["duration_seconds"] > held["longest"]:
+        held.update(longest=row["duration_seconds"], still=0)
+    elif not row["is_live"]:
+        held["still"] += 1
+    return held["longest"] - (lag if row["is_live"] else 0)
+
+
+def live_step(held: dict, row: dict, seconds: int, lag: int, checks: int) -> list[tuple]:
+    """All chunks that one snapshot allows, ``indexing`` when it starts afresh, and ``searchable`` when the recording is over."""
+    afresh = _enter(held, row)
+    if afresh is None:
         return []
-    grown = row["duration_seconds"] > held["longest"]
-    held["longest"] = max(held["longest"], row["duration_seconds"])
-    held["still"] = 0 if row["is_live"] or grown else held["still"] + 1
-    end = held["longest"] - (lag if row["is_live"] else 0)
+    out = [(row["streamer"], row["vod_id"], 0, 0, "indexing")] if afresh else []
+    end = _grow(held, row, lag)
     while end > held["cursor"]:
         length = min(seconds, end - held["cursor"])
         out.append((row["streamer"], row["vod_id"], held["cursor"], length, "chunk"))
         held["cursor"] += length
-    if held["still"] >= checks:
+    if not row["is_live"] and held["still"] >= checks:
         held["over"] = True
         out.append((row["streamer"], row["vod_id"], held["cursor"], 0, "searchable"))
     return out
 
 
+def poll_step(held: dict, under_way: int | None, row: dict, seconds: int, lag: int, checks: int) -> tuple[int | None, tuple | None]:
+    """One poll: it commits the chunk under way and brings at most one new one. The end of that, and the poll's row if the recording is not over.
+
+    A chunk that no later poll commits is not counted as ingested: after a restart from the saved place it comes again.
+    """
+    if under_way is not None and held:
+        held["cursor"] = under_way
+    afresh = _enter(held, row)
+    if afresh is None:
+        return None, None
+    end, start = _grow(held, row, lag), held["cursor"]
+    length = max(0, min(seconds, end - start))
+    held["over"] = not length and not row["is_live"] and held["still"] >= checks
+    status = "chunk" if length else "searchable" if held["over"] else "waiting"
+    return (start + length if length else None), (row["streamer"], row["ts"], row["event_id"], row["vod_id"], start, length, held["still"], afresh, status)
+
+
 _NAMES = ["streamer", "vod_id", "start", "length", "status"]
+_POLL_NAMES = ["streamer", "ts", "event_id", "vod_id", "start", "length", "still", "afresh", "status"]
+PLACE = T.StructType([T.StructField("vod_id", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("cursor", "longest", "still")], *[T.StructField(n, T.BooleanType()) for n in ("over", "asked")]])
+
+
+def _place(held: dict) -> tuple:
+    return held["vod_id"], int(held["cursor"]), int(held["longest"]), int(held["still"]), bool(held["over"]), bool(held["asked"])
+
+
 _SAVED = {"video_status": "string", "saved_seconds": "long", "saved_longest": "long"}
 
 
@@ -136,17 +177,72 @@ def live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = L
 
 def stream_live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LAG_SECONDS, checks: int = FINAL_CHECKS) -> DataFrame:
     """Streaming: as ``live_chunks``. Chunks may be replayed after a failure; the keyed writes take that."""
-    kept = T.StructType([T.StructField("vod_id", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("cursor", "longest", "still")], T.StructField("over", T.BooleanType())])
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(("vod_id", "cursor", "longest", "still", "over"), state.get)) if state.exists else {}
+        held = dict(zip(_PLACE, state.get)) if state.exists else {}
         rows, out = pd.concat(list(frames)).sort_values(["ts", "event_id"]), []
         for row in rows.to_dict("records"):
             out += live_step(held, row, seconds, lag, checks)
-        state.update((held["vod_id"], int(held["cursor"]), int(held["longest"]), int(held["still"]), bool(held["over"])))
+        state.update(_place(held))
         yield pd.DataFrame(out, columns=_NAMES)
 
-    return _snapshots(snapshots).groupBy("streamer").applyInPandasWithState(run, CHUNKS, kept, "append", GroupStateTimeout.NoTimeout)
+    return _snapshots(snapshots).groupBy("streamer").applyInPandasWithState(run, CHUNKS, PLACE, "append", GroupStateTimeout.NoTimeout)
+
+
+def live_polls(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LAG_SECONDS, checks: int = FINAL_CHECKS) -> DataFrame:
+    """Batch: what each poll of ``snapshots`` (as in ``live_chunks``) brings and commits; see ``poll_step``. ``start`` is where the recording is committed to."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held, under_way = None, {}, None
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                if row["streamer"] != current:
+                    current, held, under_way = row["streamer"], {}, None
+                under_way, found = poll_step(held, under_way, row, seconds, lag, checks)
+                out += [found] if found else []
+            yield pd.DataFrame(out, columns=_POLL_NAMES)
+
+    rows = _snapshots(snapshots).repartition("streamer").sortWithinPartitions("streamer", "ts", "event_id")
+    return rows.mapInPandas(run, POLLS)
+
+
+class LivePolls(StatefulProcessor):
+    """``poll_step`` over a stream: the place of each streamer's recording, and the chunk under way as a list of its own."""
+
+    def __init__(self, seconds: int, lag: int, checks: int):
+        self.how = (seconds, lag, checks)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", PLACE)
+        self.under_way = handle.getListState("under_way", T.StructType([T.StructField("end", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = dict(zip(_PLACE, self.place.get())) if self.place.exists() else {}
+        ends = [r[0] for r in self.under_way.get()] if self.under_way.exists() else []
+        end, out = (int(ends[0]) if ends else None), []
+        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).to_dict("records"):
+            end, found = poll_step(held, end, row, *self.how)
+            out += [found] if found else []
+        self.place.update(_place(held))
+        if end is None:
+            self.under_way.clear()
+        else:
+            self.under_way.put([(int(end),)])
+        yield pd.DataFrame(out, columns=_POLL_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(spark: SparkSession) -> None:
+    """The state store that processors with several states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_live_polls(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LAG_SECONDS, checks: int = FINAL_CHECKS) -> DataFrame:
+    """Streaming: as ``live_polls``."""
+    stateful(snapshots.sparkSession)
+    return _snapshots(snapshots).groupBy("streamer").transformWithStateInPandas(LivePolls(seconds, lag, checks), POLLS, "append", "none")
 
 
 def fallback_polls(polls: DataFrame, health: DataFrame, every: int = POLL_SECONDS) -> DataFrame:
