@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import schemas
@@ -20,9 +17,10 @@ from tessella.operators import requests as R
 from tessella.operators import writes as U
 from tessella.plans import ingest as P
 from tessella.plans.search import search_clips
+from tessella.shared import new_path, written
 from tessella.sources import audio, vods
 from tessella.sources.views import view, with_views
-from tessella.streaming import monitor, webhook
+from tessella.streaming import feed, monitor, webhook
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -577,15 +575,21 @@ def ttl_dedup(v: Views) -> DataFrame:
     return webhook.ttl_dedup(_messages(v), "key", "ts", 36_000)
 
 
+#: Rows of a micro-batch of the streamed tables, about.
+BATCH_ROWS = 25_000
+
+
 def _source(df: DataFrame, order: str) -> tuple[DataFrame, str]:
-    """A table as a stream, and its folder: written as a few files, one after the other in the order of ``order``, read one a micro-batch."""
+    """A table as a stream, and its folder: one file a range of ``order``, read one a micro-batch, so that their number follows the table's size."""
     spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
-    edges = df.select(F.percentile_approx(F.col(order).cast("double"), [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
-    part = sum((F.when(F.col(order).cast("double") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    for i in range(len(edges) + 1):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    base = new_path(spark, "stream")
+    at = F.col(order).cast("double")
+    n = max(4, -(-df.count() // BATCH_ROWS))
+    edges = df.select(F.percentile_approx(at, [i / n for i in range(1, n)]).alias("q")).first()["q"] or []
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < at)) if edges else F.lit(0)
+    ranges = written(df.withColumn("__part", part), "ranges", ["__part"])  # computed once; a range is a folder
+    for i in range(len(edges) + 1):  # files are taken in the order of their times
+        ranges.where(F.col("__part") == i).select(*df.columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
 
 
@@ -604,7 +608,7 @@ def stream_ttl_dedup(v: Views) -> DataFrame:
     return _streamed(_messages(v), lambda s: webhook.stream_ttl_dedup(s.withWatermark("ts", "10 minutes"), "key", "ts", 36_000), "ts")
 
 
-def _signed(v: Views) -> DataFrame:
+def _signed(v: Views, name: Column | None = None) -> DataFrame:
     events = v.spark.read.parquet(f"{v._at[1]}/events.parquet")
     ts, kind = F.col("ts").cast("timestamp"), F.col("event_type")
     login = F.concat(F.lit(" User"), (F.col("user_id") % 50).cast("string"))
@@ -613,7 +617,7 @@ def _signed(v: Views) -> DataFrame:
         F.struct(login.alias("broadcaster_user_login")).alias("event"),
     ))
     rows = events.select(
-        F.when(F.col("event_id") % 31 > 0, F.col("event_id").cast("string")).otherwise("").alias("message_id"), F.when(kind == "signup", "webhook_callback_verification").when(kind == "error", "revocation").when(kind == "purchase", "other").otherwise("notification").alias("message_type"),
+        F.when(F.col("event_id") % 31 > 0, F.col("event_id").cast("string") if name is None else name).otherwise("").alias("message_id"), F.when(kind == "signup", "webhook_callback_verification").when(kind == "error", "revocation").when(kind == "purchase", "other").otherwise("notification").alias("message_type"),
         X.iso_text(ts).alias("message_ts"), body.alias("body"), F.timestamp_micros(F.unix_micros(ts) + (F.col("event_id") % 13) * 60_000_000).alias("arrival_ts"), "event_id",
     )
     good = webhook.signature(SECRET, F.col("message_id"), F.col("message_ts"), F.col("body"))
@@ -630,6 +634,28 @@ def webhook_routed(v: Views) -> DataFrame:
     return webhook.routed(_signed(v)).select("message_id", "kind", "streamer", "detail")
 
 
+_FEED = """WITH RECURSIVE m AS (SELECT concat(user_id % 40, '-', event_type) AS key, concat('user', user_id % 50) AS streamer, ts + to_minutes(event_id % 13) AS arrival, event_id, CASE event_type WHEN 'signup' THEN 'challenge' WHEN 'click' THEN 'online' WHEN 'view' THEN 'offline' WHEN 'error' THEN 'degraded' ELSE 'ignored' END AS kind FROM events WHERE event_id % 31 > 0 AND event_id % 13 <= 10 AND event_id % 17 > 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY arrival, event_id) AS r FROM m),
+  f AS (SELECT key, r, arrival + INTERVAL 36000 SECOND AS deadline, TRUE AS fresh FROM o WHERE r = 1 UNION ALL SELECT o.key, o.r, CASE WHEN o.arrival >= f.deadline THEN o.arrival + INTERVAL 36000 SECOND ELSE f.deadline END, o.arrival >= f.deadline FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1),
+  e AS (SELECT o.streamer, o.arrival, o.key, o.kind FROM f JOIN o ON o.key = f.key AND o.r = f.r WHERE fresh),
+  a AS (SELECT *, coalesce(max(CASE kind WHEN 'online' THEN TRUE END) OVER w, FALSE) AS active, coalesce(last_value(CASE kind WHEN 'online' THEN TRUE WHEN 'offline' THEN FALSE END IGNORE NULLS) OVER w, FALSE) AS is_live FROM e WINDOW w AS (PARTITION BY streamer ORDER BY arrival, key ROWS UNBOUNDED PRECEDING))
+  SELECT streamer, arrival AS arrival_ts, key AS message_id, kind, CASE WHEN active THEN 'ingesting' ELSE 'polling' END AS state, is_live, active, CASE kind WHEN 'degraded' THEN 'degraded' ELSE 'healthy' END AS health, CASE kind WHEN 'degraded' THEN 'user_removed' END AS error FROM a"""
+
+
+def _feed(v: Views) -> DataFrame:
+    return _signed(v, F.concat((F.col("user_id") % 40).cast("string"), F.lit("-"), F.col("event_type")))
+
+
+@query(_FEED)
+def feed_status(v: Views) -> DataFrame:
+    return feed.feed_status(_feed(v), SECRET, 36_000)
+
+
+@query(_FEED)
+def stream_feed(v: Views) -> DataFrame:
+    return _streamed(_feed(v).drop("event_id"), lambda s: feed.stream_feed(s, SECRET, 36_000), "arrival_ts")
+
+
 def _status_events(v: Views) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "online").when(F.col("event_type") == "view", "offline").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("degraded")
     return v.requests.select(F.concat(F.lit("s"), (F.col("user_id") % 200).cast("string")).alias("streamer"), F.col("created_at").alias("ts"), F.col("id").alias("event_id"), kind.alias("kind"))
