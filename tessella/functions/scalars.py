@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 STATUSES = ("indexing", "searchable", "deleted", "reindex_requested")
 PLATFORM = "https://www.twitch.tv/videos/"
 #: What a request's failure is reported as.
-FAILURES = {"duration": ("INPUT_DURATION_EXCEEDED", 400), "upload": ("INVALID_UPLOAD", 400), "url": ("INVALID_TIKTOK_URL", 400), "download": ("DOWNLOAD_ERROR", 400), "value": ("PROCESSING_ERROR", 400), "unexpected": ("PROCESSING_ERROR", 500)}
+FAILURES = {"input": ("INVALID_SEARCH_INPUT", 400), "streamer": ("INVALID_STREAMER", 400), "duration": ("INPUT_DURATION_EXCEEDED", 400), "upload": ("INVALID_UPLOAD", 400), "url": ("INVALID_TIKTOK_URL", 400), "download": ("DOWNLOAD_ERROR", 400), "value": ("PROCESSING_ERROR", 400), "unexpected": ("PROCESSING_ERROR", 500)}
 
 
 def squares(v: Column) -> Column:

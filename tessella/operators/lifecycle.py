@@ -11,7 +11,7 @@ from tessella.operators.catalog import first_per
 from tessella.operators.writes import patch_videos
 
 #: Outcome, error code and HTTP status.
-ERRORS = {"not_found": ("VIDEO_NOT_FOUND", 404), "owner_mismatch": ("VIDEO_OWNER_MISMATCH", 403), "invalid_transition": ("INVALID_VIDEO_STATE_TRANSITION", 409)}
+ERRORS = {"invalid_actor": (None, 422), "not_found": ("VIDEO_NOT_FOUND", 404), "owner_mismatch": ("VIDEO_OWNER_MISMATCH", 403), "invalid_transition": ("INVALID_VIDEO_STATE_TRANSITION", 409)}
 
 
 def command_outcomes(commands: DataFrame, videos: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def command_outcomes(commands: DataFrame, videos: DataFrame) -> DataFrame:
 
     ``delete`` needs a searchable video, ``reindex`` a deleted one; what is already so is left as it is. Commands
     take effect in the order of cmd_id: the owner's first delete of a searchable video, and the first reindex after
-    the video is deleted. ``was`` is the status that a command meets.
+    the video is deleted. ``was`` is the status that a command meets. An actor must be a positive number.
     """
     known = videos.select(F.col("id").alias("video_id"), F.col("creator_id").alias("owner"), F.col("status").alias("at_first"))
     before = W.partitionBy("video_id").orderBy("cmd_id").rowsBetween(W.unboundedPreceding, -1)
@@ -31,7 +31,7 @@ def command_outcomes(commands: DataFrame, videos: DataFrame) -> DataFrame:
     rows = rows.withColumn("status", F.when(asked, "reindex_requested").when(F.col("deleted"), "deleted").otherwise(F.col("at_first")))
     done, needed = F.when(F.col("op") == "delete", "deleted").otherwise("reindex_requested"), F.when(F.col("op") == "delete", "searchable").otherwise("deleted")
     outcome = (
-        F.when(F.col("owner").isNull() & F.col("status").isNull(), "not_found")
+        F.when(~F.coalesce(F.col("actor_creator_id") > 0, F.lit(False)), "invalid_actor").when(F.col("owner").isNull() & F.col("status").isNull(), "not_found")
         .when(~F.col("owner").eqNullSafe(F.col("actor_creator_id")), "owner_mismatch")
         .when(F.col("status") == done, "unchanged")
         .when(~F.col("status").eqNullSafe(needed), "invalid_transition")

@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 
 from tessella.functions.scalars import blank_to_null, failure_code, failure_status, host_name, input_type, milliseconds, name_key
 
-#: Hosts that clips are taken from, and the largest file.
+#: Hosts that clips are taken from, and the largest download.
 HOSTS = ("tiktok.com", "www.tiktok.com", "m.tiktok.com", "vm.tiktok.com", "vt.tiktok.com")
-MAX_BYTES = 200 * 1024 * 1024
+MAX_MB = 200
 MAX_SECONDS = 180
 #: Fixed value: the route that search requests are logged under.
 SEARCH_ROUTE = "/api/search/clip"
@@ -44,27 +44,40 @@ def probe_problem(raw: Column) -> Column:
     return F.when(probed_seconds(raw).isNull(), "Could not determine input video duration")
 
 
-def file_problem(filename: Column, size: Column, most: int = MAX_BYTES) -> Column:
-    return F.when(blank_to_null(filename).isNull(), "Uploaded file must have a filename").when(F.coalesce(size, F.lit(0)) <= 0, "Uploaded file is empty").when(size > most, "File is too large")
+def file_problem(filename: Column, size: Column) -> Column:
+    """What is wrong with an uploaded file, or null. The texts are fixed values."""
+    return F.when(blank_to_null(filename).isNull(), "Uploaded file must have a filename").when(F.coalesce(size, F.lit(0)) <= 0, "Uploaded file is empty")
+
+
+def download_problem(size: Column, most_mb: int | None = MAX_MB) -> Column:
+    """What is wrong with a downloaded file of ``size`` bytes (null: there is none), or null. The texts are fixed values."""
+    problem = F.when(size.isNull(), "Downloaded file was not created").when(size <= 0, "Downloaded file is empty")
+    return problem if most_mb is None else problem.when(size > most_mb * 1024 * 1024, f"Downloaded file exceeds {most_mb}MB limit")
 
 
 def validate_requests(requests: DataFrame, searchable: DataFrame, max_seconds: float | None = MAX_SECONDS) -> DataFrame:
     """Each request with its failure (a kind), message, code and status, in the order of the checks.
 
     ``requests(request_id, source_app, filename, file_size, tiktok_url, streamer, duration_seconds)``; ``searchable(name)``.
+    The public route takes urls alone; the other one a url or a file, and a file may come without a name. Where there is
+    a column ``downloaded_bytes``, downloads are checked too.
     """
     known = searchable.select(name_key(F.col("name")).alias("key")).distinct().withColumn("searchable", F.lit(True))
     rows = requests.withColumn("key", name_key(F.col("streamer"))).join(known, "key", "left")
-    has_file, has_url = blank_to_null(F.col("filename")).isNotNull(), blank_to_null(F.col("tiktok_url")).isNotNull()
-    from_url, from_file, long = url_problem(F.col("tiktok_url")), file_problem(F.col("filename"), F.col("file_size")), duration_problem(F.col("duration_seconds"), max_seconds)
     public = F.col("source_app") == "public"
+    has_url = blank_to_null(F.col("tiktok_url")).isNotNull()
+    has_file = ~public & F.col("filename").isNotNull()
+    from_url, from_file, long = url_problem(F.col("tiktok_url")), file_problem(F.col("filename"), F.col("file_size")), duration_problem(F.col("duration_seconds"), max_seconds)
+    downloaded = download_problem(F.col("downloaded_bytes")) if "downloaded_bytes" in requests.columns else F.lit(None).cast("string")
+    # fixed values: the texts that callers see
     checks = [
-        (public & ~has_url, "url", F.lit("TikTok URL is required")),
-        (~public & (has_file == has_url), "value", F.lit("Provide exactly one of file or tiktok_url")),
-        (F.col("key").isNull(), "value", F.lit("streamer is required")),
-        (F.col("searchable").isNull(), "value", F.concat(F.lit("Streamer is not searchable: "), F.col("streamer"))),
+        (public & ~has_url, "input", F.lit("tiktok_url is required")),
+        (~public & (has_file == has_url), "input", F.lit("Provide exactly one of file or tiktok_url")),
+        (F.col("key").isNull(), "streamer", F.lit("streamer is required")),
+        (F.col("searchable").isNull(), "streamer", F.concat(F.lit("Streamer is not searchable: "), F.col("key"))),
         (has_url & from_url.isNotNull(), "url", from_url),
         (has_file & from_file.isNotNull(), "upload", from_file),
+        (has_url & downloaded.isNotNull(), "download", downloaded),
         (long.isNotNull(), "duration", long),
     ]
     kind, message = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -74,6 +87,19 @@ def validate_requests(requests: DataFrame, searchable: DataFrame, max_seconds: f
     return judged.select("request_id", "source_app", F.col("failure").isNull().alias("valid"), failure_code(F.col("failure")).alias("error_code"), failure_status(F.col("failure")).alias("http_status"), "error_message")
 
 
+def answer_problem(embeddings: Column, timestamps: Column, stated: Column, width: int) -> Column:
+    """What is wrong with an embedder's answer for a clip, or null: ``stated`` width, ``width`` of a row, ``length`` of the two lists, ``time`` that falls.
+
+    An answer without rows and times is right if it states the right width.
+    """
+    falls = F.exists(F.transform(timestamps, lambda t, i: (i > 0) & (t < F.get(timestamps, i - 1))), lambda x: F.coalesce(x, F.lit(False)))
+    empty = (F.size(embeddings) == 0) & (F.size(timestamps) == 0)
+    return (
+        F.when(~stated.eqNullSafe(F.lit(width)), "stated").when(empty, F.lit(None).cast("string")).when(F.exists(embeddings, lambda e: ~F.size(e).eqNullSafe(F.lit(width))), "width")
+        .when(F.size(embeddings) != F.size(timestamps), "length").when(falls, "time")
+    )
+
+
 def request_log_rows(outcomes: DataFrame) -> DataFrame:
     """Log rows from request outcomes: names and hosts normalised, seconds as whole milliseconds.
 

@@ -73,6 +73,24 @@ def upsert_embeddings(vectors: DataFrame, batch: DataFrame, model_name: str, now
     return upsert_rows(vectors, stamped, ["fingerprint_id"])
 
 
+def embedding_problems(batch: DataFrame, width: int | None = None) -> DataFrame:
+    """(fingerprint_id, problem) of rows that may not be stored: without an id or a vector, without a creator, or of another width.
+
+    A batch with any such row is not to be stored; ``checked`` raises for it.
+    """
+    wide = F.lit(False) if width is None else F.size("embedding") != width
+    problem = F.when(F.col("fingerprint_id").isNull() | F.col("embedding").isNull(), "length mismatch").when(~F.coalesce(F.col("creator_id") > 0, F.lit(False)), "creator_id is required").when(wide, "width")
+    return batch.select("fingerprint_id", problem.alias("problem")).where("problem is not null")
+
+
+def checked(batch: DataFrame, width: int | None = None) -> DataFrame:
+    """The batch, if all its rows may be stored."""
+    worst = embedding_problems(batch, width).groupBy("problem").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a kind of problem
+    if worst:
+        raise ValueError("; ".join(f"{r['problem']}: {r['n']} rows" for r in worst))
+    return batch
+
+
 def upsert_ingest_state(state: DataFrame, updates: DataFrame) -> DataFrame:
     """The latest update of each vod, by ``updated_at``."""
     return upsert_rows(state, latest_per(updates, ["vod_platform_id"], "updated_at"), ["vod_platform_id"])

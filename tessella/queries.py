@@ -332,16 +332,16 @@ def merge_legacy_state(v: Views) -> DataFrame:
     return U.insert_absent(v.vod_state.select("vod_platform_id", "streamer"), legacy, ["vod_platform_id"])
 
 
-_COMMANDS = """, commands AS (SELECT k AS cmd_id, CASE WHEN k % 2 = 0 THEN 'delete' ELSE 'reindex' END AS op, CASE WHEN k % 7 = 0 THEN -k ELSE k END AS video_id, CASE WHEN k % 5 = 1 THEN -1 ELSE CAST(o_custkey AS BIGINT) END AS actor_creator_id FROM seconds),
-  judged AS (SELECT c.*, d.status AS was, CASE WHEN d.id IS NULL THEN 'not_found' WHEN d.creator_id <> c.actor_creator_id THEN 'owner_mismatch' WHEN d.status = CASE WHEN op = 'delete' THEN 'deleted' ELSE 'reindex_requested' END THEN 'unchanged'
+_COMMANDS = """, commands AS (SELECT k AS cmd_id, CASE WHEN k % 2 = 0 THEN 'delete' ELSE 'reindex' END AS op, CASE WHEN k % 7 = 0 THEN -k ELSE k END AS video_id, CASE WHEN k % 5 = 1 THEN -1 WHEN k % 5 = 2 THEN 900000 ELSE CAST(o_custkey AS BIGINT) END AS actor_creator_id FROM seconds),
+  judged AS (SELECT c.*, d.status AS was, CASE WHEN c.actor_creator_id <= 0 THEN 'invalid_actor' WHEN d.id IS NULL THEN 'not_found' WHEN d.creator_id <> c.actor_creator_id THEN 'owner_mismatch' WHEN d.status = CASE WHEN op = 'delete' THEN 'deleted' ELSE 'reindex_requested' END THEN 'unchanged'
       WHEN d.status IS NULL OR d.status <> CASE WHEN op = 'delete' THEN 'searchable' ELSE 'deleted' END THEN 'invalid_transition' ELSE 'accepted' END AS outcome FROM commands c LEFT JOIN (SELECT id, creator_id, CASE WHEN id % 9 < 5 THEN status ELSE 'searchable' END AS status FROM vod_videos WHERE status IS NOT NULL) d ON d.id = c.video_id)"""
 _OUTCOMES = """SELECT cmd_id, op, video_id, actor_creator_id, was, outcome, CASE outcome WHEN 'not_found' THEN 'VIDEO_NOT_FOUND' WHEN 'owner_mismatch' THEN 'VIDEO_OWNER_MISMATCH' WHEN 'invalid_transition' THEN 'INVALID_VIDEO_STATE_TRANSITION' END AS error_code,
-  CASE outcome WHEN 'not_found' THEN 404 WHEN 'owner_mismatch' THEN 403 WHEN 'invalid_transition' THEN 409 ELSE 200 END AS http_status FROM judged"""
+  CASE outcome WHEN 'invalid_actor' THEN 422 WHEN 'not_found' THEN 404 WHEN 'owner_mismatch' THEN 403 WHEN 'invalid_transition' THEN 409 ELSE 200 END AS http_status FROM judged"""
 
 
 def _commands(v: Views) -> tuple[DataFrame, DataFrame]:
     k = F.col("k")
-    commands = v.seconds.select(k.alias("cmd_id"), F.when(k % 2 == 0, "delete").otherwise("reindex").alias("op"), F.when(k % 7 == 0, -k).otherwise(k).alias("video_id"), F.when(k % 5 == 1, F.lit(-1).cast("long")).otherwise(F.col("o_custkey").cast("long")).alias("actor_creator_id"))
+    commands = v.seconds.select(k.alias("cmd_id"), F.when(k % 2 == 0, "delete").otherwise("reindex").alias("op"), F.when(k % 7 == 0, -k).otherwise(k).alias("video_id"), F.when(k % 5 == 1, F.lit(-1).cast("long")).when(k % 5 == 2, F.lit(900_000).cast("long")).otherwise(F.col("o_custkey").cast("long")).alias("actor_creator_id"))
     table = v.vod_videos.where("status is not null").withColumn("status", F.when(F.col("id") % 9 < 5, F.col("status")).otherwise("searchable"))
     return commands, table
 
@@ -465,7 +465,7 @@ def duration_limit(v: Views) -> DataFrame:
     return v.requests.select("id", R.duration_problem(F.col("duration_seconds")).alias("problem"))
 
 
-_FILE_BAD = "CASE WHEN coalesce(trim(filename), '') = '' THEN 'Uploaded file must have a filename' WHEN coalesce(file_size, 0) <= 0 THEN 'Uploaded file is empty' WHEN file_size > 209715200 THEN 'File is too large' END"
+_FILE_BAD = "CASE WHEN coalesce(trim(filename), '') = '' THEN 'Uploaded file must have a filename' WHEN coalesce(file_size, 0) <= 0 THEN 'Uploaded file is empty' END"
 
 
 @query(f"SELECT id, {_FILE_BAD} AS problem FROM requests", "requests")
@@ -479,14 +479,20 @@ def largest_files(v: Views) -> DataFrame:
     return R.largest_file(files, "source_app")
 
 
-@query(f"""SELECT request_id, source_app, failure IS NULL AS valid, CASE failure WHEN 'url' THEN 'INVALID_TIKTOK_URL' WHEN 'upload' THEN 'INVALID_UPLOAD' WHEN 'duration' THEN 'INPUT_DURATION_EXCEEDED' WHEN 'value' THEN 'PROCESSING_ERROR' END AS error_code, CASE WHEN failure IS NOT NULL THEN 400 END AS http_status,
-   CASE c WHEN 1 THEN 'TikTok URL is required' WHEN 2 THEN 'Provide exactly one of file or tiktok_url' WHEN 3 THEN 'streamer is required' WHEN 4 THEN concat('Streamer is not searchable: ', streamer) WHEN 5 THEN ub WHEN 6 THEN fb WHEN 7 THEN concat('Input video is ', CAST(ceil(duration_seconds) AS BIGINT), 's; maximum allowed is 180s') END AS error_message
-  FROM (SELECT *, CASE c WHEN 1 THEN 'url' WHEN 2 THEN 'value' WHEN 3 THEN 'value' WHEN 4 THEN 'value' WHEN 5 THEN 'url' WHEN 6 THEN 'upload' WHEN 7 THEN 'duration' END AS failure FROM (
-    SELECT *, CASE WHEN source_app = 'public' AND NOT hu THEN 1 WHEN source_app <> 'public' AND hf = hu THEN 2 WHEN trim(streamer) = '' THEN 3 WHEN lower(trim(streamer)) NOT IN (SELECT lower(name) FROM creators c JOIN vectors e ON e.creator_id = c.id) THEN 4 WHEN hu AND ub IS NOT NULL THEN 5 WHEN hf AND fb IS NOT NULL THEN 6 WHEN duration_seconds > 180 THEN 7 END AS c
-    FROM (SELECT id AS request_id, *, filename IS NOT NULL AS hf, tiktok_url IS NOT NULL AS hu, {_URL_BAD} AS ub, {_FILE_BAD} AS fb FROM requests) a) b) d""", "requests", "creators", "vectors")
+@query("SELECT id, CASE WHEN size IS NULL THEN 'Downloaded file was not created' WHEN size <= 0 THEN 'Downloaded file is empty' WHEN size > 209715200 THEN 'Downloaded file exceeds 200MB limit' END AS problem FROM (SELECT id, CASE WHEN id % 7 > 0 THEN file_size END AS size FROM requests) t", "requests")
+def download_checks(v: Views) -> DataFrame:
+    return v.requests.select("id", R.download_problem(F.when(F.col("id") % 7 > 0, F.col("file_size"))).alias("problem"))
+
+
+@query(f"""SELECT request_id, source_app, c IS NULL AS valid, CASE WHEN c IN (1, 2) THEN 'INVALID_SEARCH_INPUT' WHEN c IN (3, 4) THEN 'INVALID_STREAMER' WHEN c = 5 THEN 'INVALID_TIKTOK_URL' WHEN c = 6 THEN 'INVALID_UPLOAD' WHEN c = 7 THEN 'DOWNLOAD_ERROR' WHEN c = 8 THEN 'INPUT_DURATION_EXCEEDED' END AS error_code, CASE WHEN c IS NOT NULL THEN 400 END AS http_status,
+   CASE c WHEN 1 THEN 'tiktok_url is required' WHEN 2 THEN 'Provide exactly one of file or tiktok_url' WHEN 3 THEN 'streamer is required' WHEN 4 THEN concat('Streamer is not searchable: ', lower(trim(streamer))) WHEN 5 THEN ub WHEN 6 THEN fb
+     WHEN 7 THEN CASE WHEN file_size = 0 THEN 'Downloaded file is empty' ELSE 'Downloaded file exceeds 200MB limit' END WHEN 8 THEN concat('Input video is ', CAST(ceil(duration_seconds) AS BIGINT), 's; maximum allowed is 180s') END AS error_message
+  FROM (SELECT *, CASE WHEN source_app = 'public' AND NOT hu THEN 1 WHEN source_app <> 'public' AND hf = hu THEN 2 WHEN coalesce(trim(streamer), '') = '' THEN 3 WHEN lower(trim(streamer)) NOT IN (SELECT lower(name) FROM creators c JOIN vectors e ON e.creator_id = c.id) THEN 4
+      WHEN hu AND ub IS NOT NULL THEN 5 WHEN source_app <> 'public' AND hf AND fb IS NOT NULL THEN 6 WHEN hu AND (file_size <= 0 OR file_size > 209715200) THEN 7 WHEN duration_seconds > 180 THEN 8 END AS c
+    FROM (SELECT id AS request_id, *, filename IS NOT NULL AS hf, coalesce(trim(tiktok_url), '') <> '' AS hu, {_URL_BAD} AS ub, {_FILE_BAD} AS fb FROM requests) a) b""", "requests", "creators", "vectors")
 def request_validation(v: Views) -> DataFrame:
     names = C.searchable_creators(v.creators, v.videos, v.fingerprints, v.vectors)
-    return R.validate_requests(v.requests.withColumnRenamed("id", "request_id"), names)
+    return R.validate_requests(v.requests.withColumnRenamed("id", "request_id").withColumn("downloaded_bytes", F.col("file_size")), names)
 
 
 @query(f"""SELECT id, CASE WHEN filename IS NOT NULL AND tiktok_url IS NOT NULL THEN 'both' WHEN filename IS NOT NULL THEN 'file' WHEN tiktok_url IS NOT NULL THEN 'tiktok_url' END AS input_type, nullif(lower(trim(streamer)), '') AS streamer, {_HOST} AS download_host, CAST(greatest(round_even(value / 100 * 1000, 0), 0) AS INT) AS embed_duration_ms, coalesce(CASE WHEN id % 2 = 0 THEN value END, duration_seconds) AS score FROM requests""", "requests")
@@ -750,7 +756,11 @@ def _files(v: Views) -> DataFrame:
     return audio.wavs_from_values(v.requests.select((F.col("user_id") % 16).alias("k"), "id", "value"), "k", "id", "value")
 
 
-@query()
+#: Values of 400 samples each, in chunks of five seconds that are filled up with silence: a segment a second.
+_HEARD = """, heard AS (SELECT user_id % 16 AS k, CAST(ceil(count(*) * 400 / 80000.0) AS BIGINT) * 5 AS n FROM requests GROUP BY 1)"""
+
+
+@query(_HEARD + " SELECT concat(k, '.wav') AS path, n AS n_segments, CAST(64 AS INT) AS width, CAST(n - 1 AS DOUBLE) AS last_second FROM heard", "requests")
 def audio_segments(v: Views) -> DataFrame:
     found = audio.embed_segments(audio.audio_chunks(_files(v), 5))
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_segments"), F.min(F.size("embedding")).alias("width"), F.max("timestamp_seconds").alias("last_second"))
@@ -762,14 +772,16 @@ def _embed(chunks: DataFrame) -> DataFrame:
     return found.select((1000 + path).alias("video_id"), (path % 10 + 1).alias("creator_id"), "timestamp_seconds", "embedding")
 
 
-@query()
+@query(_HEARD + """, new AS (SELECT 1000 + k AS video_id, k % 10 + 1 AS creator_id, CAST(unnest(range(n)) AS DOUBLE) AS timestamp_seconds FROM heard),
+  old AS (SELECT e.creator_id FROM vectors e JOIN fingerprints f USING (fingerprint_id) WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.video_id = f.video_id AND new.timestamp_seconds = f.timestamp_seconds))
+  SELECT 'spectral' AS model_name, CAST(creator_id AS BIGINT) AS creator_id, count(*) AS n FROM new GROUP BY 2 UNION ALL SELECT NULL, creator_id, count(*) FROM old GROUP BY 2""", "requests", "vectors", "fingerprints")
 def ingest_batch(v: Views) -> DataFrame:
     table = v.fingerprints.withColumnRenamed("fingerprint_id", "id")
     out = P.run_ingest(_embed(audio.audio_chunks(_files(v), 5)), table, v.vectors, v.videos, v.vod_state, "spectral")
     return out["vectors"].groupBy("model_name", "creator_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_HEARD + " SELECT CAST(1000 + k AS BIGINT) AS video_id, n, n AS n_seconds FROM heard", "requests")
 def stream_ingest(v: Views) -> DataFrame:
     from tessella.streaming.ingest import ingest_into, stored_vectors
 
@@ -778,6 +790,30 @@ def stream_ingest(v: Views) -> DataFrame:
     return stored_vectors(v.spark, f"{base}/out").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("timestamp_seconds").alias("n_seconds"))
 
 
+@query("SELECT k, concat('Stream by ', streamer) AS archived, CASE WHEN k % 3 = 0 THEN concat('Live stream by ', streamer) ELSE trim(concat(' Vod ', vod_id)) END AS live FROM vods", "vods")
+def default_titles(v: Views) -> DataFrame:
+    return v.vods.select("k", X.default_title(F.lit(" "), F.col("streamer")).alias("archived"), X.default_title(F.when(F.col("k") % 3 > 0, F.concat(F.lit(" Vod "), "vod_id")), F.col("streamer"), live=True).alias("live"))
+
+
+@query("""SELECT clip_id, CASE WHEN clip_id % 7 = 1 THEN 'stated' WHEN clip_id % 7 = 6 THEN NULL WHEN clip_id % 7 = 2 THEN 'width' WHEN clip_id % 7 = 3 THEN 'length' WHEN clip_id % 7 = 4 AND n > 1 THEN 'time' END AS problem FROM (SELECT clip_id, count(*) AS n FROM all_segments GROUP BY 1) t""", "all_segments")
+def answer_checks(v: Views) -> DataFrame:
+    """Embedders' answers a clip, some stating another width, some with a short row, a time too few, times turned round, or nothing at all."""
+    i, at = F.col("clip_id") % 7, F.transform("rows", lambda r: r["q_time"])
+    clips = v.all_segments.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("q_time", "embedding"))).alias("rows"))
+    vectors = F.transform("rows", lambda r: F.when(i == 2, F.slice(r["embedding"], 1, 5)).otherwise(r["embedding"]))
+    times = F.when(i == 3, F.slice(at, 1, F.size(at) - 1)).when(i == 4, F.reverse(at)).otherwise(at)
+    none = F.slice("rows", 1, 0)
+    answers = clips.select("clip_id", F.when(i == 6, F.transform(none, lambda r: r["embedding"])).otherwise(vectors).alias("vectors"), F.when(i == 6, F.transform(none, lambda r: r["q_time"])).otherwise(times).alias("times"), F.when(i == 1, 32).otherwise(64).alias("stated"))
+    return answers.select("clip_id", R.answer_problem(F.col("vectors"), F.col("times"), F.col("stated"), 64).alias("problem"))
+
+
+@query("SELECT fingerprint_id, CASE fingerprint_id % 11 WHEN 0 THEN 'length mismatch' WHEN 1 THEN 'creator_id is required' WHEN 2 THEN 'creator_id is required' WHEN 3 THEN 'width' END AS problem FROM vectors WHERE fingerprint_id % 11 < 4", "vectors")
+def embedding_checks(v: Views) -> DataFrame:
+    i = F.col("fingerprint_id") % 11
+    batch = v.vectors.select("fingerprint_id", F.when(i > 0, F.when(i == 3, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))).alias("embedding"), F.when(i == 1, 0).when(i != 2, F.col("creator_id")).alias("creator_id"))
+    return U.embedding_problems(batch, 64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -198,7 +198,7 @@ def test_requests(spark):
     df = spark.createDataFrame(rows, "request_id long, source_app string, filename string, file_size long, tiktok_url string, streamer string, duration_seconds double")
     got = {r["request_id"]: (r["error_code"], r["error_message"]) for r in requests.validate_requests(df, names).collect()}
     assert got[1] == (None, None) and got[2][1] == "Provide exactly one of file or tiktok_url" and got[3] == ("INVALID_TIKTOK_URL", "Only TikTok URLs are supported") and got[4] == ("INVALID_UPLOAD", "Uploaded file is empty")
-    assert got[5] == ("INPUT_DURATION_EXCEEDED", "Input video is 181s; maximum allowed is 180s") and got[6][1] == "Streamer is not searchable: who" and got[7] == ("INVALID_TIKTOK_URL", "TikTok URL is required")
+    assert got[5] == ("INPUT_DURATION_EXCEEDED", "Input video is 181s; maximum allowed is 180s") and got[6] == ("INVALID_STREAMER", "Streamer is not searchable: who") and got[7] == ("INVALID_SEARCH_INPUT", "tiktok_url is required")
 
 
 def test_audio(spark):
