@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella import schemas
 from tessella.functions import scalars as X
@@ -814,6 +815,29 @@ def embedding_checks(v: Views) -> DataFrame:
     return U.embedding_problems(batch, 64)
 
 
+@query(f"""{_DECIDED}, plan AS (SELECT duration_seconds, unnest(range(cursor, duration_seconds, 600)) AS start FROM full_backlog WHERE decision = 'eligible' AND duration_seconds > 0 AND cursor < duration_seconds)
+  SELECT 'backlog' AS stream, count(*) AS chunks, CAST(sum(least(600, duration_seconds - start)) AS BIGINT) AS seconds, 100.0 AS percent, TRUE AS rises FROM plan""", *_BACKLOG_VIEWS)
+def ingest_progress(v: Views) -> DataFrame:
+    """The backlog's chunks as a stream whose listener writes a row a micro-batch; summed up over those rows."""
+    from tessella.streaming.ingest import into_table
+    from tessella.streaming.progress import ProgressListener, observed_stream, progress_table, with_percent
+
+    spark, (stream, base) = v.spark, _source(P.chunk_plan(_backlog(v), 600).select("vod_id", "start", "length"), "start")
+    listener = ProgressListener("backlog")
+    spark.streams.addListener(listener)
+    try:
+        into_table(observed_stream(stream, "backlog"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    table = progress_table(spark, f"{base}/progress")
+    listener.flush(table)
+    written_rows = spark.read.schema("vod_id string, start long, length long").option("recursiveFileLookup", True).parquet(f"{base}/out")
+    rows = with_percent(table.read(), written_rows.agg(F.lit("backlog").alias("stream"), F.sum("length").alias("total")))
+    risen = rows.withColumn("before", F.lag("percent").over(W.partitionBy("stream").orderBy("batch")))
+    return risen.groupBy("stream").agg(F.sum("chunks").alias("chunks"), F.sum("seconds").alias("seconds"), F.max("percent").alias("percent"), F.min(F.col("percent") >= F.coalesce("before", F.lit(0.0))).alias("rises"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
