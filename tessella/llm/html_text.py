@@ -7,8 +7,11 @@ has it, 1 if all have. The composite importance of a node is 1 less the mean ent
 with a small weight for the entropy of its sequences of children (its presentation): near 1 where pages differ,
 near 0 where they repeat, be it in parts, as menus drawn from a stock of entries. A branch is cut from each page
 if all its nodes are of low importance. Before that, elements that never hold an article are cut by what they are
-(scripts, forms, navigation, ...) or say they are (class, id, role), as their contents may vary from page to page.
-What is left is read from ``article`` elements, else from ``main``, else from the body.
+(scripts, forms, navigation, ...) or say they are (role; class or id made of nothing but such words and neutral ones),
+as their contents may vary from page to page. What is left is read by where most of the text is: all of ``main`` with
+what is nested in it, else all ``article`` elements if they hold half of the text or more, else the body without them.
+
+Elements that are open are found by name, so a page costs time in proportion to its length, however it is nested.
 
 Nodes are rated only where a host has ``LEAST_PAGES`` different pages with that node; others are kept. Features are
 counted over different pages, so copies of a page do not make its article a template.
@@ -48,40 +51,48 @@ CLOSES_P = frozenset(
 #: Start tags that close an open element of these names first, up to a container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class, id or role that mark what is not the article.
+#: Roles of what is not the article.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Words of a class or id that mark what is not the article, if all its other words are neutral.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices newsletter subscribe "
-    "subscription signup popup modal overlay sidebar sidenav widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navigation navbar footer "
-    "masthead topbar toolbar comment comments disqus respond login search pagination pager copyright contentinfo complementary alert alertdialog dialog".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promoted banner banners cookie cookies consent gdpr notice notices alert newsletter subscribe "
+    "subscription signup popup modal overlay sidebar sidenav widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer "
+    "masthead topbar toolbar comment comments disqus respond login pagination pager copyright".split()
+)
+NEUTRAL = frozenset(
+    "main site page global local primary secondary top bottom left right upper lower inner outer header box bar bars list lists area section wrapper wrap container holder link links button buttons block blocks item items "
+    "form group panel pane slot unit row rows col column columns grid post posts article articles story stories content text title head heading body icon icons media tools tool fixed sticky float mobile desktop small large "
+    "new latest more also read like us policy privacy message messages bg dark light js is".split()
 )
-NEGATED = frozenset("has with no without is not".split())
+NEGATED = frozenset("has with no without not".split())
 
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*(?:>|\Z)|<(?=[a-zA-Z])[^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*(?:>|\Z)|<(?=[a-zA-Z])[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 
 
 def _marked(tag: str, names: str) -> bool:
-    """Whether a class, id or role says that an element is not the article."""
+    """Whether a class or id says that an element is not the article."""
     if tag in ("html", "body", "article", "main"):
         names = " ".join(n for n in names.split() if n.lower() in ("comment", "ad", "sponsored", "promoted", "related"))
     for name in names.split():
         words = [w.lower() for w in _WORDS.findall(name)]
-        if words and words[0] not in NEGATED and (words[0] in MARKS or words[-1] in MARKS):
+        if words and words[0] not in NEGATED and not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL for w in words):
             return True
     return False
 
 
 class Page:
-    """One pass over a page: its blocks of text with the tree node and the landmark they are in."""
+    """One pass over a page: its blocks of text with the tree node and the landmarks they are in."""
 
     def __init__(self, source: str, low: frozenset[int] = frozenset()):
-        self.blocks: list[tuple[int, int, str, bool]] = []  # node, landmark (2 article, 1 main, 0), text, mostly a link
+        self.blocks: list[tuple[int, bool, bool, str, bool]] = []  # node, in main, in an article, text, mostly a link and no paragraph
         self.shape: dict[int, list[str]] = {}  # the children of each node, in order
         self.parents: dict[int, int] = {}
         self.low = low
-        self._stack: list[tuple[str, int, bool, int, dict[str, int]]] = [("", 0, False, 0, {})]  # tag, node, hidden, landmark, children by label
+        self._stack: list[tuple[str, int, bool, bool, bool, dict[str, int]]] = [("", 0, False, False, False, {})]  # tag, node, hidden, in main, in an article, children by label
+        self._open_at: dict[str, list[int]] = {}  # the places in the stack of the open elements of each name
         self._text: list[str] = []
         self._linked = self._all = 0
         self._read(source)
@@ -91,15 +102,15 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((self._node, self._landmark, text, self._linked * 2 > self._all))
+                self.blocks.append((*self._where, text, self._linked * 2 > self._all and not self._paragraph))
         self._text, self._linked, self._all = [], 0, 0
 
     def _say(self, raw: str) -> None:
-        _, node, hidden, landmark, _ = self._stack[-1]
+        _, node, hidden, main, article, _ = self._stack[-1]
         if hidden:
             return
         if not self._text:
-            self._node, self._landmark = node, landmark
+            self._where, self._paragraph = (node, main, article), bool(self._open_at.get("p"))
         text = html.unescape(raw) if "&" in raw else raw
         self._text.append(text)
         n = len(text.strip())
@@ -107,17 +118,20 @@ class Page:
         if any(s[0] == "a" for s in self._stack[-4:]):
             self._linked += n
 
+    def _last(self, names: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of these names, or 0."""
+        return max((self._open_at[n][-1] for n in names if self._open_at.get(n)), default=0)
+
     def _pop(self, names: set[str] | frozenset[str], stop: set[str] | frozenset[str] = frozenset()) -> None:
         """Close the nearest open element of these names and all inside it, if none of ``stop`` is nearer."""
-        for i in range(len(self._stack) - 1, 0, -1):
-            tag = self._stack[i][0]
-            if tag in names:
-                if any(t not in INLINE for t, *_ in self._stack[i:]):
-                    self._flush()
-                del self._stack[i:]
-                return
-            if tag in stop:
-                return
+        at = self._last(names)
+        if not at or self._last(stop) > at:
+            return
+        if any(s[0] not in INLINE for s in self._stack[at:]):
+            self._flush()
+        for s in self._stack[at:]:
+            self._open_at[s[0]].pop()
+        del self._stack[at:]
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -131,23 +145,21 @@ class Page:
             self._flush()
         if tag in VOID:
             return
-        _, node, hidden, landmark, children = self._stack[-1]
+        _, node, hidden, main, article, children = self._stack[-1]
         names = ""
         if attributes and not hidden:
             for name, value in _ATTRIBUTE.findall(attributes):
                 value, name = value.strip("\"'"), name.lower()
-                if name in ("class", "id", "role"):
+                if name == "role":
+                    main = main or value.lower() == "main"
+                    hidden = hidden or value.lower() in ROLES
+                elif name in ("class", "id"):
                     names += " " + value
-                    if name == "role" and value == "main" and landmark < 1:
-                        landmark = 1
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     hidden = True
             hidden = hidden or bool(names) and _marked(tag, names)
-        if tag == "article":
-            landmark = 2
-        elif tag == "main" and landmark < 1:
-            landmark = 1
-        hidden = hidden or tag in DROPPED or (tag == "header" and landmark < 2)
+        main, article = main or tag == "main", article or tag == "article"
+        hidden = hidden or tag in DROPPED or (tag == "header" and not main and not article)
         if tag not in INLINE and not hidden and len(self._stack) <= DEEPEST:
             label = tag + "." + ".".join(sorted(_DIGITS.sub("0", names).split()))
             if tag in PLACED:
@@ -159,7 +171,8 @@ class Page:
             self.parents[child] = node
             node = child
             hidden = node in self.low
-        self._stack.append((tag, node, hidden, landmark, {}))
+        self._open_at.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, node, hidden, main, article, {}))
 
     def _read(self, source: str) -> None:
         at = 0
@@ -194,8 +207,16 @@ class Page:
             self._flush()
 
     def text(self) -> str:
-        best = max((b[1] for b in self.blocks), default=0)
-        return "\n".join(text for _, landmark, text, linked in self.blocks if landmark == best and (landmark or not linked))
+        """The blocks of the part of the page that holds the article, one a line."""
+        if any(main for _, main, *_ in self.blocks):
+            part = [text for _, main, _, text, _ in self.blocks if main]
+        else:
+            size = [0, 0]
+            for _, _, article, text, linked in self.blocks:
+                size[article] += 0 if linked else len(text)
+            inside = size[1] >= size[0] and any(article for _, _, article, *_ in self.blocks)
+            part = [text for _, _, article, text, linked in self.blocks if article == inside and (inside or not linked)]
+        return "\n".join(part)
 
 
 def page_nodes(source: str) -> set[tuple[int, int, bool, tuple[int, ...] | None]]:
@@ -204,7 +225,7 @@ def page_nodes(source: str) -> set[tuple[int, int, bool, tuple[int, ...] | None]
     ``up`` names the node and those above it, for children; for texts it is null.
     """
     page, out, above = Page(source), set(), {}
-    for node, _, text, _ in page.blocks:
+    for node, _, _, text, _ in page.blocks:
         out.add((node, xxhash.xxh64_intdigest(text) - (1 << 63), True, None))
         if node not in above:
             way, at = [], node
