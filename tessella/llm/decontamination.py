@@ -1,10 +1,10 @@
 """Benchmark decontamination by a set of normalised test n-grams. SQL functions only.
 
 Text is put in lower case (A-Z alone) and cut into words; a window is ``n`` consecutive words of an item, or
-all of them in a shorter item. Each window's length, first and last word give a number below ``SLOTS``; the set of
-those numbers goes to all tasks, so it has a bound whatever the benchmark's size. Documents are scanned with it in
-one generated loop, and the text of what passes is verified by a join with the windows' texts. A document word
-inside any occurrence of a window is hit.
+all of them in a shorter item. A hash of all words of a window gives a number below ``SLOTS``; the set of those
+numbers goes to all tasks, so it has a bound whatever the benchmark's size. Documents are scanned with it in one
+generated loop, and the text of what passes is verified by a join with the windows' texts. Of windows that are not in
+the benchmark, a share of (windows / ``SLOTS``) passes at most. A document word inside any occurrence of a window is hit.
 
 Defined results: a null or wordless text has no words and no hits; wordless items are skipped; repeated rows
 and equal or null ids are each reported; equal texts share their result; empty tables give no rows or no hits; other
@@ -34,8 +34,8 @@ def words_of(text: Column) -> Column:
 
 def _slot(words: Column, at: Column, length: Column) -> Column:
     """The number of the window of ``length`` words from ``at`` (from 0) on; null where it would pass the end."""
-    last = F.get(words, at + length - 1)
-    return F.when(last.isNotNull(), F.pmod(F.xxhash64(length, F.get(words, at), last), F.lit(SLOTS)))
+    whole = F.get(words, at + length - 1).isNotNull()
+    return F.when(whole, F.pmod(F.xxhash64(F.slice(words, at + 1, length)), F.lit(SLOTS)))
 
 
 def _window(words: Column, at: Column, length: Column) -> Column:

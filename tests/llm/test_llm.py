@@ -454,6 +454,17 @@ def test_decontamination(spark, docs, none, slots, monkeypatch):
     assert not decontamination.contamination_report(docs, bench.limit(0)).where("contaminated").count()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+def test_decontamination_verifies_few(spark):
+    """What passes the set and has to be verified is little more than what is true."""
+    bench, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("benchmark", "documents"))
+    windows = decontamination.benchmark_windows(bench).cache()
+    passed = decontamination.survivors(docs.select("doc_id", "text"), windows, 10).where("at >= 0").cache()
+    true = passed.join(windows.select("length", "window").distinct(), ["length", "window"], "left_semi").count()
+    print(f"{passed.count()} windows verified, {true} of them in the benchmark")
+    assert 0 < true <= passed.count() <= 2 * true + 200
+
+
 def test_decontamination_of_a_table_dealt_anew(spark):
     """Not cached, dealt at random, with repeated rows, null ids and clashing names; and more windows than slots."""
     rng = random.Random(8)
