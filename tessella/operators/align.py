@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessella.functions.scalars import ratio_text, rounded_offset
 
@@ -29,12 +28,16 @@ def align(neighbours: DataFrame, segments: DataFrame, fingerprints: DataFrame, m
     The most voted candidate wins, the first seen on ties; it must reach both thresholds, votes checked first.
     The ratio counts all segments of the clip and may pass 1.
     """
-    votes = vote_histogram(neighbours, segments, fingerprints)
-    w = W.partitionBy("clip_id").orderBy(F.desc("votes"), "first_seen")
-    best = votes.withColumn("r", F.row_number().over(w)).where("r = 1").select("clip_id", "video_id", "offset", "votes")
+    known = fingerprints.select("fingerprint_id", "video_id", "timestamp_seconds")
+    timed = neighbours.join(known, "fingerprint_id", "left").join(segments.select("clip_id", "seg_ord", "q_time"), ["clip_id", "seg_ord"])
+    offset = rounded_offset(F.col("timestamp_seconds") - F.col("q_time"))
+    # one pass over the neighbours: each segment that has any has one of rank 1, so those count the segments heard
+    groups = timed.groupBy("clip_id", "video_id", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("seg_ord", "rank")).alias("first_seen"), F.count_if(F.col("rank") == 1).alias("firsts"))
+    first = F.struct((-F.col("votes")).alias("order"), "first_seen", "video_id", "offset", "votes")
+    best = groups.groupBy("clip_id").agg(F.sum("firsts").alias("heard"), F.min(F.when(F.col("video_id").isNotNull(), first)).alias("best"))
+    best = best.select("clip_id", "heard", "best.video_id", "best.offset", "best.votes")
     sizes = segments.groupBy("clip_id").agg(F.count("q_time").alias("n_times"), F.count(F.lit(1)).alias("n_segments"))
-    heard = neighbours.groupBy("clip_id").agg(F.countDistinct("seg_ord").alias("heard"))
-    rows = sizes.join(heard, "clip_id", "left").join(best, "clip_id", "left").withColumn("ratio", F.col("votes") / F.col("n_segments"))
+    rows = sizes.join(best, "clip_id", "left").withColumn("ratio", F.col("votes") / F.col("n_segments"))
     # fixed values: the texts that callers see
     problem = (
         F.when(F.col("heard").isNull(), "No neighbors returned")

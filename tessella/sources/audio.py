@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -87,10 +88,12 @@ def numbered(rows: DataFrame, parts: int = 256) -> DataFrame:
 
     The rows of a key are numbered in up to ``parts`` ranges of ``o`` apart; one row a range is added up in one place.
     """
-    order = F.coalesce(F.col("o").cast("double"), F.lit(float("-inf")))
     cuts = sorted(set(rows.select(F.col("o").cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= order)) if cuts else F.lit(0)
-    placed = rows.withColumn("part", part)
+    if cuts:
+        ends = Bucketizer(splits=[-float("inf"), *cuts, float("inf")] if cuts[0] > -float("inf") else [*cuts, float("inf")], inputCol="__o", outputCol="__part")
+        placed = ends.transform(rows.withColumn("__o", F.coalesce(F.col("o").cast("double"), F.lit(float("-inf"))))).withColumn("part", F.col("__part").cast("int")).drop("__o", "__part")
+    else:
+        placed = rows.withColumn("part", F.lit(0))
     sizes = placed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(F.col("k").alias("sk"), F.col("part").alias("sp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -191,6 +191,49 @@ def test_live_chunks(spark, rows, expected):
     assert [(r["start"], r["length"], r["status"]) for r in monitor.live_chunks(df).collect()] == expected
 
 
+def polls(spark, rows):
+    base = dt.datetime(2026, 3, 1)
+    schema = "streamer string, ts timestamp, event_id long, vod_id string, is_live boolean, duration_seconds long, video_status string, saved_seconds long, saved_longest long"
+    df = spark.createDataFrame([("s", base + dt.timedelta(seconds=i), i, *r) for i, r in enumerate(rows)], schema).repartition(3)
+    return [(r["event_id"], r["start"], r["length"], r["still"], r["afresh"], r["status"]) for r in monitor.live_polls(df).orderBy("event_id").collect()]
+
+
+def test_still_checks_outlast_live_polls(spark):
+    """Checks while live neither count nor reset: only growth does. The fifth poll is the third still one."""
+    rows = [("v", live, 100, None, 100, 100) for live in (True, False, False, True, False, False)]
+    assert polls(spark, rows) == [(0, 100, 0, 0, False, "waiting"), (1, 100, 0, 1, False, "waiting"), (2, 100, 0, 2, False, "waiting"), (3, 100, 0, 2, False, "waiting"), (4, 100, 0, 3, False, "searchable")]
+
+
+def test_polls_commit_the_chunk_before(spark):
+    rows = [("v", True, 400, None, None, None), ("v", True, 400, None, None, None), ("v", False, 130, None, None, None), ("v", False, 400, "reindex_requested", None, None), ("v", False, 400, "reindex_requested", None, None),
+            ("v", False, 400, "deleted", None, None), ("v", False, 500, None, None, None), ("w", False, 90, None, 60, None), ("w", False, 90, None, 60, None)]
+    assert polls(spark, rows) == [
+        (0, 0, 60, 0, False, "chunk"), (1, 60, 60, 0, False, "chunk"), (2, 120, 60, 1, False, "chunk"), (3, 0, 60, 0, True, "chunk"), (4, 60, 60, 1, False, "chunk"), (7, 60, 30, 0, False, "chunk"), (8, 90, 0, 1, False, "waiting"),
+    ]
+
+
+def test_feed_health(spark):
+    from tessella.streaming import feed
+
+    base = dt.datetime(2026, 3, 1)
+    body = '{"subscription": {"type": "%s", "status": "%s"}, "event": {"broadcaster_user_login": " Ann "}}'
+    rows = [("a", "notification", body % ("stream.online", "")), ("b", "revocation", body % ("", "gone")), ("b", "revocation", body % ("", "gone")), ("c", "notification", body % ("stream.offline", "")), ("d", "revocation", body % ("", ""))]
+    sent = spark.createDataFrame([(m, t, "2026-03-01T00:00:00Z", b, base + dt.timedelta(seconds=i)) for i, (m, t, b) in enumerate(rows)], "message_id string, message_type string, message_ts string, body string, arrival_ts timestamp")
+    signed = sent.withColumn("signature", webhook.signature("k", F.col("message_id"), F.col("message_ts"), F.col("body")))
+    got = [tuple(r)[2:] for r in feed.feed_status(signed, "k").orderBy("arrival_ts").collect()]
+    assert got == [("a", "online", "ingesting", True, True, "healthy", None), ("b", "degraded", "ingesting", True, True, "degraded", "gone"), ("c", "offline", "ingesting", False, True, "healthy", None), ("d", "degraded", "ingesting", False, True, "degraded", "revoked")]
+    assert feed.feed_status(signed, "other").count() == 0
+
+
+def test_batches_that_may_not_be_stored(spark):
+    schema = "fingerprint_id long, embedding array<float>, creator_id long"
+    good = spark.createDataFrame([(1, [1.0, 2.0], 5)], schema)
+    assert writes.checked(good, 2).count() == 1
+    for row, text in (((None, [1.0, 2.0], 5), "length mismatch"), ((1, [1.0, 2.0], None), "creator_id is required"), ((1, [1.0], 5), "width")):
+        with pytest.raises(ValueError, match=text):
+            writes.checked(good.unionByName(spark.createDataFrame([row], schema)), 2)
+
+
 def test_requests(spark):
     names = spark.createDataFrame([("Jason",)], "name string")
     rows = [(1, "admin", "a.mp4", 10, None, "jason ", 10.0), (2, "admin", "a.mp4", 10, "https://tiktok.com/x", "jason", 10.0), (3, "public", None, None, "https://evil.com/x", "jason", 1.0), (4, "admin", "a.mp4", 0, None, "jason", 1.0),
