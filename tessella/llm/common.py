@@ -4,36 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.shared import discard, new_path, shared_dir  # noqa: F401  (given on)
+
 #: Distinct words that a worker remembers at most, and bytes of a word that is remembered.
 WORD_MEMO, MEMO_WORD = 200_000, 64
 #: Bytes of text that one numpy pass handles at a time inside a task.
 BLOCK_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessella.shared.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tessella.shared.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder."""
     path = new_path(df.sparkSession, label)
@@ -41,14 +29,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Remove a table that ``materialise`` made and that nothing reads any more."""
-    spark = table.sparkSession
-    for place in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """A table of ``df`` in the shared folder, bucketed by ``key``: a join on it moves the other side alone."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
