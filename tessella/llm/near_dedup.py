@@ -81,7 +81,7 @@ def _steps(reaches: list[int], most: int) -> list[int]:
 
 def tiled_pairs(
     classes: DataFrame, planes: list[str], digits: list[Column], reaches: list[int], most: int, radius: int, tile_size: int, weight: str | None = None,
-    least: Fraction | None = None, only_first: bool = False, by_size: bool = False,
+    least: Fraction | None = None, only_first: bool = False,
 ) -> DataFrame:
     """(a, b), a > b: the ``rep`` of each pair of rows whose fingerprints differ by ``radius`` bits at most.
 
@@ -92,13 +92,13 @@ def tiled_pairs(
     With ``least``, the sizes ``n`` of two rows' sets must allow that Jaccard similarity. If the sets are there, as the
     column ``grams``, they must have it, and what a unit has joined already is not compared again: the pairs then
     tell all components, but not all pairs. With ``only_first``, a row is paired with the first near it in a unit alone:
-    every row that has a pair is then still in one. With ``by_size``, two rows must also differ by no more bits than
-    sets of their sizes with that similarity differ by members.
+    every row that has a pair is then still in one. Rows whose column ``by_size`` is 1 must also differ by no more bits
+    than sets of their sizes with that similarity differ by members.
     """
     key = F.lit(0).cast("long")
     for w, d in zip(_weights(len(digits)), digits):
         key = key + F.lit(w) * d
-    more = [c for c in ("n", "grams") if c in classes.columns]
+    more = [c for c in ("n", "by_size", "grams") if c in classes.columns]
     columns = [*planes, "rep", *more]
     tiled = classes.select(*columns, key.cast("long").alias("tile"))
     # as many tiles as the digits have values, whatever the input
@@ -115,7 +115,7 @@ def tiled_pairs(
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by unit, its own first; visitors are compared as they stream by."""
-        unit_of = _Unit(planes, radius, least, only_first, by_size)
+        unit_of = _Unit(planes, radius, least, only_first)
         for b in batches:
             units, roles = b.column("unit").to_numpy(), b.column("role").to_numpy()
             values = {c: b.column(c).to_numpy() for c in columns if c != "grams"}
@@ -128,7 +128,7 @@ def tiled_pairs(
                 if s == e:
                     continue
                 if units[s] != unit_of.name:
-                    unit_of = _Unit(planes, radius, least, only_first, by_size, units[s])
+                    unit_of = _Unit(planes, radius, least, only_first, units[s])
                 rows = {c: v[s:e] for c, v in values.items()}
                 if "grams" in more:
                     rows["grams"] = [flat[x:y] for x, y in zip(ends[s:e], ends[s + 1 : e + 1])]
@@ -143,8 +143,8 @@ def tiled_pairs(
 class _Unit:
     """A block of fingerprints and what it has found so far."""
 
-    def __init__(self, planes: list[str], radius: int, least: Fraction | None, only_first: bool, by_size: bool, name: int | None = None):
-        self.planes, self.radius, self.least, self.only_first, self.by_size, self.name = planes, radius, least, only_first, by_size, name
+    def __init__(self, planes: list[str], radius: int, least: Fraction | None, only_first: bool, name: int | None = None):
+        self.planes, self.radius, self.least, self.only_first, self.name = planes, radius, least, only_first, name
         self.own: dict = {}
         self.paired, self.roots = np.zeros(0, bool), np.zeros(0, np.int64)
 
@@ -169,8 +169,8 @@ class _Unit:
                 x, y = part["n"][i], self.own["n"][j]
                 up, down = self.least.numerator, self.least.denominator
                 fits = np.minimum(x, y) * down >= np.maximum(x, y) * up
-                if self.by_size:  # |A ^ B| <= (|A| + |B|) (1 - least) / (1 + least)
-                    fits &= apart[i, j] * (down + up) <= (x + y) * (down - up)
+                if "by_size" in part:  # |A ^ B| <= (|A| + |B|) (1 - least) / (1 + least)
+                    fits &= (part["by_size"][i] == 0) | (apart[i, j] * (down + up) <= (x + y) * (down - up))
                 i, j = i[fits], j[fits]
             if "grams" in part:
                 yield from self._joined(part, apart, i, j, before + at if own else None)
@@ -353,31 +353,25 @@ def with_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return classes.join(texts.mapInArrow(run, "rep long, grams array<long>"), "rep")
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, least: Fraction, size: int, planes: list[str], radius: int, by_size: bool, tile_rows: int, tile_grams: int) -> DataFrame:
-    """(a, b) of classes (rep, n, planes) of ``least`` similarity or more, enough of them to tell all groups.
+def similar_classes(classes: DataFrame, texts: DataFrame, least: Fraction, size: int, radius: int, tile_rows: int, tile_grams: int, small: int = SMALL_SET) -> DataFrame:
+    """(node, component) of the classes (rep, n, PRINTS) that links of ``least`` similarity or more join.
+
+    Sets of up to ``small`` shingles are compared by their parities, which differ by (n + n') (1 - least) / (1 + least)
+    bits at most; larger ones by SimHash. Sets whose sizes can have a partner on the other side are compared both ways.
 
     The first pass over the tiles tells which fingerprints have another near them. The second carries the sets of
     those, and checks each pair where it is found, so that no pairs but links leave a task.
     """
+    way = lambda by_size, planes: F.struct(F.lit(by_size).cast("long").alias("by_size"), *[F.col(p).alias(q) for p, q in zip(planes, "pq")])
+    ways = F.filter(F.array(F.when(F.col("n") <= small, way(1, ["p0", "p1"])), F.when(F.col("n") > int(small * least), way(0, ["f0", "f1"]))), lambda w: w.isNotNull())
+    compared = classes.select("rep", "n", F.explode(ways).alias("w")).select("rep", "n", "w.*")
     # two sets of that similarity are of one band of sizes or of neighbouring ones; bit counts lie in bands of the radius
-    digits = [F.floor(F.log("n") / float(-np.log(float(least)))).cast("int"), F.floor(sum((F.bit_count(p) for p in planes), F.lit(0)) / (radius + 1)).cast("int")]
-    tiles = (planes, digits, [1, 1], 2, radius)
-    near = tiled_pairs(classes, *tiles, tile_rows, least=least, only_first=True, by_size=by_size)
+    digits = [F.col("by_size"), F.floor(F.log("n") / float(-np.log(float(least)))).cast("int"), F.floor((F.bit_count("p") + F.bit_count("q")) / (radius + 1)).cast("int")]
+    tiles = (["p", "q"], digits, [0, 1, 1], 2, max(radius, int(2 * small * (1 - least) / (1 + least))))
+    near = tiled_pairs(compared, *tiles, tile_rows, least=least, only_first=True)
     near = materialise(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near")
-    some = with_sets(classes.join(near, "rep", "left_semi"), texts.join(near, "rep", "left_semi"), size)
-    return tiled_pairs(materialise(some, "sets"), *tiles, tile_grams, weight="n", least=least, by_size=by_size)
-
-
-def similar_classes(classes: DataFrame, texts: DataFrame, least: Fraction, size: int, radius: int, tile_rows: int, tile_grams: int, small: int = SMALL_SET) -> DataFrame:
-    """(node, component) of the classes (rep, n, PRINTS) that links of ``least`` similarity or more join.
-
-    Sets of up to ``small`` shingles by their parities, which differ by (n + n') (1 - least) / (1 + least) bits at most;
-    larger ones by SimHash. Sets of sizes that can have a partner on the other side are in both.
-    """
-    apart = int(2 * small * (least.denominator - least.numerator) / (least.denominator + least.numerator))
-    few = similar_links(classes.where(F.col("n") <= small).select("rep", "n", "p0", "p1"), texts, least, size, ["p0", "p1"], apart, True, tile_rows, tile_grams)
-    many = similar_links(classes.where(F.col("n") > int(small * least)).select("rep", "n", "f0", "f1"), texts, least, size, ["f0", "f1"], radius, False, tile_rows, tile_grams)
-    return components(few.unionByName(many))
+    some = with_sets(compared.join(near, "rep", "left_semi"), texts.join(near, "rep", "left_semi"), size)
+    return components(tiled_pairs(materialise(some, "sets"), *tiles, tile_grams, weight="n", least=least))
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = WIDE_RADIUS, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
