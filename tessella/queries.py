@@ -743,16 +743,26 @@ def stream_live_chunks(v: Views) -> DataFrame:
     return _streamed(_live(v), monitor.stream_live_chunks, "ts")
 
 
-@query("WITH RECURSIVE x AS (SELECT 1)" + with_views("requests").replace("WITH ", ", ", 1) + """, admitted AS (SELECT DISTINCT streamer, ts FROM (SELECT p.streamer, p.ts, (SELECT arg_max(h.healthy, h.ts) FROM (SELECT user_id % 20 AS streamer, created_at AS ts, event_type <> 'error' AS healthy FROM requests WHERE event_type IN ('error', 'signup')) h WHERE h.streamer = p.streamer AND h.ts <= p.ts) AS ok FROM (SELECT user_id % 20 AS streamer, created_at AS ts FROM requests WHERE event_type = 'click') p) t WHERE NOT coalesce(ok, FALSE)),
+_FALLBACK = "WITH RECURSIVE x AS (SELECT 1)" + with_views("requests").replace("WITH ", ", ", 1) + """, admitted AS (SELECT DISTINCT streamer, ts FROM (SELECT p.streamer, p.ts, (SELECT arg_max(h.healthy, h.ts) FROM (SELECT user_id % 20 AS streamer, created_at AS ts, event_type <> 'error' AS healthy FROM requests WHERE event_type IN ('error', 'signup')) h WHERE h.streamer = p.streamer AND h.ts <= p.ts) AS ok FROM (SELECT user_id % 20 AS streamer, created_at AS ts FROM requests WHERE event_type = 'click') p) t WHERE NOT coalesce(ok, FALSE)),
   o AS (SELECT *, row_number() OVER (PARTITION BY streamer ORDER BY ts) AS r FROM admitted),
   f AS (SELECT streamer, r, ts, ts + INTERVAL 120 SECOND AS deadline, TRUE AS fresh FROM o WHERE r = 1 UNION ALL SELECT o.streamer, o.r, o.ts, CASE WHEN o.ts >= f.deadline THEN o.ts + INTERVAL 120 SECOND ELSE f.deadline END, o.ts >= f.deadline FROM f JOIN o ON o.streamer = f.streamer AND o.r = f.r + 1)
-  SELECT streamer, ts FROM f WHERE fresh""")
+  SELECT streamer, ts FROM f WHERE fresh"""
+
+
+@query(_FALLBACK)
 def fallback_polls(v: Views) -> DataFrame:
     rows = v.requests.select((F.col("user_id") % 20).alias("streamer"), F.col("created_at").alias("ts"), "event_type")
     health = rows.where("event_type in ('error', 'signup')").select("streamer", "ts", (F.col("event_type") != "error").alias("healthy"))
     return monitor.fallback_polls(rows.where("event_type = 'click'").select("streamer", "ts"), health)
 
 
+@query(_FALLBACK)
+def stream_fallback_polls(v: Views) -> DataFrame:
+    kinds = F.col("event_type")
+    rows = v.requests.where("event_type in ('error', 'signup', 'click')").select((F.col("user_id") % 20).alias("streamer"), F.col("created_at").alias("ts"), F.when(kinds != "click", kinds != "error").alias("healthy"))
+    return _streamed(rows, monitor.stream_fallback_polls, "ts")
+
+
 def _files(v: Views) -> DataFrame:
     return audio.wavs_from_values(v.requests.select((F.col("user_id") % 16).alias("k"), "id", "value"), "k", "id", "value")
 

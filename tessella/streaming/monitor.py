@@ -254,3 +254,37 @@ def fallback_polls(polls: DataFrame, health: DataFrame, every: int = POLL_SECOND
     w = W.partitionBy("streamer").orderBy("ts", "poll").rowsBetween(W.unboundedPreceding, 0)
     judged = both.withColumn("last", F.last("healthy", ignorenulls=True).over(w)).where((F.col("poll") == 1) & ~F.coalesce("last", F.lit(False)))
     return ttl_dedup(judged.select("streamer", "ts"), "streamer", "ts", max(5, every))
+
+
+class FallbackPolls(StatefulProcessor):
+    """``fallback_polls`` over a stream: whether the feed was last healthy, and when the next poll may come."""
+
+    def __init__(self, every: int):
+        self.every = max(5, every)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", T.StructType([T.StructField("healthy", T.BooleanType()), T.StructField("next", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        healthy, after = tuple(self.now.get()) if self.now.exists() else (False, None)
+        batch, out = pd.concat(list(rows)), []
+        batch["poll"] = batch["healthy"].isna()
+        for r in batch.sort_values(["ts", "poll"], kind="stable").itertuples(index=False):
+            at = r.ts.value // 1000
+            if not r.poll:
+                healthy = bool(r.healthy)
+            elif not healthy and (after is None or at >= after):
+                after = at + self.every * 1_000_000
+                out.append((r.streamer, r.ts))
+        self.now.update((healthy, after))
+        yield pd.DataFrame(out, columns=["streamer", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_fallback_polls(events: DataFrame, every: int = POLL_SECONDS) -> DataFrame:
+    """Streaming: as ``fallback_polls`` over ``events(streamer, ts, healthy)``, polls being rows whose ``healthy`` is null."""
+    stateful(events.sparkSession)
+    kinds = ", ".join(f"{c} {dict(events.dtypes)[c]}" for c in ("streamer", "ts"))
+    return events.select("streamer", "ts", "healthy").groupBy("streamer").transformWithStateInPandas(FallbackPolls(every), kinds, "append", "none")
