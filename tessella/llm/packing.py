@@ -4,8 +4,8 @@ Documents are routed to the shortest tier (512, 1024, 2048 or 4096 tokens) that
 first cut into whole windows of the longest tier. Each tier is packed, longest first: a window opens with the
 longest waiting piece and its gap is filled with the longest pieces that fit, from its own and shorter tiers;
 the last gap is closed by cutting one piece. So every window is full, and windows are powers of two. What is
-left at the end of a task is packed into shorter powers of two. Windows are then dealt to step groups of
-about equal token counts, the largest windows first.
+left at the end of a task is packed into shorter powers of two. Windows wait until a step group is full: the
+largest waiting ones first, which fill it exactly, as all sizes are powers of two. Only a task's last group may be short.
 
 Packing is local to a task (a split of the input), and needs no shuffle; ``sequence_id`` joins the number of
 the split to a count.
@@ -17,7 +17,6 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -83,42 +82,51 @@ class Packer:
                 yield size, self.window(size)
 
 
-def steps(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
-    """A step group for each window: the largest first, each to the group with the fewest tokens."""
-    groups = [(0, g) for g in range(max(1, -(-sum(sizes) // step_tokens)))]
-    out = [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        tokens, g = heapq.heappop(groups)
-        out[i] = g
-        heapq.heappush(groups, (tokens + sizes[i], g))
-    return out
+def step_groups(waiting: list[tuple[int, list[tuple]]], last: bool, step_tokens: int = STEP_TOKENS) -> Iterator[list[tuple[int, list[tuple]]]]:
+    """Take groups of exactly ``step_tokens`` tokens out of the ``waiting`` windows; ``last`` gives the rest as one more.
 
+    Every size is a power of two that divides ``step_tokens``, so the largest windows first fill a group without a gap.
+    """
+    waiting.sort(key=lambda w: -w[0])  # stable: equal sizes keep their order
+    tokens, begin = 0, 0
+    for i, (size, _) in enumerate(waiting):
+        tokens += size
+        if tokens == step_tokens:
+            yield waiting[begin : i + 1]
+            tokens, begin = 0, i + 1
+    del waiting[:begin]
+    if last and waiting:
+        yield waiting[:]
+        waiting.clear()
 
-def pack(docs: DataFrame, tokenizer_path: str, unit: str = "word", end_id: int = 2, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+
+def pack(docs: DataFrame, tokenizer_path: str, unit: str = "word", end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row a piece: where it lies in its document and in its sequence."""
+    if step_tokens % tiers[-1] or any(t & (t - 1) for t in tiers):
+        raise ValueError("tiers must be powers of two, and a step group a multiple of the longest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(tokenizer_path, unit), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
-        made = groups = 0
+        made, groups, held = 0, 0, []
 
-        def out(found: list[tuple[int, list[tuple]]]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple[int, list[tuple]]], last: bool = False) -> Iterator[pa.RecordBatch]:
             nonlocal made, groups
-            if not found:
-                return
-            step = steps([size for size, _ in found])
+            held.extend(found)
             cols: list[list] = [[] for _ in range(9)]
-            for (size, window), s in zip(found, step):
-                offset = 0
-                for doc_id, ids, start, doc_tokens in window:
-                    row = (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), doc_tokens, base + made, offset, size, base + groups + s)
-                    for c, v in zip(cols, row):
-                        c.append(v)
-                    offset += len(ids)
-                made += 1
-            groups += max(step) + 1
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
+            for group in step_groups(held, last, step_tokens):
+                for size, window in group:
+                    offset = 0
+                    for doc_id, ids, start, doc_tokens in window:
+                        row = (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), doc_tokens, base + made, offset, size, base + groups)
+                        for c, v in zip(cols, row):
+                            c.append(v)
+                        offset += len(ids)
+                    made += 1
+                groups += 1
+            if cols[0]:
+                kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in small_batches(batches, most=ENCODE_BYTES // 2):
             whole = []
@@ -129,6 +137,6 @@ def pack(docs: DataFrame, tokenizer_path: str, unit: str = "word", end_id: int =
                     at += tiers[-1]
                 packer.add(doc_id, ids[at:], at, len(ids))
             yield from out(whole + list(packer.windows(False)))
-        yield from out(list(packer.windows(True)))
+        yield from out(list(packer.windows(True)), True)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import common, decontamination, encoding, fingerprint, html_text, language_id, near_dedup, packing, sharding, substring_dedup, suffix_array, suffix_dedup, token_store
@@ -505,11 +507,36 @@ def test_packing(docs, none):
             at += r["length"]
         assert at == own[0]["tier"] <= 4096 and at & (at - 1) == 0
     assert packing.pack(none, tokenizer("word_bpe_49k.json")).count() == 0
-    groups = packing.steps([4096] * 5 + [512] * 40, 8192)
-    sums = collections.Counter()
-    for g, n in zip(groups, [4096] * 5 + [512] * 40):
-        sums[g] += n
-    assert max(sums.values()) - min(sums.values()) <= 4096
+
+
+@given(st.lists(st.lists(st.integers(0, 12), max_size=30), max_size=8))
+def test_step_groups(flushes):
+    """Over any flushes all groups but the last hold exactly a step's tokens, and no window is lost."""
+    held, groups, i = [], [], 0
+    for at, sizes in enumerate(flushes):
+        found = [(1 << k, [i + j]) for j, k in enumerate(sizes)]
+        held, i = held + found, i + len(found)
+        groups += [list(g) for g in packing.step_groups(held, at == len(flushes) - 1, 8192)]
+        assert sum(size for size, _ in held) < 8192
+    assert sorted(n for g in groups for _, w in g for n in w) == list(range(i)) and not held
+    totals = [sum(size for size, _ in g) for g in groups]
+    assert all(t == 8192 for t in totals[:-1]) and (not totals or 0 < totals[-1] <= 8192)
+
+
+def test_step_groups_of_a_table(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["alpha", "of", "beta,", "the", "gamma"], k=rng.choice([1, 9, 300, 2500]))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = packing.pack(df, tokenizer("word_bpe_49k.json"), tiers=(256, 1024), step_tokens=4096).collect()
+    sums, of = collections.Counter(), {}
+    for r in rows:
+        sums[r["step_id"]] += r["length"]
+        assert of.setdefault(r["sequence_id"], r["step_id"]) == r["step_id"]
+    for part in {g >> 36 for g in sums}:
+        own = [sums[g] for g in sorted(g for g in sums if g >> 36 == part)]
+        assert len(own) > 3 and set(own[:-1]) == {4096} and own[-1] <= 4096
+    with pytest.raises(ValueError):
+        packing.pack(df, tokenizer("word_bpe_49k.json"), step_tokens=5000)
 
 
 # ---------------------------------------------------------------- 10
