@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that a worker remembers at most, if not told otherwise; beyond, it forgets those that came up once.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 700_000
 #: Bytes of text to encode at a time: new pieces are learned once for each.
 ENCODE_BYTES = 2 << 20
 #: A character that is a pre-token of its own; pieces that hold it are encoded one by one.
@@ -56,8 +56,10 @@ class Encoder:
         self.begin, self.size, self.used = (np.empty(0, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        """Keep the pieces that came up again."""
-        keep = np.flatnonzero(self.used > 1)[: self.most // 2]
+        """Keep the pieces that came up again, the most frequent ones if they are many."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: self.most // 2]])
         names, memo = list(self.memo), _Memo()
         for i in keep.tolist():
             memo[names[i]] = len(memo)
