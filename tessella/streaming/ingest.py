@@ -20,14 +20,27 @@ STORED = "id long, video_id long, timestamp_seconds double, creator_id long, emb
 CELL_SECONDS, CELL_GROUPS = 3600, 64
 
 
+def _started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+    """Start a stream whose shuffles, and so its states, have a partition a core: a micro-batch opens each of them, however few rows it has.
+
+    A stream that was started before keeps the number of its checkpoint.
+    """
+    spark, name = stream.sparkSession, "spark.sql.shuffle.partitions"
+    writer, before = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 seconds")).start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def into_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append a stream's rows to a Parquet folder, one sub-folder a micro-batch, overwritten by a replay."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 seconds")).start()
+    return _started(stream, write, checkpoint, available_now)
 
 
 def vector_store(spark: SparkSession, path: str) -> VersionedTable:
@@ -78,5 +91,4 @@ def ingest_into(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path
         if len(done.folders) >= compact_at:
             store.compact(done)
 
-    writer = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 seconds")).start()
+    return _started(chunks, write, checkpoint, available_now)

@@ -155,6 +155,11 @@ def _snapshots(rows: DataFrame) -> DataFrame:
     return rows.select("streamer", "ts", "event_id", "vod_id", "is_live", "duration_seconds", *may)
 
 
+def _records(rows: pd.DataFrame) -> Iterator[dict]:
+    """The rows as dictionaries, one at a time."""
+    return (dict(zip(rows.columns, values)) for values in zip(*(rows[c] for c in rows.columns)))
+
+
 def live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LAG_SECONDS, checks: int = FINAL_CHECKS) -> DataFrame:
     """Batch: chunks over ``snapshots(streamer, ts, event_id, vod_id, is_live, duration_seconds)`` in time order.
 
@@ -165,7 +170,7 @@ def live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = L
         current, held = None, {}
         for frame in frames:
             out = []
-            for row in frame.to_dict("records"):
+            for row in _records(frame):
                 if row["streamer"] != current:
                     current, held = row["streamer"], {}
                 out += live_step(held, row, seconds, lag, checks)
@@ -180,7 +185,7 @@ def stream_live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(_PLACE, state.get)) if state.exists else {}
         rows, out = pd.concat(list(frames)).sort_values(["ts", "event_id"]), []
-        for row in rows.to_dict("records"):
+        for row in _records(rows):
             out += live_step(held, row, seconds, lag, checks)
         state.update(_place(held))
         yield pd.DataFrame(out, columns=_NAMES)
@@ -195,7 +200,7 @@ def live_polls(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LA
         current, held, under_way = None, {}, None
         for frame in frames:
             out = []
-            for row in frame.to_dict("records"):
+            for row in _records(frame):
                 if row["streamer"] != current:
                     current, held, under_way = row["streamer"], {}, None
                 under_way, found = poll_step(held, under_way, row, seconds, lag, checks)
@@ -220,7 +225,7 @@ class LivePolls(StatefulProcessor):
         held = dict(zip(_PLACE, self.place.get())) if self.place.exists() else {}
         ends = [r[0] for r in self.under_way.get()] if self.under_way.exists() else []
         end, out = (int(ends[0]) if ends else None), []
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).to_dict("records"):
+        for row in _records(pd.concat(list(rows)).sort_values(["ts", "event_id"])):
             end, found = poll_step(held, end, row, *self.how)
             out += [found] if found else []
         self.place.update(_place(held))

@@ -401,3 +401,29 @@ def test_ingest_into(spark, tmp_path):
     ingest.ingest_into(stream, lambda b: b, f"{base}/out", f"{base}/checkpoint", "m", last_id=10).awaitTermination()
     again = {(r["video_id"], r["timestamp_seconds"]): r for r in ingest.stored_vectors(spark, f"{base}/out").collect()}
     assert again == got
+
+
+def test_parts_of_a_stream(spark, tmp_path):
+    """A part is one micro-batch of several files, parts come in order, their number follows the rows, and states have no more partitions than there are cores."""
+    from tessella import queries
+
+    rows = spark.range(0, 1000, 1, 3).select((F.col("id") % 7).cast("string").alias("streamer"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), F.lit("online").alias("kind"))
+    late = rows.union(spark.sql("select 'x', cast(null as timestamp), -1L, 'online'"))
+    parts = queries._ranged(late, "ts", 200)
+    assert [r["__part"] for r in parts.where("ts is null").collect()] == [0]
+    sizes = parts.groupBy("__part").count().orderBy("__part").collect()
+    assert len(sizes) == 6 and max(r["count"] for r in sizes) <= 200
+    assert queries._ranged(rows, "ts", 10**6).select("__part").distinct().count() == 4
+    stream, base, arrivals = queries._source(queries._ranged(rows, "ts", 200))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        for _ in arrivals:
+            into_table(monitor.stream_status(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = spark.read.parquet(f"{base}/out").groupBy("batch").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("batch").collect()
+    assert len(found) == 5 and sum(r["n"] for r in found) == 1000
+    assert all(x["b"] + 1 == y["a"] for x, y in zip(found, found[1:]))
+    states = [d for d in os.listdir(f"{base}/checkpoint/state/0".removeprefix("file://")) if d.isdigit()]
+    assert len(states) <= spark.sparkContext.defaultParallelism
