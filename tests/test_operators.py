@@ -427,3 +427,10 @@ def test_parts_of_a_stream(spark, tmp_path):
     assert all(x["b"] + 1 == y["a"] for x, y in zip(found, found[1:]))
     states = [d for d in os.listdir(f"{base}/checkpoint/state/0".removeprefix("file://")) if d.isdigit()]
     assert len(states) <= spark.sparkContext.defaultParallelism
+
+
+def test_log_rows_of_one_time(spark, tmp_path):
+    from tessella import queries
+
+    spark.range(5).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "id as user_id", "'click' as event_type", "1.5D as value", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r["id"] for r in queries.queries()["request_log_rows"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4]
