@@ -434,3 +434,15 @@ def test_log_rows_of_one_time(spark, tmp_path):
 
     spark.range(5).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "id as user_id", "'click' as event_type", "1.5D as value", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(r["id"] for r in queries.queries()["request_log_rows"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_audio_of_a_stream_is_small(spark, monkeypatch):
+    """What a stream of recordings stores: WAVs of five seconds in parts of an hour at most."""
+    from tessella import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "_source", lambda parted, *order: seen.append(parted) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.queries()["stream_ingest"](spark, "/root/testdata/sf0.01")
+    sizes = seen[0].groupBy("__part").agg(F.max(F.length("content")).alias("bytes"), (F.max("offset_seconds") - F.min("offset_seconds")).alias("width")).collect()
+    assert len(sizes) > 1 and all(r["bytes"] <= 44 + 2 * 5 * audio.RATE and r["width"] < 3600 for r in sizes)
