@@ -446,3 +446,13 @@ def test_audio_of_a_stream_is_small(spark, monkeypatch):
         queries.queries()["stream_ingest"](spark, "/root/testdata/sf0.01")
     sizes = seen[0].groupBy("__part").agg(F.max(F.length("content")).alias("bytes"), (F.max("offset_seconds") - F.min("offset_seconds")).alias("width")).collect()
     assert len(sizes) > 1 and all(r["bytes"] <= 44 + 2 * 5 * audio.RATE and r["width"] < 3600 for r in sizes)
+
+
+def test_progress_in_few_batches(spark, monkeypatch):
+    from tessella import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "_ranged", lambda df, order, rows: seen.append(rows) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.queries()["ingest_progress"](spark, "/root/testdata/sf0.001")
+    assert seen == [queries.PLAIN_BATCH_ROWS]
