@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tessella.functions.scalars import blank_to_null
 from tessella.operators.catalog import first_per
 from tessella.operators.writes import delete_keys, patch_videos, upsert_embeddings, upsert_fingerprints
+from tessella.shared import written
 
 CHUNK_SECONDS, LAG_SECONDS = 60, 120
 
@@ -137,7 +138,7 @@ def growth_streak(snapshots: DataFrame) -> DataFrame:
 
 def run_ingest(embedded: DataFrame, fingerprints: DataFrame, vectors: DataFrame, videos: DataFrame, state: DataFrame, model_name: str) -> dict[str, DataFrame]:
     """The tables after ``embedded(video_id, creator_id, timestamp_seconds, embedding)`` is stored; its videos are then searchable."""
-    kept = embedded.where(F.size("embedding") > 0)
+    kept = written(embedded.where(F.size("embedding") > 0), "embedded")  # embedded once, though read for ids, rows and videos
     batch = kept.groupBy("video_id").agg(F.array_sort(F.collect_set("timestamp_seconds")).alias("timestamps"))
     table, ids = upsert_fingerprints(fingerprints, batch)
     rows = first_per(kept, ["video_id", "timestamp_seconds"], "creator_id").join(ids.select("video_id", "timestamp_seconds", F.col("id").alias("fingerprint_id")), ["video_id", "timestamp_seconds"])

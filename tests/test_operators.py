@@ -456,3 +456,21 @@ def test_progress_in_few_batches(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         queries.queries()["ingest_progress"](spark, "/root/testdata/sf0.001")
     assert seen == [queries.PLAIN_BATCH_ROWS]
+
+
+def test_ingest_embeds_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedded(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    batch = spark.createDataFrame([(1, 1, float(i), [1.0, 2.0]) for i in range(6)], "video_id long, creator_id long, timestamp_seconds double, embedding array<float>")
+    known = spark.createDataFrame([(5, 1, 0.0)], "id long, video_id long, timestamp_seconds double")
+    vectors = spark.createDataFrame([(5, [0.5, 0.5], 1)], "fingerprint_id long, embedding array<float>, creator_id long")
+    videos = spark.createDataFrame([(1, "indexing", False)], "id long, status string, processed boolean")
+    state = spark.createDataFrame([(1,)], "video_id long")
+    out = ingest.run_ingest(batch.mapInArrow(embedded, batch.schema), known, vectors, videos, state, "m")
+    assert out["vectors"].count() == 6 and out["fingerprints"].count() == 6 and [r["status"] for r in out["videos"].collect()] == ["searchable"]
+    assert calls.value == 6
