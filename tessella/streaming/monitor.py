@@ -156,8 +156,9 @@ def _snapshots(rows: DataFrame) -> DataFrame:
 
 
 def _records(rows: pd.DataFrame) -> Iterator[dict]:
-    """The rows as dictionaries, one at a time."""
-    return (dict(zip(rows.columns, values)) for values in zip(*(rows[c] for c in rows.columns)))
+    """The rows as dictionaries of plain values, one at a time; the names and the columns are taken once."""
+    names = list(rows.columns)
+    return (dict(zip(names, values)) for values in zip(*(rows[c].tolist() for c in names)))
 
 
 def live_chunks(snapshots: DataFrame, seconds: int = CHUNK_SECONDS, lag: int = LAG_SECONDS, checks: int = FINAL_CHECKS) -> DataFrame:

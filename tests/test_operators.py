@@ -474,3 +474,23 @@ def test_ingest_embeds_once(spark):
     out = ingest.run_ingest(batch.mapInArrow(embedded, batch.schema), known, vectors, videos, state, "m")
     assert out["vectors"].count() == 6 and out["fingerprints"].count() == 6 and [r["status"] for r in out["videos"].collect()] == ["searchable"]
     assert calls.value == 6
+
+
+def test_records_ask_for_columns_once():
+    """The names of a frame's columns are not looked up for each of its rows."""
+    import pandas as pd
+
+    class Frame:
+        def __init__(self, frame):
+            self.frame, self.asked = frame, 0
+
+        @property
+        def columns(self):
+            self.asked += 1
+            return self.frame.columns
+
+        def __getitem__(self, name):
+            return self.frame[name]
+
+    rows = Frame(pd.DataFrame({"a": range(100), "b": [True] * 100}))
+    assert list(monitor._records(rows)) == [{"a": i, "b": True} for i in range(100)] and rows.asked <= 2
