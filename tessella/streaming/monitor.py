@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ CHUNK_SECONDS, LAG_SECONDS, FINAL_CHECKS, POLL_SECONDS = 60, 120, 3, 120
 STATUS = "streamer string, ts timestamp, event_id long, kind string, state string, is_live boolean, active boolean"
 
 
+@lru_cache(maxsize=1024)
 def next_status(state: str, is_live: bool, active: bool, kind: str) -> tuple[str, bool, bool]:
     """One step: online starts a session if none runs; offline lets a running one go on; done and failed end it."""
     if kind == "online":
@@ -43,7 +45,7 @@ def status_fold(events: DataFrame) -> DataFrame:
         current, held = None, ("polling", False, False)
         for frame in frames:
             out = []
-            for streamer, kind in zip(frame["streamer"], frame["kind"]):
+            for streamer, kind in zip(frame["streamer"].tolist(), frame["kind"].tolist()):
                 if streamer != current:
                     current, held = streamer, ("polling", False, False)
                 held = next_status(*held, kind)
@@ -61,7 +63,7 @@ def stream_status(events: DataFrame) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(held.get) if held.exists else ("polling", False, False)
         rows, out = pd.concat(list(frames)).sort_values(["ts", "event_id"]), []
-        for kind in rows["kind"]:
+        for kind in rows["kind"].tolist():
             now = next_status(*now, kind)
             out.append(now)
         held.update(now)
