@@ -6,6 +6,7 @@ import hashlib
 import hmac
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,12 @@ def verified(messages: DataFrame, secret: str, skew: int = SKEW) -> DataFrame:
     return messages.withColumn("problem", problem)
 
 
-def ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) -> DataFrame:
+def ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL, then: str | None = None) -> DataFrame:
     """Batch: messages that are no duplicate of an accepted one less than ``ttl`` seconds older.
 
     A dropped duplicate does not extend the time; a blank key is never a duplicate. Each key's messages are
-    sorted by time in its task and streamed past the last accepted time, so a hot key needs no memory.
+    sorted by time (and ``then``, which decides between messages of one time) in its task and streamed past the
+    last accepted time, so a hot key needs no memory.
     """
     schema = messages.schema
     blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
@@ -59,14 +61,29 @@ def ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) -> DataFra
                 keep.append(fresh)
             yield frame[keep]
 
-    rest = messages.where(~blank).repartition(key).sortWithinPartitions(key, ts)
+    rest = messages.where(~blank).repartition(key).sortWithinPartitions(key, ts, *([then] if then else []))
     return rest.mapInPandas(run, schema).unionByName(messages.where(blank))
 
 
-def stream_ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) -> DataFrame:
+def _fresh(times: pd.Series, deadline: int | None, ttl: int) -> tuple[np.ndarray, int]:
+    """Which of one key's sorted ``times`` are no duplicates, and the deadline after them, in microseconds.
+
+    It goes from one accepted time to the first that is not before its deadline, not over all rows. Missing times come last.
+    """
+    at, n = times.astype("datetime64[us]").astype("int64").to_numpy(), int(times.notna().sum())
+    keep, i = np.zeros(len(at), dtype=bool), 0
+    while True:
+        if deadline is not None:
+            i = max(i, int(np.searchsorted(at[:n], deadline)))
+        if i >= (n if deadline is not None else len(at)):
+            return keep, deadline
+        keep[i], deadline, i = True, int(at[i]) + ttl, i + 1
+
+
+def stream_ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL, then: str | None = None) -> DataFrame:
     """Streaming: as ``ttl_dedup``, with the deadline of each key as state that expires with the watermark of ``ts``.
 
-    ``messages`` has a watermark on ``ts``; rows of a micro-batch are taken in time order. A blank key is never a
+    ``messages`` has a watermark on ``ts``; rows of a micro-batch are taken in the order of time and ``then``. A blank key is never a
     duplicate.
     """
     schema = messages.schema
@@ -77,13 +94,8 @@ def stream_ttl_dedup(messages: DataFrame, key: str, ts: str, ttl: int = TTL) ->
             held.remove()
             return
         deadline = held.get[0] if held.exists else None
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        keep = []
-        for t in rows[ts].astype("datetime64[us]").astype("int64"):
-            fresh = deadline is None or t >= deadline
-            if fresh:
-                deadline = int(t) + ttl * 1_000_000
-            keep.append(fresh)
+        rows = pd.concat(list(frames)).sort_values([ts, then] if then else ts, kind="stable")
+        keep, deadline = _fresh(rows[ts], deadline, ttl * 1_000_000)
         held.update((deadline,))
         held.setTimeoutTimestamp(max(deadline // 1000 + 1, held.getCurrentWatermarkMs() + 1))
         yield rows[keep]

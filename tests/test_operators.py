@@ -494,3 +494,31 @@ def test_records_ask_for_columns_once():
 
     rows = Frame(pd.DataFrame({"a": range(100), "b": [True] * 100}))
     assert list(monitor._records(rows)) == [{"a": i, "b": True} for i in range(100)] and rows.asked <= 2
+
+
+def test_duplicates_of_one_time(spark, tmp_path):
+    """Of messages of one key and time the first by ``then`` is accepted, in the batch and in the stream."""
+    base = dt.datetime(2026, 1, 1)
+    rows = [(f"k{k}", base + dt.timedelta(seconds=700 * step), 100 * step + (i * 37 + k) % 100) for step in range(3) for k in range(5) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, n int").repartition(4, "n")
+    expected = sorted((f"k{k}", 100 * step) for step in range(3) for k in range(5))
+    assert sorted((r["key"], r["n"]) for r in webhook.ttl_dedup(df, "key", "ts", 600, "n").collect()) == expected
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withWatermark("ts", "1 minute")
+    into_table(webhook.stream_ttl_dedup(stream, "key", "ts", 600, "n"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted((r["key"], r["n"]) for r in spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect()) == expected
+
+
+def test_fresh_times_one_by_one():
+    import pandas as pd
+
+    rng, base = random.Random(5), pd.Timestamp("2026-01-01")
+    for _ in range(300):
+        times = pd.Series(pd.to_datetime([None if rng.random() < 0.1 else base + pd.Timedelta(seconds=rng.randrange(60)) for _ in range(rng.randrange(1, 20))])).sort_values(kind="stable")
+        ttl, deadline = rng.choice([0, 5, 20]) * 1_000_000, rng.choice([None, base.value // 1000 + rng.randrange(60) * 1_000_000])
+        keep, last = [], deadline
+        for t in times.astype("datetime64[us]").astype("int64"):
+            keep.append(last is None or t >= last)
+            last = int(t) + ttl if keep[-1] else last
+        got = webhook._fresh(times, deadline, ttl)
+        assert (got[0].tolist(), got[1]) == (keep, last)
