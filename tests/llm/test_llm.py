@@ -375,6 +375,32 @@ def test_encoder(monkeypatch, name, unit):
         assert [x.tolist() for x in enc.encode(part)] == [x.ids for x in enc.tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_encoder_learns_words_once():
+    """A word is given to the tokenizer once, whatever sign follows it or line it begins."""
+    enc, given = encoding.Encoder(tokenizer("byte_bpe_50k.json"), "space"), []
+    each = enc._each
+    enc._each = lambda texts: given.extend(texts) or each(texts)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abdeghinorstué", k=12)) for _ in range(300)]
+    text = "\n".join(" ".join(f"{w}{sign}" for w in words) for sign in ("", ",", ".", "###", "!?", ".***"))
+    want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert enc.encode([text])[0].tolist() == want
+    assert sum(map(len, given)) < 1.2 * len(" ".join(words))
+
+
+@pytest.mark.parametrize("most,at_once", [(50, 37), (10_000, 1 << 18)])
+def test_encoder_white_space(monkeypatch, most, at_once):
+    """Beside every kind of white space, sign and letter, with pieces forgotten inside a text."""
+    monkeypatch.setattr(encoding, "MEMO_PIECES", most)
+    monkeypatch.setattr(encoding, "_PASS", at_once)
+    odd = [chr(c) for c in (*range(0x180), *range(0x1670, 0x1690), *range(0x2000, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF, 0xFFFF, 0x1F600)]
+    samples = [s for c in odd for s in (f"a{c} b", f"a {c}b", f"a{c},x", f"{c} {c}", f"a\n{c}b", f"{c}\nb", f"é{c}.é", f"internationalisation{c} internationalisation,")]
+    enc = encoding.Encoder(tokenizer("byte_bpe_50k.json"), "space")
+    for part in (samples, ["".join(samples[i : i + 500]) for i in range(0, len(samples), 500)], ["", None], []):
+        assert [x.tolist() for x in enc.encode(part)] == [x.ids for x in enc.tokenizer.encode_batch([s or "" for s in part], add_special_tokens=False)]
+
+
 def test_token_store(spark, docs, none):
     path, ids = common.new_path(spark, "store"), {}
     enc = encoding.Encoder(tokenizer("byte_bpe_50k.json"), "text")
