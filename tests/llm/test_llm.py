@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given
@@ -168,6 +169,29 @@ def test_one_anchor_with_many_surroundings(spark):
         assert tuple(got[i])[1:] == expected, i
 
 
+def test_suffix_dedup_hands_small_batches_to_python(spark):
+    """An executor's memory: Python workers get texts by the megabyte, and the last step, which reads all texts, needs none."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("text"), 1500).alias("text"))
+    got = [r["n"] for r in suffix_dedup.in_small_batches(texts.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(got) > 18_000_000 and max(got) < 1.5 * suffix_dedup.BATCH_BYTES and spark.conf.get(name) == before
+    df = spark.createDataFrame([(i, "same text " * 60) for i in range(3)], "doc_id long, text string")
+    last = suffix_dedup.removals(df)
+    assert "InArrow" not in last._jdf.queryExecution().toString()
+    assert [tuple(r) for r in last.orderBy("doc_id").collect()] == [(i, 600, 1, b"") for i in range(3)]
+
+
+def test_runs_that_touch_are_one(spark):
+    spans = spark.createDataFrame([(1, 7, 0, 0), (1, 7, 4, 5), (1, 7, 4, 5), (1, 7, 1, 2), (1, 7, 20, 20), (1, 8, 3, 3), (2, 7, 1, 1)], "key long, d long, a int, b int")
+    got = {(r["key"], f["d"]): (f["n_spans"], [tuple(p) for p in f["pieces"]], f["last"]) for r in suffix_dedup.removed_runs(spans, 4).collect() for f in r["found"]}
+    assert got == {(1, 7): (2, [(0, 0), (9, 20)], 24), (1, 8): (1, [(0, 3)], 7), (2, 7): (1, [(0, 1)], 5)}
+
+
 # ---------------------------------------------------------------- 2
 
 def test_sharding(spark, docs, none):
